@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from tokenizers import Tokenizer
 
 #: Pieces whose ids a worker remembers; it starts anew beyond them, so memory is bounded.
-MEMORY = 300_000
+MEMORY = 800_000
 BATCH = 64
 
 _LETTER = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
@@ -55,7 +55,7 @@ class Encoder:
         self.ids = np.empty(0, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self) -> None:
         fresh, new, lengths = self.known.fresh, [self.ids], [self.offsets]
