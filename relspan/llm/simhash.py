@@ -168,7 +168,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints; their components are those of all links of at most THRESHOLD bits."""
     spark = fps.sparkSession
     arrow_rows(spark, 20_000)
-    spread = staged(fps.select("fp").distinct().mapInArrow(_replicate, "anchor long, fp long, own boolean"), "anchors")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    spread = staged(fps.select("fp").distinct().repartition(parts).mapInArrow(_replicate, "anchor long, fp long, own boolean"), "anchors")
     heavy = spread.groupBy("anchor").agg(F.sum(F.col("own").cast("long")).alias("owners")).where(F.col("owners") > TILE)
     heavy = staged(heavy.select("anchor", F.ceil(F.col("owners") / TILE).cast("int").alias("tiles")), "heavy")
     if heavy.isEmpty():
@@ -177,7 +178,6 @@ def links(fps: DataFrame) -> DataFrame:
         n = F.coalesce("tiles", F.lit(1))
         tiled = spread.join(heavy, "anchor", "left").withColumn("tile", F.explode(F.sequence(F.lit(0), n - 1)))
         tiled = tiled.withColumn("own", F.col("own") & (F.col("tile") == F.pmod(F.xxhash64("fp"), n))).withColumn("key", F.xxhash64("anchor", "tile"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = tiled.select("key", "fp", "own").repartition(parts, "key").sortWithinPartitions("key")
     return staged(dealt.mapInArrow(_compare, "a long, b long").distinct(), "links")
 
