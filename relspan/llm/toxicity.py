@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text, each counted once: words, words cut to their first five bytes, bigrams, and skip-grams
+Features of a text, each counted once: words, words cut to their first four, five and six bytes, bigrams, and skip-grams
 over one and two words, hashed to 2**BITS coordinates. Each coordinate has its own learning rate; the L1
 term leaves few weights other than zero, and those alone are broadcast (2**BITS pairs at most).
 
@@ -19,6 +19,7 @@ from relspan.llm.common import held_out
 from relspan.llm.fitting import FIT_ROWS, fit_in_one_task, fitting_sample, score_with
 
 BITS = 20
+CUTS = (4, 5, 6)
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 5.0, 0.5, 5
 
 
@@ -26,7 +27,10 @@ def feature_slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, coordinate) of every feature of every text, repeats included."""
     w = words_of([x.lower() for x in texts], LETTERS_DIGITS)
     h, d = w.hash, w.doc
-    found, of = [h, span_hash(w, w.start, np.minimum(w.end, w.start + 5)) + np.uint64(1)], [d, d]
+    found, of = [h], [d]
+    for cut in CUTS:
+        found.append(span_hash(w, w.start, np.minimum(w.end, w.start + cut)) + np.uint64(cut))
+        of.append(d)
     for gap, salt in ((1, 0x2545F4914F6CDD1D), (2, 0x9E6C63D0876A9A47), (3, 0xC2B2AE3D27D4EB4F)):
         same = d[gap:] == d[:-gap]
         found.append(mix(h[:-gap] * np.uint64(salt) + h[gap:])[same])
