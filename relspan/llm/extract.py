@@ -32,9 +32,11 @@ BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 MAIN = {"article", "main"}
 #: Words in class, id and role that name what an element is for.
 BOILER_NAMES = re.compile(
-    r"^(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall|nav|navi\w*|navbar|menu\w*|breadcrumb\w*|crumbs?|pagination|pager|sidebar\w*|side|aside|rail|widget\w*|related|recommend\w*|trending|popular|share|sharing|social\w*|follow|footer\w*|foot|copyright|legal|disclaimer|masthead|topbar|toolbar|skip|search\w*|complementary|contentinfo|navigation|comment\w*|respond|replies|reply|discussion|disqus\w*|reactions?|tags|toc|author-?bio|byline-?box)$",
+    r"^(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall|nav|navi\w*|navbar|menu\w*|breadcrumb\w*|crumbs?|pagination|pager|sidebar\w*|side|aside|rail|widget\w*|related|recommend\w*|trending|popular|share|sharing|social\w*|follow|footer\w*|foot|alertdialog|copyright|legal|disclaimer|masthead|topbar|toolbar|skip|search\w*|complementary|contentinfo|navigation|comment\w*|respond|replies|reply|discussion|disqus\w*|reactions?|tags|toc|author-?bio|byline-?box)$",
     re.I,
 )
+#: What stands beside or without something isn't that thing.
+LAYOUT_NAMES = re.compile(r"(?:^|[-_])(?:has|with|no|without|hide|show)[-_]", re.I)
 MAIN_NAMES = re.compile(r"^(?:article\w*|main|content|post|entry|story|body-?text|articlebody|maincontent)$", re.I)
 
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<rattr>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
@@ -60,7 +62,8 @@ def _kind(name: str, attr: str, in_main: bool) -> tuple[bool, bool]:
                 boiler = True
             elif key in ("class", "id", "role"):
                 for token in value.split():
-                    if name not in ("body", "html", "article", "main") and any(BOILER_NAMES.match(x) for x in {token, *re.split(r"[-_]+", token)}):
+                    parts = set() if LAYOUT_NAMES.search(token) else {token, *re.split(r"[-_]+", token)}
+                    if name not in ("body", "html", "article", "main") and (any(map(BOILER_NAMES.match, parts)) or (parts & {"header", "banner"} and not in_main)):
                         boiler = True
                     main = main or bool(MAIN_NAMES.match(token))
     return boiler, main and not boiler
@@ -123,10 +126,8 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        if name in MAIN:  # nothing that is left open before hides the article
-            keep = [x for x in stack if x[0] not in ("p", "a", "b", "li")]
-            in_link -= sum(x[0] == "a" for x in stack)
-            stack[:] = [x for x in keep if not (x[1] and x[0] in ("div", "span"))] if name == "main" or not any(x[2] for x in keep) else keep
+        if name in MAIN:  # a form around the whole page is no form to leave out
+            stack[:] = [(n, own and n not in ("form", "fieldset"), main, hidden) for n, own, main, hidden in stack]
         if name == "a":
             in_link += 1
         stack.append((name, *_kind(name, m["attr"], any(x[2] for x in stack)), name in HIDDEN))
@@ -145,28 +146,31 @@ def features(found: list[Block]) -> np.ndarray:
     return np.stack([w, d, shift(w, -1), shift(d, -1), shift(w, 1), shift(d, 1), np.array([b.boiler for b in found], float), np.array([b.main for b in found], float)], 1)
 
 
-#: The labelled table: words, link density, the same of the block before, of the block after, boiler, main; then 1 for main text.
-EXAMPLES = np.array(
+#: The labelled table of blocks that stand in no boilerplate: words, link density, the same of the block before, of the block after, boiler, main; then 1 for main text.
+_OUTSIDE = np.array(
     [
-        # within elements that name themselves boilerplate, whatever their length
-        (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (3, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (9, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0), (40, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0), (60, 0.1, 55, 0.0, 40, 0.0, 1, 1, 0),
-        (120, 0.0, 90, 0.0, 80, 0.0, 1, 0, 0), (25, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0), (7, 0.4, 80, 0.0, 5, 0.0, 1, 1, 0), (2, 0.0, 3, 0.0, 90, 0.0, 1, 1, 0), (15, 0.0, 0, 0.0, 12, 0.0, 1, 0, 0),
         # within main content: paragraphs, headings and one-word lines
         (10, 0.0, 9, 0.0, 30, 0.0, 0, 1, 1), (1, 0.0, 50, 0.0, 1, 0.0, 0, 1, 1), (1, 0.0, 1, 0.0, 40, 0.0, 0, 1, 1), (80, 0.05, 1, 0.0, 90, 0.1, 0, 1, 1), (200, 0.2, 90, 0.0, 60, 0.0, 0, 1, 1),
         (6, 0.0, 6, 1.0, 5, 0.0, 0, 1, 1), (12, 0.25, 60, 0.0, 70, 0.0, 0, 1, 1), (45, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (3, 0.3, 40, 0.0, 50, 0.0, 0, 1, 1), (5, 0.0, 120, 0.1, 12, 0.9, 0, 1, 1), (2, 0.5, 70, 0.0, 60, 0.1, 0, 1, 1),
         # within main content: lists of links
         (3, 1.0, 2, 1.0, 4, 1.0, 0, 1, 0), (5, 1.0, 60, 0.0, 6, 1.0, 0, 1, 0), (4, 1.0, 5, 1.0, 70, 0.0, 0, 1, 0), (9, 0.9, 8, 1.0, 0, 0.0, 0, 1, 0),
+        (4, 1.0, 90, 0.0, 3, 1.0, 0, 0, 0), (6, 1.0, 120, 0.0, 0, 0.0, 0, 0, 0), (3, 1.0, 75, 0.0, 5, 1.0, 0, 1, 0), (2, 1.0, 150, 0.0, 1, 1.0, 0, 1, 0), (10, 1.0, 100, 0.0, 8, 1.0, 0, 0, 0),
         (8, 1.0, 60, 0.0, 55, 0.0, 0, 1, 1), (4, 1.0, 80, 0.1, 45, 0.0, 0, 1, 1),
-        # with no such names: long and little linked is text
+        # with no such names: long and little linked is text, whatever stands beside it
+        (20, 0.0, 22, 0.0, 1, 1.0, 0, 0, 1), (22, 0.0, 1, 1.0, 21, 0.0, 0, 0, 1), (28, 0.1, 1, 1.0, 1, 1.0, 0, 0, 1), (19, 0.0, 4, 0.0, 18, 0.0, 0, 0, 1), (50, 0.0, 3, 0.0, 2, 1.0, 0, 0, 1), (14, 0.0, 60, 0.0, 1, 1.0, 0, 0, 1), (33, 0.15, 45, 0.0, 3, 1.0, 0, 0, 1), (75, 0.0, 40, 0.1, 5, 0.0, 0, 0, 1),
         (30, 0.0, 5, 0.0, 40, 0.0, 0, 0, 1), (60, 0.1, 2, 1.0, 30, 0.0, 0, 0, 1), (18, 0.0, 40, 0.0, 25, 0.0, 0, 0, 1), (25, 0.05, 1, 1.0, 50, 0.1, 0, 0, 1), (100, 0.2, 80, 0.0, 4, 1.0, 0, 0, 1), (16, 0.1, 30, 0.0, 2, 1.0, 0, 0, 1),
         (45, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (12, 0.0, 30, 0.0, 40, 0.0, 0, 0, 1),
         # short, between or before long text: headings and short lines
         (4, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1), (6, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1), (1, 0.0, 35, 0.0, 30, 0.1, 0, 0, 1), (9, 0.1, 25, 0.0, 20, 0.0, 0, 0, 1), (5, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1),
+        # all that a page has
+        (4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
         # short among short, or linked: menus, notices, ends of pages
         (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0), (4, 1.0, 3, 1.0, 5, 0.0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (5, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0), (6, 0.5, 50, 0.0, 4, 1.0, 0, 0, 0),
         (20, 0.9, 3, 1.0, 30, 0.0, 0, 0, 0), (35, 0.8, 20, 0.0, 2, 1.0, 0, 0, 0), (8, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0), (5, 0.2, 30, 0.0, 3, 0.0, 0, 0, 0), (12, 0.6, 6, 0.5, 9, 0.7, 0, 0, 0), (7, 0.0, 3, 0.0, 6, 0.0, 0, 0, 0), (4, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0),
     ]
 )
+#: The same blocks within an element that names itself boilerplate are no main text.
+EXAMPLES = np.concatenate([_OUTSIDE, _OUTSIDE * [1, 1, 1, 1, 1, 1, 0, 1, 0] + [0, 0, 0, 0, 0, 0, 1, 0, 0]])
 
 
 class Leaf(NamedTuple):
