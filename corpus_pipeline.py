@@ -19,8 +19,8 @@ from relspan.sources.scratch import new_folder
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") >= quality.REJECT_BELOW).select(docs.columns)
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), name="__score")
+    return scored.where(F.col("__score") >= quality.REJECT_BELOW).select(docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "rep").distinct()
-    return null_safe_join(docs.withColumn("rep", F.xxhash64("text")), found, ["doc_id", "rep"], "left_anti").select(docs.columns)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", F.col("rep").alias("__rep")).distinct()
+    return null_safe_join(docs.withColumn("__rep", F.xxhash64("text")), found, ["doc_id", "__rep"], "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

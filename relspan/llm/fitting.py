@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from relspan.llm.common import arrow_rows, held_out, small_side
 
@@ -48,19 +49,19 @@ def fit_in_one_task(sample: DataFrame, featurize: Callable[[list[str]], list[byt
     return next((r.model for r in made.collect()), None) or pickle.dumps(fit([]))
 
 
-def score_with(docs: DataFrame, model: bytes, score: Callable[[object, list[str]], list[float]]) -> DataFrame:
-    """docs with a column ``score``, made batch by batch from whole texts. Only text goes to Python beside what is kept."""
+def score_with(docs: DataFrame, model: bytes, score: Callable[[object, list[str]], list[float]], name: str = "score") -> DataFrame:
+    """docs with the column ``name``, made batch by batch from whole texts; a column that docs has under this name goes."""
     spark = docs.sparkSession
     arrow_rows(spark)
     sent = spark.sparkContext.broadcast(model)
-    docs = docs.drop("score") if "score" in docs.columns else docs
+    docs = docs.drop(name)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(sent.value)
         for b in batches:
             s = score(own, b.column("__text").to_pylist())
             keep = [n for n in b.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(s, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(s, pa.float64())], [*keep, name])
 
-    schema = docs.schema.add("score", "double")
     return docs.withColumn("__text", F.col("text")).mapInArrow(scored, schema)

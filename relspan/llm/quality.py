@@ -138,10 +138,10 @@ def _score(m: dict, texts: list[str | None]) -> list[float]:
     return out
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """docs with ``score``: likelihood that labels.quality is 1, learned from at most 2 * ``most`` labelled rows."""
+def score_quality(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, name: str = "score") -> DataFrame:
+    """docs with ``name``: likelihood that labels.quality is 1, learned from at most 2 * ``most`` labelled rows."""
     model = fit_in_one_task(fitting_sample(docs, labels, "quality", most), _featurize, attention_mil)
-    return score_with(docs, model, _score)
+    return score_with(docs, model, _score, name)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
