@@ -139,12 +139,15 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     taken, own, _, _ = schedule(docs)
     row = ["doc_id", "source", "size"]
     whole = taken.groupBy(*row, "start", "pass").agg(F.sum(F.col("hi") - F.col("lo")).alias("__n"))
-    # rows alike in id, source and size are told apart by their order
-    nth = own.withColumn("__nth", F.row_number().over(Window.partitionBy(*row).orderBy("start")))
-    whole = null_safe_join(whole, nth, [*row, "start"], "inner").drop("start", "pass").withColumnRenamed("size", "__size")
-    same = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long"))
-    same = same.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))))
-    out = null_safe_join(same, whole, ["doc_id", "source", "__size", "__nth"], "inner")
+    whole, same = whole.withColumnRenamed("size", "__size"), docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long"))
+    keys = ["doc_id", "source", "__size"]
+    if not own.groupBy(*row).count().where("count > 1").isEmpty():
+        # rows alike in id, source and size are told apart by their order
+        nth = own.withColumn("__nth", F.row_number().over(Window.partitionBy(*row).orderBy("start"))).withColumnRenamed("size", "__size")
+        whole = null_safe_join(whole, nth, [*keys, "start"], "inner")
+        same = same.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))))
+        keys.append("__nth")
+    out = null_safe_join(same, whole.drop("start", "pass"), keys, "inner")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + TOKEN), F.lit(0)), 1, F.col("__n").cast("int")), "")
     entire = F.col("__n") == F.col("__size")
     out = out.withColumn("text", F.when(entire, F.col("text")).otherwise(part))
