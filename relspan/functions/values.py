@@ -34,7 +34,7 @@ def less(a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
     if ka == 0:
         return b.isNotNull()
     if ka == kb:
-        return b.isNotNull() & (a.isNull() | F.coalesce(a < b, F.lit(False)))
+        return b.isNotNull() & (a.isNull() | (a < b))
     return b.isNotNull() if ka < kb else b.isNotNull() & a.isNull()
 
 
@@ -73,7 +73,7 @@ def glob(a: Column, pattern: str, t: T.DataType) -> Column:
         return F.lit(False)
     head = pattern[:-1]
     found = a.startswith(head) if pattern.endswith("*") and not set(head) & set("*?[") else a.rlike(glob_to_regex(pattern))
-    return F.coalesce(found, F.lit(False))
+    return a.isNotNull() & found
 
 
 def boxed(a: Column, t: T.DataType) -> Column:

@@ -91,14 +91,14 @@ def tree_delete(table: Table, where: object, parent: str, child: str) -> DataFra
 
 def tree_paths(nodes: Relation, ident: str, parent: str, order: str | None = None, most_depth: int = 1000) -> DataFrame:
     """(ident, depth, path) of every node under a root (a NULL parent); path orders siblings by ``order``, then ident."""
-    df = nodes.df()
-    by = [quoted(order or ident), quoted(ident)]
-    level = staged(df.where(quoted(parent).isNull()).select(quoted(ident).alias("id"), F.lit(0).alias("depth"), F.array(F.struct(by[0].cast("string").alias("o"), by[1].cast("string").alias("i"))).alias("path")), "level")
+    own = nodes.df().select(quoted(ident).alias("__id"), quoted(parent).alias("__parent"), F.array(F.struct(quoted(order or ident).cast("string").alias("o"), quoted(ident).cast("string").alias("i"))).alias("__step"))
+    level = staged(own.where("__parent IS NULL").select("__id", F.lit(0).alias("depth"), F.col("__step").alias("path")), "level")
     out = level
     for _ in range(most_depth):
-        below = df.where(quoted(parent).isNotNull()).join(level, quoted(parent) == F.col("id"))
-        level = staged(below.select(quoted(ident).alias("id"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.struct(by[0].cast("string").alias("o"), by[1].cast("string").alias("i"))).alias("path")), "level")
+        above = level.withColumnRenamed("__id", "__above")
+        below = own.where("__parent IS NOT NULL").join(above, F.col("__parent") == F.col("__above"))
+        level = staged(below.select("__id", (F.col("depth") + 1).alias("depth"), F.concat("path", "__step").alias("path")), "level")
         if level.isEmpty():
-            return out.withColumnRenamed("id", ident)
+            return out.withColumnRenamed("__id", ident)
         out = out.unionByName(level)
     raise RuntimeError(f"deeper than {most_depth}; is there a cycle?")

@@ -146,7 +146,7 @@ class TextIndex:
     def __init__(self, content: Relation, ident: str, fields: dict[str, Column | str] | list[str]) -> None:
         self.content, self.ident = content, ident
         self.fields = {f: quoted(f) for f in fields} if isinstance(fields, list) else {k: quoted(c) if isinstance(c, str) else c for k, c in fields.items()}
-        self.texts = staged(self._texts(content.df()), "texts")
+        self.texts = self._texts(content.df())
         self.postings = staged(self._post(self.texts), "postings")
         self.searches: list[Search] = []
 
