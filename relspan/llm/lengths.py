@@ -19,7 +19,7 @@ from relspan.llm.common import arrow_rows
 from relspan.llm.encoding import encoder
 from relspan.sources.scratch import staged
 
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoded_lengths(docs: DataFrame, tokenizer_json: str) -> DataFrame:
