@@ -19,7 +19,7 @@ _MADE: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI; sets Spark's own checkpoint folder where none is set."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if context.applicationId not in _LOCAL:
             _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="relspan-")
