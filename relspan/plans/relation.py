@@ -242,6 +242,24 @@ class Relation:
         edges = [f"  n{number[k]} -> n{number[id(c)]};" for k, r in seen.items() for c in r.children]
         return "\n".join(["digraph relation {", *nodes, *edges, "}"])
 
+    def code(self) -> str:
+        """The tree as a chain of calls; leaves by name."""
+        if not self.children:
+            return self.name or "leaf"
+        first, *rest = [c.code() for c in self.children]
+        match self:
+            case Select():
+                return f"{first}.select(...)"
+            case Project():
+                return f"{first}.project({', '.join(map(repr, self.names))})"
+            case Rename():
+                return f"{first}.rename({ {a: b for a, b in self.names.items() if a != b} })"
+            case Update():
+                return f"{first}.with_update({self.new})"
+            case Equijoin():
+                return f"{first}.equijoin({rest[0]}, {self.matching})"
+        return f"{first}.{type(self).__name__.lower()}({', '.join(rest)})"
+
     def leaves(self) -> list[Relation]:
         out: dict[int, Relation] = {}
         for c in self.children:
@@ -578,20 +596,23 @@ class Unique(Relation):
 
 
 class Cached(Relation):
-    """Keeps the rows in memory if there are at most up_to of them; forget() when a base has changed."""
+    """Keeps the rows in memory if there are at most up_to of them, until a table below has changed."""
 
     def __init__(self, of: Relation, up_to: int) -> None:
         self.children, self.up_to, self.types, self.keys = (of,), up_to, of.types, of.keys
         self._kept: DataFrame | None = None
+        self._of: list[object] = []
 
     def build(self, c: _Compiling) -> DataFrame:
         if c.env:
             return c(self.children[0])
-        if self._kept is None:
+        below = [getattr(x, "current", lambda x=x: x)() for x in self.leaves()]
+        if self._kept is None or any(a is not b for a, b in zip(below, self._of)):
+            self.forget()
             rows = c(self.children[0])
             if rows.limit(self.up_to + 1).count() > self.up_to:
                 return rows
-            self._kept = rows.persist()
+            self._kept, self._of = rows.persist(), below
         return self._kept
 
     def forget(self) -> None:
@@ -603,6 +624,38 @@ class Cached(Relation):
         return Cached(children[0], self.up_to)
 
 
+def evaluate_together(relations: Iterable[Relation]) -> list[list[dict[str, object]]]:
+    """The rows of several relations; subtrees that more than one of them has are computed once."""
+    relations = list(relations)
+    parents: dict[int, set[int]] = {}
+    nodes: dict[int, Relation] = {}
+
+    def visit(r: Relation, parent: int) -> None:
+        fresh = id(r) not in nodes
+        nodes[id(r)] = r
+        parents.setdefault(id(r), set()).add(parent)
+        for child in r.children if fresh else ():
+            visit(child, id(r))
+
+    for k, r in enumerate(relations):
+        visit(r, -1 - k)
+    memo: dict[int, DataFrame] = {}
+    kept = []
+
+    def depth(r: Relation) -> int:
+        return 1 + max(map(depth, r.children), default=0)
+
+    shared = [r for r in nodes.values() if len(parents[id(r)]) > 1 and r.children]
+    for r in sorted(shared, key=depth):  # what stands below is kept first
+        memo[id(r)] = r.df(memo=memo).persist()
+        kept.append(memo[id(r)])
+    try:
+        return [[x.asDict() for x in r.df(memo=memo).collect()] for r in relations]
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
 def union_all(relations: Iterable[Relation | None]) -> Relation | None:
     """Union of those that aren't None, which stands for empty."""
     some = [r for r in relations if r is not None]

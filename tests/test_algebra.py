@@ -144,3 +144,28 @@ def test_fetching(spark):
     assert r.select(A("a") == 3).one_value() == 3 and r.one_row() is None and not r.is_empty()
     assert rows(r.cache(5)) == rows(r.cache(100)) == rows(r)
     assert "Select" in r.select(A("a") == 1).project("a").dump() and "->" in r.union(r).graphviz()
+
+
+def test_shared_plans_and_loader(spark):
+    from relspan.plans.loader import load
+    from relspan.plans.relation import evaluate_together
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf
+
+    counted = Leaf(spark.range(5).coalesce(1).mapInPandas(seen, "id long"), keys=[["id"]])
+    base = counted.select(A("id") < 4)
+    got = evaluate_together([base.min("id"), base.max("id"), base.count()])
+    assert got == [[{"id": 0}], [{"id": 3}], [{"count": 4}]] and calls.value == 5
+    e = literal(spark, ["emp", "dept"], ["Al", "x"], ["Bob", "y"]).named("e")
+    d = literal(spark, ["dept", "boss"], ["x", 1], ["y", 2]).named("d")
+    plan = {"input": "e", "stages": [{"select": {"dept": "x"}}, {"join": "d", "project": ["emp", "boss"]}, {"union": {"input": "e", "stages": [{"join": "d", "project": ["emp", "boss"]}]}}]}
+    assert rows(load(plan, {"e": e, "d": d})) == {(1, "Al"), (2, "Bob")}
+    assert rows(load({"input": "e", "stages": [{"count": True}]}, {"e": e})) == {(2,)}
+    with pytest.raises(ValueError):
+        load({"input": "q"}, {})
+    assert e.project("emp").rename({"emp": "n"}).code() == "e.project('emp').rename({'emp': 'n'})"

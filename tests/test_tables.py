@@ -242,3 +242,10 @@ def test_mutable_select(spark):
     view = literal(spark, ["a"], *[[k] for k in range(6)]).mutable_select(A("a") < 3)
     added, removed = view.set((A("a") > 1) & (A("a") < 5))
     assert rows(added) == {(3,), (4,)} and rows(removed) == {(0,), (1,)} and view.df().agg(F.count("*")).first()[0] == 3
+
+
+def test_cache_follows_its_table(db):
+    view = db["people"].select(A("house") == 10).cache(100)
+    assert len(rows(view)) == 2
+    db["people"].add({"id": 5, "name": "Eve", "house": 10})
+    assert len(rows(view)) == 3 and view._kept is not None
