@@ -22,8 +22,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return up.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(up.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct()
         mark = state
         both = up.unionByName(up.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))  # lo: the node, hi: its neighbour
-        least = both.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("m"))
-        large = both.where("hi > lo").join(least, "lo").select(F.col("hi").alias("u"), "m").where("u <> m").distinct()
+        # stored, so that both sides of the join are plain shuffles: Spark then splits the rows of a star's centre
+        least = staged(both.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("m")), "least")
+        large = staged(both.where("hi > lo").join(least, "lo").select(F.col("hi").alias("u"), "m").where("u <> m").distinct(), "large")
         low = large.groupBy("u").agg(F.min("m").alias("least"))
         small = large.join(low, "u").select(F.when(F.col("m") == F.col("least"), F.col("u")).otherwise(F.col("m")).alias("hi"), F.col("least").alias("lo"))
         up = staged(small.where("hi <> lo").select("lo", "hi").distinct(), "edges")
