@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from tokenizers import Tokenizer
 
 #: Pieces whose ids a worker remembers; it starts anew beyond them, so memory is bounded.
-MEMORY = 500_000
+MEMORY = 650_000
 BATCH = 64
 
 _LETTER = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
