@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from relspan.plans import relation as R
 from relspan.plans.relation import Relation, quoted
 from relspan.sources.scratch import staged
+from relspan.sources.shipping import ship
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
 BEGIN, END, ELLIPSIS = "\x02", "\x03", "\x04"
@@ -240,6 +241,7 @@ class Search:
                     pdf[f] = [snippet(x, wanted) for x in pdf[f]]
                 yield pdf
 
+        ship(ranked.sparkSession)
         out = ranked.mapInPandas(snippets, ranked.schema)
         return out.select(F.col("id").alias(self.index.ident), "rank", *(quoted(f).alias(f"{f}_snippet") for f in fields))
 

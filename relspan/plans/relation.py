@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from relspan.functions import values as V
 from relspan.functions.predicates import TRUE, Attr, Predicate, Types, as_predicate, row_matches
+from relspan.sources.shipping import ship
 
 _POOL = ThreadPoolExecutor(4, "relspan")
 _NAMES = itertools.count(1)
@@ -566,6 +567,7 @@ class Fold(Relation):
             if some or on_empty:
                 yield pd.DataFrame({attribute: [reduce(merge, some) if some else initial]})
 
+        ship(c(self.children[0]).sparkSession)
         return c(self.children[0]).mapInPandas(partial, "state binary, n long").coalesce(1).mapInPandas(final, f"`{attribute}` {kind}")  # a row a partition
 
     def rebuilt(self, children: tuple[Relation, ...]) -> Relation:

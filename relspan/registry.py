@@ -223,7 +223,7 @@ def _search(query: str, columns: tuple[str, ...] = ("doc_id",)) -> Query:
 
 
 def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _search("that* OR with", ("doc_id", "text_snippet"))(spark, sf_dir)
+    raw = _search("that* OR with", ("doc_id", "text_snippet"))(spark, sf_dir)  # which has sent this package to the executors
 
     def run(batches):
         for pdf in batches:

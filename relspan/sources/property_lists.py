@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from relspan.plans.delta import Change
 from relspan.plans.relation import minus
+from relspan.sources.shipping import ship
 
 Codec = tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]  # encode, decode
 PLAIN: Codec = (bytes, bytes)
@@ -109,6 +110,7 @@ def write_directory(df: DataFrame, uri: str, key: list[str], codec: Codec = PLAI
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
+    ship(df.sparkSession)
     df.select(*sorted(df.columns)).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
@@ -127,6 +129,7 @@ def read_directory(spark: SparkSession, uri: str, schema: T.StructType, codec: C
     if fs.get_file_info(root).type == pafs.FileType.NotFound:
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rowplist").option("recursiveFileLookup", "true").load(uri)
+    ship(spark)
     return files.select("content").mapInPandas(run, schema)
 
 
@@ -157,6 +160,7 @@ def delete_rows(df: DataFrame, uri: str, key: list[str]) -> None:
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
+    ship(df.sparkSession)
     df.select(*key).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 

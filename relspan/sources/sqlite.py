@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, InputPartition, WriterCommitMessage
 
+from relspan.sources.shipping import ship
+
 BUSY_MS = 10
 _NULL, _BLOB = b"NULL", b"BLOB"
 
@@ -140,6 +142,7 @@ class SqliteSource(DataSource):
 
 
 def read(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(SqliteSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("relspan_sqlite").option("table", table)
@@ -147,6 +150,7 @@ def read(spark: SparkSession, path: str, table: str, schema: T.StructType | None
 
 
 def write(df: DataFrame, path: str, table: str, overwrite: bool = False) -> None:
+    ship(df.sparkSession)
     df.sparkSession.dataSource.register(SqliteSource)
     df.write.format("relspan_sqlite").option("table", table).mode("overwrite" if overwrite else "append").save(path)
 
