@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relspan.sources.shipping import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side is broadcast only after a count has shown that it has at most so many narrow rows.
 BROADCAST_ROWS = 500_000
@@ -18,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Rows in an Arrow batch from here on: texts are long, so batches stay small."""
+    """Before Python on the executors: send them this package, and bound the rows of Arrow batches, as texts are long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
