@@ -34,6 +34,8 @@ el los las de del y que en un una es se por con no para su al lo como
 """.split()
 CHAIN = 2
 HEX = 8  # hex digits of a signature
+#: Centres that each bucket of near_duplicates tries before its members make pairs.
+CENTRES = 2
 
 
 def _anchor_hashes() -> np.ndarray:
@@ -152,12 +154,20 @@ def next_to_each(docs: DataFrame) -> DataFrame:
     return dealt.select("doc_id", "text", "ahead").mapInArrow(run, schema)
 
 
+def _open(spots: DataFrame, label: DataFrame) -> DataFrame:
+    """Members (sig, band, rep, n, label) of the buckets whose members aren't all of one class yet."""
+    m = spots.join(label, "rep")
+    mixed = m.groupBy("sig", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig", "band")
+    return staged(m.join(mixed, ["sig", "band"]), "open")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, n_links): classes of documents whose sets have a Jaccard of ``threshold`` or more with another's.
+    """(doc_id, class_id): classes of documents linked by a Jaccard of ``threshold`` or more; class_id is the least doc_id in reach.
 
     Equal sets are one representative. Representatives post their rarest signatures, as many as the threshold asks for, under
-    (length band, signature); those that meet are candidates, pruned by length and then counted exactly. n_links counts the
-    representatives within the threshold.
+    (length band, signature); only those that meet in such a bucket are compared, pruned by length and then exactly. First every
+    bucket compares its members with one centre, CENTRES times with another one; this joins groups of near copies. Afterwards
+    only members of different classes make pairs, so a group gives no pairs within itself, and no link is lost.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -175,16 +185,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     ranked = flat.join(flat.groupBy("sig").agg(F.count("*").alias("df")), "sig").withColumn("r", F.row_number().over(rare))
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(threshold)).cast("int")
-    posted = staged(prefix.withColumn("band", band).select("rep", "n", "sig", "band"), "posted")
-    right = posted.select(F.col("rep").alias("b"), F.col("n").alias("m"), "sig", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    cand = posted.join(right, ["sig", "band"]).where((F.col("rep") != F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold))
-    cand = cand.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    sig = reps.select("rep", "sigs", "n")
-    both = cand.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = staged(both.where(common >= threshold * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    comps = connected_components(links).toDF("rep", "comp")
-    named = own.select("doc_id", "rep").join(comps, "rep", "left").join(degree, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    spots = staged(prefix.select("rep", "n", "sig", F.explode(F.array(band, band + 1)).alias("band")), "posted")
+    fits = F.least("n", "m") >= F.greatest("n", "m") * threshold
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        cand = pairs.where(fits).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        sig = reps.select("rep", "sigs", "n")
+        both = cand.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return staged(both.where(common >= threshold * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
+
+    label, links = reps.select("rep", F.col("rep").alias("label")), None
+    for turn in range(CENTRES):
+        members = _open(spots, label)
+        centre = members.groupBy("sig", "band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("at"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("label").alias("its"))).alias("c"))
+        found = verified(members.join(centre.select("sig", "band", "c.*"), ["sig", "band"]).where("label <> its"))
+        links = found if links is None else links.unionByName(found)
+        label = staged(reps.select("rep").join(connected_components(links).toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labels")
+    members = _open(spots, label)
+    classes = members.select("sig", "band", "label").distinct()
+    apart = classes.join(classes.withColumnRenamed("label", "its"), ["sig", "band"]).where("label < its")
+    others = members.select("sig", "band", F.col("label").alias("its"), F.col("rep").alias("other"), F.col("n").alias("m"))
+    found = verified(members.join(apart, ["sig", "band", "label"]).join(others, ["sig", "band", "its"]))
+    comps = connected_components(links.unionByName(found)).toDF("rep", "comp")
+    named = own.select("doc_id", "rep").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "comp").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return named.join(least, "comp").select("doc_id", "class_id")
