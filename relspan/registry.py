@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from relspan.operators.viewupdate import update
 from relspan.plans import relation as R
 from relspan.plans.delta import between, derivative
 from relspan.plans.relation import Leaf, Relation
+from relspan.sources import property_lists, sqlite
+from relspan.sources.scratch import new_folder
 from relspan.sources.tables import Database
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,14 +64,15 @@ def _divide(t: _Tables) -> Relation:
 
 
 def _delta(make: Callable[[Relation, Relation], Relation], which: str) -> Query:
-    """A view over customers and suppliers by nation, when customers of segment BUILDING leave and suppliers in debt come."""
+    """A view over customers and suppliers by nation, when segment BUILDING leaves and MACHINERY comes, and rich suppliers leave and those in debt come."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = _Tables(spark, sf_dir)
         c, s = t.customer, t.supplier
-        c_all, s_all = c.df(), s.df()
-        left, right = Leaf(c_all, keys=[["c_custkey"]]), Leaf(s_all, keys=[["s_suppkey"]])
-        changes = {left: between(c_all, c_all.where("c_mktsegment <> 'BUILDING'")), right: between(s_all.where("s_acctbal >= 0"), s_all)}
+        c_old, c_new = c.select(Attr("c_mktsegment") != "MACHINERY"), c.select(Attr("c_mktsegment") != "BUILDING")
+        s_old, s_new = s.select(Attr("s_acctbal") >= 0.0), s.select(Attr("s_acctbal") < 500.0)
+        left, right = Leaf(c_new.df(), keys=[["c_custkey"]]), Leaf(s_new.df(), keys=[["s_suppkey"]])
+        changes = {left: between(c_old.df(), c_new.df()), right: between(s_old.df(), s_new.df())}
         change = derivative(make(left, right), changes)
         out = getattr(change, which)
         return out if out is not None else make(left, right).df().limit(0)
@@ -76,8 +80,8 @@ def _delta(make: Callable[[Relation, Relation], Relation], which: str) -> Query:
     return run
 
 
-def _c_nations(c: Relation) -> Relation:
-    return c.select(Attr("c_acctbal") > 9000.0).project("c_nationkey").rename({"c_nationkey": "k"})
+def _c_nations(c: Relation, above: float = 9000.0) -> Relation:
+    return c.select(Attr("c_acctbal") > above).project("c_nationkey").rename({"c_nationkey": "k"})
 
 
 def _s_nations(s: Relation) -> Relation:
@@ -86,26 +90,26 @@ def _s_nations(s: Relation) -> Relation:
 
 _VIEWS = {
     "select": lambda c, s: c.select(Attr("c_acctbal") > 0.0),
-    "project": lambda c, s: _c_nations(c),
-    "union": lambda c, s: _c_nations(c).union(_s_nations(s)),
-    "intersection": lambda c, s: _c_nations(c).intersection(_s_nations(s)),
-    "difference": lambda c, s: _c_nations(c).difference(_s_nations(s)),
+    "project": lambda c, s: _c_nations(c, 9800.0),
+    "union": lambda c, s: _c_nations(c, 9800.0).union(_s_nations(s)),
+    "intersection": lambda c, s: _c_nations(c, 9800.0).intersection(_s_nations(s)),
+    "difference": lambda c, s: _c_nations(c, 9800.0).difference(_s_nations(s)),
     "join": lambda c, s: c.select(Attr("c_acctbal") > 9000.0).equijoin(s, {"c_nationkey": "s_nationkey"}).project("c_custkey", "s_suppkey"),
-    "update": lambda c, s: c.project("c_nationkey", "c_mktsegment").with_update({"c_mktsegment": "ANY"}),
+    "update": lambda c, s: c.select(Attr("c_acctbal") > 9800.0).project("c_nationkey", "c_mktsegment").with_update({"c_mktsegment": "ANY"}),
     "max": lambda c, s: c.max("c_acctbal"),
 }
 _VIEW_SQL = {
     "select": "SELECT * FROM {c} WHERE c_acctbal > 0",
-    "project": "SELECT DISTINCT c_nationkey AS k FROM {c} WHERE c_acctbal > 9000",
-    "union": "SELECT c_nationkey AS k FROM {c} WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM {s} WHERE s_acctbal < 1000",
-    "intersection": "SELECT c_nationkey AS k FROM {c} WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM {s} WHERE s_acctbal < 1000",
-    "difference": "SELECT c_nationkey AS k FROM {c} WHERE c_acctbal > 9000 EXCEPT SELECT s_nationkey FROM {s} WHERE s_acctbal < 1000",
+    "project": "SELECT DISTINCT c_nationkey AS k FROM {c} WHERE c_acctbal > 9800",
+    "union": "SELECT c_nationkey AS k FROM {c} WHERE c_acctbal > 9800 UNION SELECT s_nationkey FROM {s} WHERE s_acctbal < 1000",
+    "intersection": "SELECT c_nationkey AS k FROM {c} WHERE c_acctbal > 9800 INTERSECT SELECT s_nationkey FROM {s} WHERE s_acctbal < 1000",
+    "difference": "SELECT c_nationkey AS k FROM {c} WHERE c_acctbal > 9800 EXCEPT SELECT s_nationkey FROM {s} WHERE s_acctbal < 1000",
     "join": "SELECT c_custkey, s_suppkey FROM {c} JOIN {s} ON c_nationkey = s_nationkey WHERE c_acctbal > 9000",
-    "update": "SELECT DISTINCT c_nationkey, 'ANY' AS c_mktsegment FROM {c}",
+    "update": "SELECT DISTINCT c_nationkey, 'ANY' AS c_mktsegment FROM {c} WHERE c_acctbal > 9800",
     "max": "SELECT max(c_acctbal) AS c_acctbal FROM {c} HAVING count(*) > 0",
 }
-_OLD = {"c": "customer", "s": "(SELECT * FROM supplier WHERE s_acctbal >= 0)"}
-_NEW = {"c": "(SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING')", "s": "supplier"}
+_OLD = {"c": "(SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY')", "s": "(SELECT * FROM supplier WHERE s_acctbal >= 0)"}
+_NEW = {"c": "(SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING')", "s": "(SELECT * FROM supplier WHERE s_acctbal < 500)"}
 
 
 def _delta_sql(view: str, which: str) -> str:
@@ -128,6 +132,39 @@ def _db(spark: SparkSession, sf_dir: str, *names: str) -> Database:
     return db
 
 
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database that is changed, saved and opened again."""
+    db = _db(spark, sf_dir, "nation")
+    db["nation"].delete(Attr("n_regionkey") == 1)
+    folder = new_folder(spark, "saved")
+    db.save(folder)
+    return Database.open(spark, folder)["nation"].df()
+
+
+def _property_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, uri = load(spark, sf_dir, "region").df(), f"{new_folder(spark, 'plist')}/region.plist"
+    property_lists.write_file(df, uri)
+    return property_lists.read_file(spark, uri, df.schema)
+
+
+def _property_list_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, uri = load(spark, sf_dir, "nation").df(), new_folder(spark, "plists")
+    property_lists.write_directory(df, uri, ["n_nationkey"])
+    property_lists.delete_rows(df.where("n_regionkey = 1"), uri, ["n_nationkey"])
+    return property_lists.read_directory(spark, uri, df.schema)
+
+
+def _sqlite_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQLite file in the shared folder, which must be one that the executors mount."""
+    df = load(spark, sf_dir, "supplier").project("s_suppkey", "s_nationkey", "s_acctbal").df()
+    folder = new_folder(spark, "sqlite").removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder)
+    path = f"{folder}/suppliers.db"
+    sqlite.create_table(path, "supplier", df.columns)
+    sqlite.write(df, path, "supplier")
+    return sqlite.read(spark, path, "supplier", df.schema).where("s_nationkey = 3")
+
+
 def _update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = _db(spark, sf_dir, "nation", "region")
     view = db["nation"].equijoin(db["region"], {"n_regionkey": "r_regionkey"})
@@ -303,6 +340,7 @@ def queries() -> dict[str, Query]:
         "flagship": flagship, "contains": _contains, "mutable_select": _mutable_select, "change_summary": _change_summary,
         "update_through_join": _update_join, "update_through_project": _update_project, "update_through_select": _update_select,
         "table_mutations": _table_ops, "snapshot_restore": _snapshot, "delta_apply": _delta_apply, "undo_redo": _undo,
+        "saved_database": _saved, "property_list_file": _property_list_file, "property_list_directory": _property_list_directory, "sqlite_select": _sqlite_select,
         "recursive_select": _recursive, "tree_delete": _tree_delete, "cascading_delete": _cascade,
         "tree_paths": lambda s, d: recursion.tree_paths(Leaf(_tree(s, d).withColumn("parent", F.when(F.col("c_custkey") > 2, F.col("parent"))), keys=[["c_custkey"]]), "c_custkey", "parent").select("c_custkey", "depth"),
         "common_value": lambda s, d: summary.common_value(load(s, d, "nation").select(Attr("n_regionkey") == 1), "n_regionkey"),
@@ -381,6 +419,10 @@ def oracle_sql() -> dict[str, str]:
         "update_through_select": "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer",
         "table_mutations": "SELECT n_nationkey, CASE WHEN n_regionkey = 3 THEN 'EUROPEAN' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 99, 'ATLANTIS', 1",
         "snapshot_restore": "SELECT * FROM nation",
+        "saved_database": "SELECT * FROM nation WHERE n_regionkey <> 1",
+        "property_list_file": "SELECT * FROM region",
+        "property_list_directory": "SELECT * FROM nation WHERE n_regionkey <> 1",
+        "sqlite_select": "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey = 3",
         "delta_apply": "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'ASIAN' ELSE n_name END AS n_name, n_regionkey FROM nation",
         "undo_redo": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'ONE' ELSE n_name END AS n_name, n_regionkey FROM nation",
         "recursive_select": f"{_TREE} SELECT k AS c_custkey FROM t",
