@@ -2,12 +2,13 @@
 
 Every source's documents, in the order of a hash of doc_id, form one stream of words, cut into blocks of
 equal size. Slot k of the schedule takes the golden-ratio point frac(k * 0.618...) through the cumulative targets to a
-source; the slot's rank within its source picks the block, starting again at block 0 when the blocks run out.
+source; the slot's rank within its source picks the block, starting again at block 0 when the blocks run out. The last
+slot of a source ends at the very word that reaches the target, so the block's size decides the order alone.
 DataFrame functions only; prefix sums go by hash buckets, so a source that holds most rows is never in one task.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order;
 rows that repeat a doc_id are documents of their own; with no words at all every target is 0; other
-columns are ignored. A source's taken words differ from its target by at most two blocks.
+columns are ignored. A source's taken words are its target, rounded to whole words, at any size of the input.
 """
 
 from __future__ import annotations
@@ -87,9 +88,14 @@ def fragments(docs: DataFrame, block: int) -> DataFrame:
 
 
 def slots(spark, targets: DataFrame, block: int) -> DataFrame:
-    """(k, source, rank, pass, b): the schedule. Ranks of a source are 0 up to its quota of blocks."""
-    quota = targets.select("source", F.floor(F.col("target") / block + 0.5).alias("quota"), F.ceil(F.col("source_size") / block).alias("blocks"))
-    quota = quota.where("quota > 0")
+    """(k, source, rank, pass, b, upto): the schedule. Ranks of a source are 0 up to its quota of blocks.
+
+    upto: the words of the source's stream that the slot's pass takes. A last block, or a last slot, may hold fewer words than others.
+    """
+    quota = targets.where("source_size > 0").withColumn("words", F.floor(F.col("target") + 0.5)).withColumn("blocks", F.ceil(F.col("source_size") / block))
+    passes = F.floor(F.col("words") / F.col("source_size"))
+    quota = quota.withColumn("quota", passes * F.col("blocks") + F.ceil((F.col("words") - passes * F.col("source_size")) / block))
+    quota = quota.where("quota > 0").select("source", "source_size", "words", "blocks", "quota")
     every = Window.orderBy(F.asc_nulls_last("source"))
     total = F.sum("quota").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     upto = F.sum("quota").over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -99,13 +105,14 @@ def slots(spark, targets: DataFrame, block: int) -> DataFrame:
     cells = quota.withColumn("cell", F.explode(cell))
     turn = F.col("k") * F.lit(GOLDEN)
     points = spark.range(n).withColumnRenamed("id", "k").withColumn("u", turn - F.floor(turn)).withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = points.join(cells, "cell").where("u >= from AND u < to").select("k", "source", "quota", "blocks", F.lit(1).alias("one"))
+    hit = points.join(cells, "cell").where("u >= from AND u < to").select("k", "source", "source_size", "words", "quota", "blocks", F.lit(1).alias("one"))
     ranked = _running(hit, ["source"], F.floor(F.col("k") / CHUNK), ["k"], "one", "rank").where("rank < quota")
     # a small source may be met too seldom: what its quota lacks comes at the end
     got = hit.groupBy("source").agg(F.count("*").alias("got"))
     short = null_safe_join(quota, got, ["source"], "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < quota")
     late = short.withColumn("rank", F.explode(F.sequence(F.col("got"), F.col("quota") - 1))).withColumn("k", n + F.col("rank"))
-    cols = ["k", "source", "rank", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), (F.col("rank") % F.col("blocks")).alias("b")]
+    turns = F.floor(F.col("rank") / F.col("blocks"))
+    cols = ["k", "source", "rank", turns.alias("pass"), (F.col("rank") % F.col("blocks")).alias("b"), (F.col("words") - turns * F.col("source_size")).alias("upto")]
     return ranked.select(*cols).unionByName(late.select(*cols))
 
 
@@ -118,6 +125,7 @@ def schedule(docs: DataFrame, block: int | None = None) -> tuple[DataFrame, Data
     block = block or max(1, -(-int(words) // BLOCKS))
     own = placed(sized)
     taken = null_safe_join(fragments(own, block), slots(docs.sparkSession, targets, block), ["source", "b"], "inner")
+    taken = taken.withColumn("hi", F.least("hi", F.col("upto") - F.col("start"))).where("hi > lo").drop("upto")
     return taken, own, sized, targets
 
 

@@ -195,6 +195,29 @@ def test_mixing(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [300, 7])
+def test_targets_are_met_with_large_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+    rows = some_docs() + [(100 + k, " ".join(f"w{j}" for j in range(30)), "hot") for k in range(300)] + [(500, "a few words", "tiny"), (501, "v " * 61, "more"), (502, "u " * 83, None)]
+    docs = docs_of(spark, rows)
+    size, target = brute_targets(rows)
+    assert -(-sum(size.values()) // blocks) > 40
+    want = {s: int(t + 0.5) for s, t in target.items() if size[s]}
+    assert min(want.values()) > 0
+    by, mixed = defaultdict(int), Counter()
+    taken, *_ = mixing.schedule(docs)
+    for r in taken.collect():
+        assert 0 <= r.lo < r.hi <= r.size
+        by[r.source] += r.hi - r.lo
+    assert by == want
+    got = Counter((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
+    for r in mixing.apply_mix(docs).collect():
+        mixed[r.source] += len(r.text.split())
+    assert mixed == want
+    monkeypatch.undo()
+    assert got == Counter((r.doc_id, r.taken) for r in mixing.mix(docs).collect())  # as with blocks of one word
+
+
 def test_schedule_is_even(spark):
     rows = [(k, "w " * 50, f"s{k % 3}") for k in range(60)]
     taken, *_ = mixing.schedule(docs_of(spark, rows), block=10)
