@@ -80,13 +80,25 @@ def phrase_matches(index: DataFrame, terms: DataFrame, window: int = 10) -> Data
     return runs.groupBy(*line, "w", "run").agg(F.min("pos").alias("lo"), F.count("*").cast("int").alias("n")).where("n >= w").select(*DOC, "item", "lo", "n")
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, slop: int = 5, share: float = 0.8, window: int = 10) -> DataFrame:
+def _enough(terms: DataFrame, index: DataFrame, share: float) -> DataFrame:
+    """(item, q, term_id): so many of the rarest words of each item that ``share`` of its words can't be met without one of them.
+
+    Words that occur nowhere are missed by every document, so they count among the rarest and are then left out.
+    """
+    counts = index.groupBy("term_id").agg(F.count("*").alias("df"))
+    lists = terms.join(counts, "term_id", "left").groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "q", "term_id"))).alias("ts"))
+    missed = (F.col("n") - F.ceil(share * F.col("n"))).cast("int")
+    return lists.select("item", F.explode(F.slice("ts", 1, missed + 1)).alias("t")).where("t.df > 0").select("item", "t.q", "t.term_id")
+
+
+def proximity_matches(index: DataFrame, terms: DataFrame, slop: int = 5, share: float = 0.8) -> DataFrame:
     """(doc_id, rep, item, around, n_terms): items of which ``share`` of the words stand in order, give or take ``slop`` words.
 
     Lists are intersected on bands of shifts 2 * slop wide, each posting in the two bands that hold it, so no
-    pair of postings is compared. Rare terms choose the candidates as for phrases.
+    pair of postings is compared. Each match holds one of the anchors that choose the candidates. A document's word counts
+    for every equal word of the item in its band.
     """
-    anchors = small_side(staged(_rarest(terms, index, window), "anchors"))
+    anchors = small_side(staged(_enough(terms, index, share), "anchors"))
     bands = lambda df: df.select(*[c for c in df.columns if c not in ("pos", "shift")], F.explode(F.array(F.floor(F.col("shift") / (2 * slop)), F.floor((F.col("shift") + slop) / (2 * slop)) + F.lit(0.5))).alias("around"))
     first = bands(index.join(anchors, "term_id").select(*DOC, "item", (F.col("pos") - F.col("q")).alias("shift"))).distinct()
     first = staged(first, "proximity-candidates")
@@ -96,8 +108,11 @@ def proximity_matches(index: DataFrame, terms: DataFrame, slop: int = 5, share:
     return counts.where(F.col("n_terms") >= share * F.col("n")).drop("n")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """One row a row of docs: doc_id, rep, n_words, n_hit, n_items, item_ids (sorted strings), contaminated."""
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None) -> DataFrame:
+    """One row a row of docs: doc_id, rep, n_words, n_hit, n_items, item_ids (sorted strings), contaminated.
+
+    All of these are of exact phrases. With a slop, near_ids has the items of proximity_matches too (sorted strings).
+    """
     terms, vocabulary = test_terms(items)
     index = build_index(docs, vocabulary)
     names = terms.select("item", F.col("item_id").cast("string").alias("item_id")).distinct()
@@ -108,7 +123,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     out = null_safe_join(lengths, hit, DOC, "left")
     none = F.array().cast("array<string>")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "item_ids": F.coalesce("item_ids", none)})
-    return out.withColumns({"n_items": F.size("item_ids").cast("long"), "contaminated": F.col("n_hit") > 0})
+    out = out.withColumns({"n_items": F.size("item_ids").cast("long"), "contaminated": F.col("n_hit") > 0})
+    if slop is None:
+        return out
+    near = proximity_matches(index, terms, slop).join(small_side(names), "item").groupBy(*DOC).agg(F.array_sort(F.collect_set("item_id")).alias("near_ids"))
+    return null_safe_join(out, near, DOC, "left").withColumn("near_ids", F.coalesce("near_ids", none))
 
 
 def digest(found: DataFrame) -> DataFrame:

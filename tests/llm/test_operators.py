@@ -89,6 +89,39 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontaminate.proximity_matches(index, terms, slop=3).collect()} == {1, 3}
 
 
+def brute_near(text, item, slop, share):
+    w, t = (text or "").split(), item.split()
+    bands = defaultdict(set)
+    for pos, x in enumerate(w):
+        for q, y in enumerate(t):
+            if x == y:
+                bands[(pos - q) // (2 * slop)].add(q)
+                bands[(pos - q + slop) // (2 * slop) + 0.5].add(q)
+    return any(len(b) >= share * len(t) for b in bands.values())
+
+
+def test_proximity_loses_no_match(spark):
+    draw = random.Random(3)
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(300)]
+    make = lambda n: [draw.choice(rare if draw.random() < 0.3 else common) for _ in range(n)]
+    items = [make(n) for n in (1, 2, 4, 5, 9, 10, 10, 10, 14, 15, 23, 35)] + [["nowhere", *make(9)], ["alpha", "beta", *common[:8]], ["nowhere", "never", "not", *make(7)]]
+    rows = [(0, " ".join(items[-3][1:]), "s"), (1, " ".join(["x", "y", *common[:8]]), "s"), (2, "alpha beta", "s"), (3, None, "s"), (4, "", "s"), (None, " ".join(items[7]), "s"), (0, "no such words", "s")]
+    for k, w in enumerate(items * 4):
+        drop = set(draw.sample(range(len(w)), min(len(w), int(len(w) * 0.2) + draw.choice([0, 0, 1]))))
+        rows.append((10 + k, " ".join(["z"] * draw.randrange(9) + ["other" if q in drop else x for q, x in enumerate(w)] + make(5)), "s"))
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    want = Counter((i, t, str(k)) for i, t, _ in rows for k, w in enumerate(items) if brute_near(t, " ".join(w), 3, 0.8))
+    assert (0, rows[0][1], "12") in want and (1, rows[1][1], "13") in want and len(want) > 40
+    found = decontaminate.decontaminate(docs_of(spark, rows), table, slop=3).select("doc_id", "rep", "near_ids", "item_ids", "n_hit")
+    texts = {r.rep: r.text for r in docs_of(spark, rows).select(F.xxhash64("text").alias("rep"), "text").collect()}
+    found = found.collect()
+    assert len(found) == len(rows) and Counter((r.doc_id, texts[r.rep], k) for r in found for k in r.near_ids) == want
+    terms, vocabulary = decontaminate.test_terms(table)
+    index = decontaminate.build_index(docs_of(spark, rows), vocabulary)
+    near = decontaminate.proximity_matches(index, terms, slop=3).select("doc_id", "rep", "item").distinct().join(terms.select("item", "item_id").distinct(), "item")
+    assert Counter((r.doc_id, texts[r.rep], str(r.item_id)) for r in near.collect()) == want
+
+
 # 2 and 4
 
 
