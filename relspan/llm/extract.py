@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,11 +26,14 @@ from relspan.llm.common import arrow_rows
 
 #: Elements of which no text is shown, void elements, elements that end a block, and those that hold no main text.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "button", "datalist"}
-RAW = r"script|style|textarea|title|noscript|iframe|template|svg"
+#: An svg that closes itself has no end tag to look for.
+RAW = r"script|style|textarea|title|noscript|iframe|template|svg(?!(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>)"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "tr", "ul", "button"}
 BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 MAIN = {"article", "main"}
+#: Boilerplate unless the page itself stands in it; a word of main content outside speaks against that as MAIN_WEIGHT words do.
+FORMS, MAIN_WEIGHT = {"form", "fieldset"}, 10
 #: Words in class, id and role that name what an element is for.
 BOILER_NAMES = re.compile(
     r"^(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall|nav|navi\w*|navbar|menu\w*|breadcrumb\w*|crumbs?|pagination|pager|sidebar\w*|side|aside|rail|widget\w*|related|recommend\w*|trending|popular|share|sharing|social\w*|follow|footer\w*|foot|alertdialog|copyright|legal|disclaimer|masthead|topbar|toolbar|skip|search\w*|complementary|contentinfo|navigation|comment\w*|respond|replies|reply|discussion|disqus\w*|reactions?|tags|toc|author-?bio|byline-?box)$",
@@ -72,16 +76,18 @@ def _kind(name: str, attr: str, in_main: bool) -> tuple[bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's flat text blocks in order; references decoded, white space inside a block is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, boiler, main, hidden
+    forms: list[set[int]] = []  # of each block: those around it that are boilerplate by their tag alone
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, boiler, main, hidden, number of such a form or 0
     text: list[str] = []
     links: list[str] = []
-    in_link = 0
+    in_link = n_forms = 0
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
         if joined:
             words = joined.count(" ") + 1
             boiler, main = any(x[1] for x in stack), any(x[2] for x in stack)
+            forms.append({x[4] for x in stack if x[4]})
             out.append(Block(joined, words, min(words, len("".join(links).split())), boiler, main))
         text.clear()
         links.clear()
@@ -127,13 +133,37 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in BLOCK:
                     break
         if name in MAIN:  # a form around the whole page is no form to leave out
-            stack[:] = [(n, own and n not in ("form", "fieldset"), main, hidden) for n, own, main, hidden in stack]
+            stack[:] = [(n, own and n not in FORMS, main, hidden, 0) for n, own, main, hidden, _ in stack]
         if name == "a":
             in_link += 1
-        stack.append((name, *_kind(name, m["attr"], any(x[2] for x in stack)), name in HIDDEN))
+        in_main, number = any(x[2] for x in stack), 0
+        boiler, main = _kind(name, m["attr"], in_main)
+        if name in FORMS and not _kind("div", m["attr"], in_main)[0]:
+            n_forms += 1
+            boiler, number = False, n_forms
+        stack.append((name, boiler, main, name in HIDDEN, number))
     add(page[at:])
     flush()
-    return out
+    return _outside_forms(out, forms)
+
+
+def _outside_forms(found: list[Block], forms: list[set[int]]) -> list[Block]:
+    """found, with what stands in a form as boilerplate, but for a form that holds most words of the page's not in other boilerplate."""
+    inside: Counter[int] = Counter()
+    outside: Counter[int] = Counter()
+    every = set().union(*forms)
+    if not every:
+        return found
+    rest = 0
+    for b, own in zip(found, forms):
+        if not b.boiler:
+            weighed = b.words * (MAIN_WEIGHT if b.main else 1)
+            rest += weighed
+            for k in own:
+                inside[k] += b.words
+                outside[k] -= weighed
+    left_out = {k for k in every if inside[k] <= outside[k] + rest}
+    return [b._replace(boiler=b.boiler or bool(own & left_out)) for b, own in zip(found, forms)]
 
 
 def features(found: list[Block]) -> np.ndarray:

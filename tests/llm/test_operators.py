@@ -362,6 +362,23 @@ def test_extraction(spark):
     assert Counter((r.page_id, r.text) for r in got) == Counter(want) and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_extraction_of_self_closed_svg_and_page_forms():
+    tree = extract.train(extract.EXAMPLES)
+    text = lambda page: extract.main_text(page, tree)
+    assert text('<main><p>one</p><svg class="i"/><p>two three four</p></main>') == "one\ntwo three four"
+    assert text("<main><p>one</p><svg/><p>two</p><SVG a='x>y' /><p>three</p><svg class=i><g/><text>no</text></svg><p>four</p></main>") == "one\ntwo\nthree\nfour"
+    long = [" ".join(f"word{k}{j}" for j in range(40)) for k in range(3)]
+    nav = "<nav><a href=1>Home</a> <a href=2>News</a></nav>"
+    cells = "".join(f"<tr><td>{x}</td></tr>" for x in long)
+    for body in (f"<table>{cells}</table>", f"<div role=main><table>{cells}</table></div>", f"<div class=content>{''.join(f'<div>{x}</div>' for x in long)}</div>", f"<fieldset><table>{cells}</table></fieldset>"):
+        assert text(f"<body><form id=aspnetForm action=x>{nav}{body}<div class=footer>all rights are reserved by the owners of the site</div></form></body>") == "\n".join(long)
+    paragraph = f"<div><p>{long[0]}</p></div>"
+    sign = "<form><p>Sign up with your address to get our letter each week.</p></form>"
+    assert text(paragraph + sign) == long[0] and text(f"<form>{paragraph}<fieldset><p>Sign up with your address to get our letter each week.</p></fieldset></form>") == long[0]
+    assert text(f"<main><p>a short text</p></main>{sign}") == "a short text"
+    assert text(f"<p>a short text here</p><form class=newsletter>{paragraph}</form>") == "a short text here"
+
+
 def test_tree_fits_its_table():
     tree = extract.train(extract.EXAMPLES)
     assert (extract.classify(tree, extract.EXAMPLES) == extract.EXAMPLES[:, -1]).all()
