@@ -135,3 +135,9 @@ def write_file(uri: str, chunks: Iterator[bytes]) -> int:
 def open_file(uri: str) -> pa.NativeFile:
     fs, path = filesystem(uri)
     return fs.open_input_stream(path, compression=None)
+
+
+def open_places(uri: str) -> pa.NativeFile:
+    """A file of which any place can be read."""
+    fs, path = filesystem(uri)
+    return fs.open_input_file(path)

@@ -1,8 +1,9 @@
 """Content-addressed WARC archive: payload bytes stored once by SHA-256, exact record headers apart, records by joins.
 
-``write_archive`` makes two things in a folder: payloads/, WARC files whose records hold each distinct payload once under its
-digest, and headers/, a table with the exact header bytes of every record and its payload's digest. ``records`` joins
-headers with payloads to the original record bytes, and ``export_records`` writes these as WARC files for other tools.
+``write_archive`` makes three things in a folder: payloads/, WARC files whose records hold each distinct payload once under its
+digest; index/, a table of where each of these stands; and headers/, a table with the exact header bytes of every record and
+its payload's digest. ``records`` joins headers with the index and fetches the payloads for the original record bytes, and ``export_records`` writes these as WARC files, which ``read_records``
+parses; the query's columns are what it finds there.
 A record with a payload of at least MIN_BYTES that an earlier page has too is a revisit.
 
 Defined cases: null html is an empty payload; a null url is left out of the header; equal payloads are compared by digest and
@@ -14,8 +15,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspan.llm.common import arrow_rows
-from relspan.llm.encoding import open_file, write_file
+from relspan.llm.common import arrow_rows, small_side
+from relspan.llm.encoding import open_file, open_places, write_file
 from relspan.sources.scratch import new_folder, staged
 
 MIN_BYTES = 100
@@ -99,21 +102,28 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
     held = held if everything else held.join(keep.withColumnRenamed("page_id", "__page"), (F.col("page_id").eqNullSafe(F.col("__page"))) & (held.payload_digest == keep.payload_digest), "left_semi")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), [0]
+        part, at = TaskContext.get().partitionId(), 0
+        digests: list[str] = []
+        offsets, sizes = array("q"), array("q")
 
         def members(parts: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+            nonlocal at
             for b in parts:
                 for digest, payload in zip(b.column("payload_digest").to_pylist(), b.column("payload").to_pylist()):
                     if hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError("a payload does not match its digest")
                     head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: {record_id(None, digest)}\r\nWARC-Date: {_DATE}\r\nWARC-Target-URI: urn:sha256:{digest}\r\nWARC-Payload-Digest: sha256:{digest}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
-                    n[0] += 1
-                    yield gzip.compress(head.encode() + payload + b"\r\n\r\n", LEVEL, mtime=0)
+                    member = gzip.compress(head.encode() + payload + b"\r\n\r\n", LEVEL, mtime=0)
+                    digests.append(digest)
+                    offsets.append(at)
+                    sizes.append(len(member))
+                    at += len(member)
+                    yield member
 
         write_file(f"{folder}/payloads/{part:06d}.warc.gz", members(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array(n)], ["part", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array([part] * len(digests), pa.int64()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], ["payload_digest", "part", "offset", "length"])
 
-    parts = [r.part for r in held.mapInArrow(store, "part long, records long").collect() if r.records]  # a row a file
+    held.mapInArrow(store, "payload_digest string, part long, offset long, length long").write.parquet(f"{folder}/index")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"]
@@ -123,8 +133,7 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
 
     kind = pages.schema["page_id"].dataType.simpleString()
     rows.mapInArrow(heads, f"page_id {kind}, payload_digest string, header binary").write.parquet(f"{folder}/headers")
-    listed = spark.createDataFrame([(p,) for p in parts], "part long")
-    listed.coalesce(1).write.parquet(f"{folder}/parts")
+    spark.read.parquet(f"{folder}/index").select("part").distinct().coalesce(1).write.parquet(f"{folder}/parts")
     return spark.read.parquet(f"{folder}/headers")
 
 
@@ -168,11 +177,45 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, record_type, refers_to, payload_digest, record): the original records' exact bytes; a revisit has no body."""
-    head, body = read_headers(spark, folder), read_payloads(spark, folder).dropDuplicates(["payload_digest"])
-    joined = head.join(body, "payload_digest")
-    payload = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select("page_id", "record_type", "refers_to", "payload_digest", F.concat("header", payload, F.lit(b"\r\n\r\n")).alias("record"))
+    """(page_id, record_type, refers_to, payload_digest, record): the original records' exact bytes; a revisit has no body.
+
+    Payloads aren't shuffled: headers meet the index by digest, are dealt in ranges of place, and each task reads the payloads of its
+    range from their files, each digest verified against the bytes.
+    """
+    head = read_headers(spark, folder)
+    place = spark.read.parquet(f"{folder}/index").groupBy("payload_digest").agg(F.min(F.struct("part", "offset", "length")).alias("p"))
+    place = staged(place.select("payload_digest", "p.*"), "places")  # plain shuffles on both sides of the join, so that Spark can split it
+    whole = staged(head.where("record_type = 'response'").join(place, "payload_digest", "left"), "located")
+    n = max(1, spark.read.parquet(f"{folder}/parts").count())
+    whole = whole.repartitionByRange(n, "part", "offset", "page_id").sortWithinPartitions("part", "offset")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, file, payload = None, None, b""
+        for b in batches:
+            made = []
+            for part, offset, length, digest, block in zip(*(b.column(c).to_pylist() for c in ("part", "offset", "length", "payload_digest", "header"))):
+                if part is None:
+                    raise ValueError("a record's payload is not in the archive")
+                if held is None or held[0] != part:
+                    if file is not None:
+                        file.close()
+                    file = open_places(f"{folder}/payloads/{part:06d}.warc.gz")
+                if held != (part, offset):
+                    file.seek(offset)
+                    _, _, payload = next(parse_records(io.BytesIO(gzip.decompress(file.read(length)))))
+                    if hashlib.sha256(payload).hexdigest() != digest:
+                        raise ValueError("a payload does not match its digest")
+                    held = (part, offset)
+                made.append(block + payload + b"\r\n\r\n")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:4]), pa.array(made, pa.binary())], names)
+        if file is not None:
+            file.close()
+
+    arrow_rows(spark)
+    names = ["page_id", "record_type", "refers_to", "payload_digest", "record"]
+    kind = head.schema["page_id"].dataType.simpleString()
+    found = whole.mapInArrow(fetch, f"page_id {kind}, record_type string, refers_to {kind}, payload_digest string, record binary")
+    return found.unionByName(head.where("record_type = 'revisit'").withColumn("record", F.concat("header", F.lit(b"\r\n\r\n"))).drop("header"))
 
 
 def export_records(spark: SparkSession, folder: str, to: str) -> DataFrame:
@@ -194,11 +237,44 @@ def export_records(spark: SparkSession, folder: str, to: str) -> DataFrame:
     return staged(records(spark, folder).select("record").mapInArrow(write, "part long, records long"), "exported")
 
 
+def read_records(spark: SparkSession, folder: str, parts: DataFrame, kind: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the WARC files that export_records
+    wrote, each body held against its header's length and digest. A revisit has no body and no payload_bytes. kind: the type of page_id."""
+    dealt = parts.where("records > 0").select("part")
+    dealt = dealt.repartition(max(1, dealt.count()), "part")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(zip(*rows))], names)
+
+        for b in batches:
+            for part in b.column("part").to_pylist():
+                rows: list[tuple] = []
+                with open_file(f"{folder}/{part:06d}.warc.gz") as f, gzip.GzipFile(fileobj=f) as data:
+                    for fields, _, payload in parse_records(data):
+                        digest, again = fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"] == "revisit"
+                        if payload if again else hashlib.sha256(payload).hexdigest() != digest:
+                            raise ValueError("a record's body does not match its header")
+                        rows.append((fields.get("page-id"), None if again else len(payload), digest, fields["warc-type"], fields.get("refers-to-page")))
+                        if len(rows) == 4096:
+                            yield batch(rows)
+                            rows = []
+                if rows:
+                    yield batch(rows)
+
+    out = dealt.mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return out.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
+
+
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write the archive of pages and read it back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the archive of pages, rebuild every page's record from it as WARC files and read these back: page_id, payload_bytes,
+    payload_digest, record_type, refers_to. A revisit's payload_bytes are those of the record that holds its payload."""
     spark = pages.sparkSession
-    folder = new_folder(spark, "warc")
+    folder, to = new_folder(spark, "warc"), new_folder(spark, "warc-records")
     write_archive(pages, folder)
-    body = read_payloads(spark, folder, with_bytes=False).distinct()
-    out = read_headers(spark, folder).drop("header").join(body, "payload_digest")
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = staged(read_records(spark, to, export_records(spark, folder, to), pages.schema["page_id"].dataType.simpleString()), "read-records")
+    whole, again = out.where("record_type = 'response'"), out.where("record_type = 'revisit'")
+    sizes = whole.select("payload_digest", "payload_bytes").join(again.select("payload_digest").distinct(), "payload_digest", "left_semi").distinct()
+    again = again.drop("payload_bytes").join(small_side(staged(sizes, "sizes")), "payload_digest", "left")
+    return whole.unionByName(again).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,9 +1,12 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import gzip
 import hashlib
 import math
+import pathlib
 import random
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -304,6 +307,32 @@ def test_archive(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_round_trip_reads_page_records(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, None if k == 4 else f"http://a/{k}", f"<p>{'x' * 150}{k % 3}</p>") for k in range(12)] + [(12, "u", ""), (13, "u", "")], "page_id long, url string, html string")
+    made = []
+    monkeypatch.setattr(warc, "new_folder", lambda s, label: made.append(new_folder(s, label)) or made[-1])
+    got = warc.archive_round_trip(pages).collect()
+    assert len(made) == 2 and len(got) == 14
+    kept = {}
+    for f in sorted(pathlib.Path(made[1].removeprefix("file://")).glob("*.warc.gz")):
+        for fields, block, payload in warc.parse_records(gzip.open(f)):
+            kept[int(fields["page-id"])] = (block, payload)
+    own = {r.page_id: r for r in got}
+    for r in pages.collect():
+        body, g = r.html.encode(), own[r.page_id]
+        again = g.record_type == "revisit"
+        assert kept[r.page_id] == (warc.header(r.page_id, r.url, g.record_type, hashlib.sha256(body).hexdigest(), len(body), g.refers_to), b"" if again else body)
+        assert again == (3 <= r.page_id < 12) and g.payload_bytes == len(body)
+    folder = made[0]
+    heads = spark.read.parquet(f"{folder}/headers").collect()
+    wrong = new_folder(spark, "w")
+    spark.createDataFrame([(h.page_id, h.payload_digest, bytes(h.header).replace(b"Content-Length: 1", b"Content-Length: 2")) for h in heads], "page_id long, payload_digest string, header binary").write.parquet(f"{wrong}/headers")
+    for sub in ("payloads", "parts", "index"):
+        shutil.copytree(f"{folder}/{sub}".removeprefix("file://"), f"{wrong}/{sub}".removeprefix("file://"))
+    with pytest.raises(Exception, match="does not end where its length says"):
+        warc.read_records(spark, f"{wrong}/out", warc.export_records(spark, wrong, f"{wrong}/out"), "long").collect()
+
+
 # 6 and 10
 
 
