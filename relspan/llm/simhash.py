@@ -47,17 +47,20 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), stored; fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, rep: bool = False) -> DataFrame:
+    """(doc_id, fp[, rep]), stored; fp is the fingerprint's 64 bits as a signed long, rep the SHA-256 of the text."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x) for x in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            names = ["doc_id", "fp", "rep"][: 2 + rep]
+            yield pa.RecordBatch.from_arrays([pa.array(fp) if c == "fp" else b.column(c) for c in names], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return staged(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long"), "fingerprints")
+    own = [F.sha2(F.coalesce("text", F.lit("")), 256).alias("rep")] if rep else []
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *own)
+    return staged(rows.mapInArrow(run, f"doc_id {kind}, fp long" + ", rep string" * rep), "fingerprints")
 
 
 def _syndromes() -> np.ndarray:
@@ -199,11 +202,20 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each component: that with the least doc_id.
 
-    Rows that share this doc_id are one document, of which one row stays. A row with no id can't stand for others
-    and stays.
+    Rows that share this doc_id are one document, of which one row stays: of those that stand for a component, by their own
+    text, the one with the least text. A row with no id can't stand for others and stays.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    lone = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    if not docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        lone = lone.dropDuplicates(["doc_id"])
+    found = near_duplicates(docs).where("doc_id = component_id")
+    kept = found.select("doc_id").distinct()
+    twice = staged(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
+    if twice.isEmpty():
+        lone = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    else:  # rows of one id are told apart by the hash of their text
+        found = staged(found.join(twice, "doc_id", "left_semi").select("doc_id", "fp").distinct(), "stand-in")
+        rows = docs.join(twice, "doc_id", "left_semi").select(docs.columns)
+        own = fingerprints(rows, rep=True).join(found, ["doc_id", "fp"], "left_semi").select("doc_id", "rep").distinct()
+        rows = rows.withColumn("__rep", F.sha2(F.coalesce("text", F.lit("")), 256)).join(own.withColumnRenamed("rep", "__rep"), ["doc_id", "__rep"], "left_semi").select(docs.columns)
+        rest = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__least")).select("doc_id", "__least.*").select(docs.columns)
+        lone = docs.join(kept, "doc_id", "left_semi").join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(rows)
     return lone.unionByName(docs.where("doc_id IS NULL"))

@@ -525,6 +525,16 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for c in comp if c is not None})
 
 
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    x, y, z = " ".join(PROSE * 3), "something else altogether stands in this other text of the id", "and here a third one about ships and their masters"
+    rows = [(3, x, "s"), (5, x, "s"), (5, y, "s"), (6, z, "b"), (6, z, "a"), (None, x, "s"), (9, y, "s"), (7, None, "s"), (7, "", "s")]
+    want = Counter([(3, x, "s"), (5, y, "s"), (6, z, "a"), (None, x, "s"), (7, None, "s")])
+    for k in (1, 5):
+        for order in (rows, rows[::-1]):
+            got = simhash.keep_one(docs_of(spark, order).repartition(k)).collect()
+            assert Counter((r.doc_id, r.text, r.source) for r in got) == want
+
+
 @pytest.mark.parametrize("tile", [8, 4096])
 def test_no_link_is_lost(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
