@@ -23,14 +23,14 @@ class Words(NamedTuple):
     prefix: np.ndarray  # for span_hash
 
 
-def slices(texts: list[str | None]) -> Iterator[list[str]]:
-    """Cut a list of texts where SLICE_CHARS is passed; null becomes the empty text."""
+def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """Cut a list of texts where ``chars`` is passed; null becomes the empty text."""
     part: list[str] = []
     held = 0
     for x in texts:
         part.append(x or "")
         held += len(part[-1])
-        if held >= SLICE_CHARS:
+        if held >= chars:
             yield part
             part, held = [], 0
     if part:

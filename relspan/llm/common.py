@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from relspan.sources.shipping import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of an Arrow batch; one longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 #: A side is broadcast only after a count has shown that it has at most so many narrow rows.
 BROADCAST_ROWS = 500_000
 
@@ -19,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Before Python on the executors: send them this package, and bound the rows of Arrow batches, as texts are long."""
+def python_ready(spark: SparkSession) -> None:
+    """Before Python on the executors: send them this package, and bound Arrow batches by bytes, as texts are long.
+
+    The bounds are the same for all operators, so it doesn't matter which of them has planned last when a plan runs.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def lower_ascii(text: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspan.llm.common import arrow_rows
+from relspan.llm.common import python_ready
 
 #: Elements of which no text is shown, void elements, elements that end a block, and those that hold no main text.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "button", "datalist"}
@@ -251,7 +251,7 @@ def main_text(page: str | None, tree: Split | Leaf) -> str:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of the whole html of every row."""
-    arrow_rows(pages.sparkSession)
+    python_ready(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = train(EXAMPLES)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from relspan.llm.common import arrow_rows, held_out, small_side
+from relspan.llm.common import python_ready, held_out, small_side
 
 #: A classifier is fitted on at most so many labelled rows of label 1 and so many of label 0.
 FIT_ROWS = 3000
@@ -34,7 +34,7 @@ def fit_in_one_task(sample: DataFrame, featurize: Callable[[list[str]], list[byt
 
     Rows are fitted in the order of ``at``, so reruns agree. An empty sample gives fit([]).
     """
-    arrow_rows(sample.sparkSession)
+    python_ready(sample.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,7 +52,7 @@ def fit_in_one_task(sample: DataFrame, featurize: Callable[[list[str]], list[byt
 def score_with(docs: DataFrame, model: bytes, score: Callable[[object, list[str]], list[float]], name: str = "score") -> DataFrame:
     """docs with the column ``name``, made batch by batch from whole texts; a column that docs has under this name goes."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    python_ready(spark)
     sent = spark.sparkContext.broadcast(model)
     docs = docs.drop(name)
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])

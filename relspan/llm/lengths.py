@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspan.llm.common import arrow_rows
+from relspan.llm.common import python_ready
 from relspan.llm.encoding import encoder
 from relspan.sources.scratch import staged
 
@@ -24,7 +24,7 @@ BLOCK = 64
 
 def encoded_lengths(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     """docs' doc_id with ``length``, the number of ids of the whole text."""
-    arrow_rows(docs.sparkSession)
+    python_ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

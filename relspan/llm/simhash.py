@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspan.llm.common import arrow_rows
+from relspan.llm.common import python_ready
 from relspan.llm.components import connected_components
 from relspan.sources.scratch import staged
 
@@ -49,7 +49,7 @@ def fingerprint(text: bytes | None) -> int:
 
 def fingerprints(docs: DataFrame, rep: bool = False) -> DataFrame:
     """(doc_id, fp[, rep]), stored; fp is the fingerprint's 64 bits as a signed long, rep the SHA-256 of the text."""
-    arrow_rows(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +170,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints; their components are those of all links of at most THRESHOLD bits."""
     spark = fps.sparkSession
-    arrow_rows(spark, 20_000)
+    python_ready(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     spread = staged(fps.select("fp").distinct().repartition(parts).mapInArrow(_replicate, "anchor long, fp long, own boolean"), "anchors")
     heavy = spread.groupBy("anchor").agg(F.sum(F.col("own").cast("long")).alias("owners")).where(F.col("owners") > TILE)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relspan.llm.bytewords import LETTERS_DIGITS, mix, slices, words_of
-from relspan.llm.common import arrow_rows, id_ranges, scan_partitions
+from relspan.llm.common import python_ready, id_ranges, scan_partitions
 from relspan.llm.components import connected_components
 from relspan.sources.scratch import staged
 
@@ -103,7 +103,7 @@ def next_to_each(docs: DataFrame) -> DataFrame:
     task needs another's rows. The firsts are found from the ids alone, one for each range.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    python_ready(spark)
     ranged, parts = id_ranges(docs.select("doc_id", "text"), "doc_id", scan_partitions(docs))
     ids = ranged.select("doc_id", "range_id")
     heads = {r.range_id: r.head for r in ids.groupBy("range_id").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).collect()}
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     only members of different classes make pairs, so a group gives no pairs within itself, and no link is lost.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    python_ready(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspan.llm.common import arrow_rows, id_ranges, scan_partitions
+from relspan.llm.common import python_ready, id_ranges, scan_partitions
 from relspan.llm.encoding import encoder, filesystem, open_file, write_file
 from relspan.sources.scratch import new_folder
 
@@ -69,7 +69,7 @@ def write_records(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str
 
     One shuffle deals ranges of doc_id to tasks, as many as the input has partitions; a task streams its sorted range.
     """
-    arrow_rows(docs.sparkSession)
+    python_ready(docs.sparkSession)
     ranged, parts = id_ranges(docs.select("doc_id", "text"), "doc_id", scan_partitions(docs))
     dealt = ranged.repartitionById(parts, "range_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspan.llm.common import arrow_rows, small_side
+from relspan.llm.common import python_ready, small_side
 from relspan.llm.encoding import open_file, open_places, write_file
 from relspan.sources.scratch import new_folder, staged
 
@@ -93,7 +93,7 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
     that it meets to one file, a gzip member a record.
     """
     spark = pages.sparkSession
-    arrow_rows(spark)
+    python_ready(spark)
     rows = classify(pages)
     keep = rows.where("stored").select("page_id", "payload_digest").distinct()
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -211,7 +211,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    arrow_rows(spark)
+    python_ready(spark)
     names = ["page_id", "record_type", "refers_to", "payload_digest", "record"]
     kind = head.schema["page_id"].dataType.simpleString()
     found = whole.mapInArrow(fetch, f"page_id {kind}, record_type string, refers_to {kind}, payload_digest string, record binary")
@@ -233,7 +233,7 @@ def export_records(spark: SparkSession, folder: str, to: str) -> DataFrame:
         write_file(f"{to}/{part:06d}.warc.gz", members())
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array(n)], ["part", "records"])
 
-    arrow_rows(spark)
+    python_ready(spark)
     return staged(records(spark, folder).select("record").mapInArrow(write, "part long, records long"), "exported")
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import json
 import math
 import pathlib
 import random
@@ -12,13 +13,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from relspan.llm import decontaminate, extract, lengths, mixing, quality, simhash, spotsigs, token_records, toxicity, warc
-from relspan.llm.common import id_ranges
+from relspan.llm.common import BATCH_BYTES, id_ranges, python_ready
 from relspan.llm.components import connected_components
 from relspan.llm.encoding import Encoder
 from relspan.llm.queries import oracle_sql, queries, tokenizer_json
@@ -371,11 +373,41 @@ def test_record_files(spark):
             token_records.read_frame(__import__("io").BytesIO(damaged))
 
 
-def test_encoder_forgets_within_bounds(monkeypatch):
-    monkeypatch.setattr("relspan.llm.encoding.MEMORY", 50)
+@pytest.mark.parametrize("slots", [8, 1 << 12])
+def test_encoder_equals_the_library(monkeypatch, slots):
+    """Within a small table, which displaces and drops words, and for every Latin-1 character."""
+    monkeypatch.setattr("relspan.llm.encoding.SLOTS", slots)
+    monkeypatch.setattr("relspan.llm.encoding.POOL", 8 * slots)
+    monkeypatch.setattr("relspan.llm.encoding.SLICE", 2000)
     enc, plain = Encoder(tokenizer_json()), Tokenizer.from_str(tokenizer_json())
-    texts = [f"word{k} Thing{k * 7}, it's {k}!" for k in range(500)]
-    assert [x.tolist() for x in enc.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    draw = random.Random(slots)
+    letters = [chr(c) for c in range(256)] + list("'" * 5 + "ssttrevmlldd  ÀÉ½²×÷ß") * 6
+    texts = [f"word{k} Thing{k * 7}, it's {k}!" for k in range(500)] + ["".join(draw.choice(letters[97:] if k % 2 else letters) for _ in range(draw.randrange(60))) for k in range(2000)]
+    texts += ["x" * 17 + " it's " + "é" * 17 + "'ll" + "'" * 2 + "ve", "’", "中文 and Latin", "a <|endoftext|> b", "K ẞ İ", "", None, "'", "' 's's don't l'lle", "don't" + "'" * 2 + "s", "a" * 5000]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode(texts)] == want and list(enc.count(texts)) == list(map(len, want))
+    assert len(enc.pool) <= 8 * slots + 20_000 and len(enc.keys) == slots
+
+
+def test_encoder_of_another_tokenizer():
+    """What splits text by another pattern goes through the library whole."""
+    made = json.loads(tokenizer_json())
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+    enc, plain = Encoder(json.dumps(made)), Tokenizer.from_str(json.dumps(made))
+    assert not enc.by_word and Encoder(tokenizer_json()).by_word
+    assert [x.tolist() for x in enc.encode(["Route66 it's 12ab"])] == [plain.encode("Route66 it's 12ab", add_special_tokens=False).ids]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    python_ready(spark)
+    df = spark.range(40).coalesce(1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["rows"])
+
+    rows = [r.rows for r in df.mapInArrow(sizes, "rows long").collect()]
+    assert sum(rows) == 40 and max(rows) <= (BATCH_BYTES >> 20) + 1
 
 
 # 7
