@@ -8,6 +8,7 @@ import pathlib
 import random
 import re
 import shutil
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -424,7 +425,7 @@ def test_extraction(spark):
 
 
 def test_extraction_of_self_closed_svg_and_page_forms():
-    tree = extract.train(extract.EXAMPLES)
+    tree = extract.train(extract.labelled_rows())
     text = lambda page: extract.main_text(page, tree)
     assert text('<main><p>one</p><svg class="i"/><p>two three four</p></main>') == "one\ntwo three four"
     assert text("<main><p>one</p><svg/><p>two</p><SVG a='x>y' /><p>three</p><svg class=i><g/><text>no</text></svg><p>four</p></main>") == "one\ntwo\nthree\nfour"
@@ -441,8 +442,79 @@ def test_extraction_of_self_closed_svg_and_page_forms():
 
 
 def test_tree_fits_its_table():
-    tree = extract.train(extract.EXAMPLES)
-    assert (extract.classify(tree, extract.EXAMPLES) == extract.EXAMPLES[:, -1]).all()
+    rows = extract.labelled_rows()
+    tree = extract.train(rows)
+    assert (extract.classify(tree, rows) == rows[:, -1]).all()
+    named, text = rows[:, extract.NAMES[0]] > 0, rows[:, -1] == 1
+    assert (named & text).sum() >= 10 and (~named & ~text).sum() >= 40  # names alone don't settle it
+
+
+PAGE = [  # held out: blocks of a page in order and whether they are main text
+    ("<div class=top><a href=/>Daily paper</a></div><table><tr><td><a href=1>World</a><td><a href=2>Sport</a><td><a href=3>Arts</a></table>", None),
+    ("<div class='post-share-story'><h1>{}</h1>", 7), ("<p>{}</p>", 60), ("<p>{}</p>", 1), ("<div class='comment-free'><p>{}</p></div>", 45), ("<blockquote>{}</blockquote>", 12), ("<ul><li>{}<li>", 3), ("{}</ul>", 2), ("<p>{}</p></div>", 70),
+    ("<div class='related-posts'><p><a href=4>One more thing</a></p><p>It was said that the other one is better to read.</p></div>", None), ("<div class='article-comments'><p>A reader has much to say about all this and says it here in one long line of words that goes on for a while.</p></div>", None),
+    ("<p><a href=5>About us</a></p><p><a href=6>Contact</a></p><p>(c) the paper</p>", None),
+]
+
+
+def test_held_out_page():
+    tree = extract.train(extract.labelled_rows())
+    number, page, want = 0, "", []
+    for html, n in PAGE:
+        if n is not None:
+            want.append(" ".join(f"w{number + k}" for k in range(n)))
+            number += n
+            html = html.format(want[-1])
+        page += html
+    assert extract.main_text(page, tree) == "\n".join(want)
+    assert extract.main_text(f"<body><main>{page}</main>", tree).startswith(want[0])
+
+
+def test_drops_by_counts(spark):
+    """Most of what is dropped is dropped by counts and link densities, whatever it is named."""
+    tree = extract.train(extract.labelled_rows())
+    dropped = counted = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        x = extract.features(extract.blocks(r.html))
+        out = ~extract.classify(tree, x)
+        dropped += out.sum()
+        counted += (out & extract.by_counts(tree, x)).sum()
+        nameless = x * [1, 1, 1, 1, 1, 1, 0, 1]
+        assert (out & (x[:, 1] > 0.9)).sum() == (~extract.classify(tree, nameless) & (x[:, 1] > 0.9)).sum()  # menus need no names
+    assert counted > 0.7 * dropped
+
+
+def test_markup_that_is_not_closed():
+    tree = extract.train(extract.labelled_rows())
+    text = lambda page: extract.main_text(page, tree)
+    long = " ".join(f"word{k}" for k in range(40))
+    assert text(f"<html><head><title>t</title><meta a=b><body><p>{long}") == long  # no end of head
+    assert text('<p>see <a href="x>link</a> and more of it</p>') == "see link and more of it"  # a quote that isn't closed
+    assert text('<p title="a > b <c>">one <b data-x=\'<i>\'>two</b></p>') == "one two"
+    assert text(f"<p>{long}</p><p>a<svg><g><p>{long} two</p>") == f"{long}\na\n{long} two"  # a paragraph ends an svg
+    assert text(f"<p>{long}</p><![CDATA[no]]><p>{long} <!-- no > no --> two") == f"{long}\n{long} two"
+    assert text(f"<p hidden>no</p><div style='display: none'><p>{long}</p></div><main><p>yes") == "yes"
+    (block,) = extract.blocks("<p><a href=/news/>Home page</a></p>")
+    assert (block.words, block.linked) == (2, 2)
+    assert [b.linked for b in extract.blocks("<p><a name=x/>no link</p><p><a href=1>one <a href=2>two</a> three</p>")] == [0, 2]
+
+
+@pytest.mark.parametrize("page", ["<div>{}x y</div>", "<form><fieldset>{}x", "<i>{}<p>t</b>", "<a href='x>{}", "<![CDATA[{}", '<p title="{}', "<li><ul>{}", "<!--{}", "<svg>{}<x/>", "</p>{}</b>"])
+def test_time_is_linear_in_nesting(page):
+    start, end = page.split("{}")
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        extract.blocks(start * n + end * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5 and took[1] < 10
+
+
+def test_extraction_of_no_pages(spark):
+    assert extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    big = "<p>" + "word " * 400_000 + "</p>"
+    got = extract.extract_text(spark.createDataFrame([(1, None, big), (1, None, big), (2, "u", "<main>\x00<p>a\x00b</p>")], "page_id long, url string, html string")).collect()
+    assert [len(r.text) for r in got] == [5 * 400_000 - 1] * 2 + [len("\x00\na\x00b")]
 
 
 # 8
