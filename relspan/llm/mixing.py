@@ -4,19 +4,20 @@ Every source's documents, in the order of a hash of doc_id, form one stream of w
 equal size. Slot k of the schedule takes the golden-ratio point frac(k * 0.618...) through the cumulative targets to a
 source; the slot's rank within its source picks the block, starting again at block 0 when the blocks run out. The last
 slot of a source ends at the very word that reaches the target, so the block's size decides the order alone.
-DataFrame functions only; prefix sums go by hash buckets, so a source that holds most rows is never in one task.
+That order is what the points are for: a document's place in the mix is its first slot, and ``apply_mix`` deals the mixed corpus to
+partitions in the order of slots, so every stretch of it has nearly the target shares. DataFrame functions only; prefix sums go by hash buckets, so a source that holds most rows is never in one task.
 
-Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order;
+Defined cases: a null text has size 0, is taken 0 times and has no slot; a null source is a source of its own, last in order;
 rows that repeat a doc_id are documents of their own; with no words at all every target is 0; other
 columns are ignored. A source's taken words are its target, rounded to whole words, at any size of the input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relspan.llm.common import null_safe_join
+from relspan.llm.common import null_safe_join, scan_partitions
 from relspan.sources.scratch import staged
 
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -87,8 +88,8 @@ def fragments(docs: DataFrame, block: int) -> DataFrame:
     return out.withColumn("lo", lo).withColumn("hi", F.least((F.col("b") + 1) * block - F.col("start"), F.col("size")))
 
 
-def slots(spark, targets: DataFrame, block: int) -> DataFrame:
-    """(k, source, rank, pass, b, upto): the schedule. Ranks of a source are 0 up to its quota of blocks.
+def slots(spark: SparkSession, targets: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """(k, source, rank, pass, b, upto): the schedule, and its number of slots. Ranks of a source are 0 up to its quota of blocks.
 
     upto: the words of the source's stream that the slot's pass takes. A last block, or a last slot, may hold fewer words than others.
     """
@@ -100,7 +101,8 @@ def slots(spark, targets: DataFrame, block: int) -> DataFrame:
     total = F.sum("quota").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     upto = F.sum("quota").over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     quota = staged(quota.withColumn("to", upto / total).withColumn("from", (upto - F.col("quota")) / total), "quotas")
-    n = int((quota.agg(F.sum("quota")).first()[0] or 0) * 1.01) + CHUNK
+    n_slots = int(quota.agg(F.sum("quota")).first()[0] or 0)
+    n = int(n_slots * 1.01) + CHUNK
     cell = F.sequence(F.floor(F.col("from") * CELLS), F.least(F.floor(F.col("to") * CELLS), F.lit(CELLS - 1)))
     cells = quota.withColumn("cell", F.explode(cell))
     turn = F.col("k") * F.lit(GOLDEN)
@@ -113,40 +115,43 @@ def slots(spark, targets: DataFrame, block: int) -> DataFrame:
     late = short.withColumn("rank", F.explode(F.sequence(F.col("got"), F.col("quota") - 1))).withColumn("k", n + F.col("rank"))
     turns = F.floor(F.col("rank") / F.col("blocks"))
     cols = ["k", "source", "rank", turns.alias("pass"), (F.col("rank") % F.col("blocks")).alias("b"), (F.col("words") - turns * F.col("source_size")).alias("upto")]
-    return ranked.select(*cols).unionByName(late.select(*cols))
+    return ranked.select(*cols).unionByName(late.select(*cols)), n_slots
 
 
-def schedule(docs: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(schedule, placed, sizes, targets). The schedule has a row for each piece of a document that a slot takes:
+def schedule(docs: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """(schedule, placed, sizes, targets, number of slots). The schedule has a row for each piece of a document that a slot takes:
     k, source, rank, pass, b, doc_id, size, start, lo, hi."""
     sized = sizes(docs)
     targets = source_targets(sized)
     words = (targets.agg(F.max("total")).first()[0] if block is None else 0) or 0
     block = block or max(1, -(-int(words) // BLOCKS))
     own = placed(sized)
-    taken = null_safe_join(fragments(own, block), slots(docs.sparkSession, targets, block), ["source", "b"], "inner")
+    dealt, n_slots = slots(docs.sparkSession, targets, block)
+    taken = null_safe_join(fragments(own, block), dealt, ["source", "b"], "inner")
     taken = taken.withColumn("hi", F.least("hi", F.col("upto") - F.col("start"))).where("hi > lo").drop("upto")
-    return taken, own, sized, targets
+    return taken, own, sized, targets, n_slots
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken; one row a row of docs."""
-    taken, own, sized, targets = schedule(docs)
+    """doc_id, size, source_size, target, taken, first_slot; one row a row of docs. first_slot: the document's place in the mix, null if it has none."""
+    taken, own, sized, targets, _ = schedule(docs)
     row = ["doc_id", "source", "size", "start"]
-    some = taken.groupBy(*row).agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    out = null_safe_join(own, some, row, "left").drop("start").unionByName(sized.where("size = 0").drop("ord").withColumn("taken", F.lit(0).cast("long")))
+    some = taken.groupBy(*row).agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("k").alias("first_slot"))
+    none = sized.where("size = 0").drop("ord").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
+    out = null_safe_join(own, some, row, "left").drop("start").unionByName(none)
     out = out.withColumn("taken", F.coalesce("taken", F.lit(0)))
-    return null_safe_join(out, targets.drop("total"), ["source"], "inner").select("doc_id", "size", "source_size", "target", "taken")
+    return null_safe_join(out, targets.drop("total"), ["source"], "inner").select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-def apply_mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus with the columns of docs: a row for each pass of the schedule over a document.
+def apply_mix(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """The mixed corpus with the columns of docs: a row for each pass of the schedule over a document, in the order of first slots.
 
-    A source's schedule ends within a document, or none: there the text ends after the words taken and n_chars follows.
+    Partition after partition (``parts``, as many as follow from the scan of docs) holds the next stretch of slots, sorted. A source's
+    schedule ends within a document, or none: there the text ends after the words taken and n_chars follows.
     """
-    taken, own, _, _ = schedule(docs)
+    taken, own, _, _, n_slots = schedule(docs)
     row = ["doc_id", "source", "size"]
-    whole = taken.groupBy(*row, "start", "pass").agg(F.sum(F.col("hi") - F.col("lo")).alias("__n"))
+    whole = taken.groupBy(*row, "start", "pass").agg(F.sum(F.col("hi") - F.col("lo")).alias("__n"), F.min("k").alias("__slot"))
     whole, same = whole.withColumnRenamed("size", "__size"), docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long"))
     keys = ["doc_id", "source", "__size"]
     if not own.groupBy(*row).count().where("count > 1").isEmpty():
@@ -161,4 +166,6 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     out = out.withColumn("text", F.when(entire, F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(entire, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    parts = parts or scan_partitions(docs)
+    stretch = F.least(F.floor(F.col("__slot") * parts / max(n_slots, 1)), F.lit(parts - 1)).cast("int")
+    return out.repartitionById(parts, stretch).sortWithinPartitions("__slot", "doc_id").select(*docs.columns)

@@ -58,12 +58,19 @@ s2 AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS w_total,
 s3 AS (SELECT *, (total * 1.5::DOUBLE - capped) / (w_total - spent) AS level FROM s2),
 lv AS (SELECT first(level ORDER BY cap / w, source NULLS LAST) FILTER (WHERE level * w <= cap) AS lv FROM s3),
 s AS (SELECT source, source_size, CAST(total AS BIGINT) AS total, least(cap, coalesce(lv * w, cap)) AS target FROM s3, lv),
-q AS (SELECT *, greatest(1, CAST((total + 1048575) // 1048576 AS BIGINT)) AS block FROM s),
-qq AS (SELECT *, CAST(floor(target / block + 0.5) AS BIGINT) AS quota, CAST(ceil(source_size / block) AS BIGINT) AS blocks FROM q),
-p AS (SELECT d.*, qq.source_size, qq.target, qq.block, qq.quota, qq.blocks, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY (size = 0)::INT, ord, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN qq ON d.source IS NOT DISTINCT FROM qq.source),
-f AS (SELECT r, start, size, block, quota, blocks, unnest(range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block + 1 AS BIGINT))) AS b FROM p WHERE size > 0),
-t AS (SELECT r, sum((least((b + 1) * block, start + size) - greatest(b * block, start)) * (CASE WHEN b < quota THEN (quota - 1 - b) // blocks + 1 ELSE 0 END)) AS taken FROM f GROUP BY r)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN t USING (r)
+q AS (SELECT *, greatest(1, CAST((total + 1048575) // 1048576 AS BIGINT)) AS block, CAST(floor(target + 0.5) AS BIGINT) AS words FROM s),
+r AS (SELECT *, words // source_size AS passes, words % source_size AS remain, CAST(ceil(source_size / block) AS BIGINT) AS blocks FROM q WHERE source_size > 0),
+qq AS (SELECT *, passes * blocks + CAST(ceil(remain / block) AS BIGINT) AS quota FROM r),
+c AS (SELECT *, CAST(sum(quota) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(quota) OVER () AS BIGINT) AS slots FROM qq WHERE quota > 0),
+n AS (SELECT CAST(floor(max(slots) * 1.01::DOUBLE) AS BIGINT) + 4096 AS points FROM c),
+k AS (SELECT k, k * 0.6180339887498949::DOUBLE - floor(k * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range(points)) AS k FROM n)),
+h AS (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS rank FROM k JOIN c ON u >= (upto - quota)::DOUBLE / slots AND u < upto::DOUBLE / slots),
+g AS (SELECT source, count(*) AS got FROM h GROUP BY source),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY (size = 0)::INT, ord, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+t AS (SELECT p.r, p.doc_id, p.size, p.source, s.source_size, s.target, CASE WHEN p.size > 0 THEN CAST(passes * p.size + greatest(0, least(p.size, remain - start)) AS BIGINT) ELSE 0 END AS taken, CAST(start // block AS BIGINT) AS b, points, got
+      FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN qq ON p.source IS NOT DISTINCT FROM qq.source LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source LEFT JOIN n ON true)
+SELECT t.doc_id, t.size, t.source_size, t.target, t.taken, CAST(CASE WHEN t.taken > 0 THEN coalesce(h.k, points + b) END AS BIGINT) AS first_slot
+FROM t LEFT JOIN h ON t.source IS NOT DISTINCT FROM h.source AND t.b = h.rank
 """
 
 _OP5 = r"""

@@ -257,13 +257,63 @@ def test_targets_are_met_with_large_blocks(spark, monkeypatch, blocks):
     assert got == Counter((r.doc_id, r.taken) for r in mixing.mix(docs).collect())  # as with blocks of one word
 
 
+def brute_schedule(size, target, block):
+    """(k, source, rank) of every slot, point by point."""
+    order = [s for s in sorted(size, key=lambda s: (s is None, s or "")) if size[s]]
+    quota = {}
+    for s in order:
+        words = math.floor(target[s] + 0.5)
+        quota[s] = words // size[s] * -(-size[s] // block) + -(-(words % size[s]) // block)
+    total, at, got, out = sum(quota.values()), 0, Counter(), []
+    ends = []
+    for s in order:
+        ends.append((at / total, (at + quota[s]) / total, s))
+        at += quota[s]
+    points = int(total * 1.01) + mixing.CHUNK
+    for k in range(points):
+        u = k * mixing.GOLDEN - math.floor(k * mixing.GOLDEN)
+        s = next(s for lo, hi, s in ends if lo <= u < hi)
+        if got[s] < quota[s]:
+            out.append((k, s, got[s]))
+        got[s] += 1
+    return out + [(points + r, s, r) for s in order for r in range(got[s], quota[s])], quota
+
+
 def test_schedule_is_even(spark):
-    rows = [(k, "w " * 50, f"s{k % 3}") for k in range(60)]
-    taken, *_ = mixing.schedule(docs_of(spark, rows), block=10)
-    got = taken.select("k", "source").distinct().orderBy("k").toPandas()
-    first = got[got.k < got.k.median()].source.value_counts()
-    whole = got.source.value_counts()
-    assert all(abs(2 * first.get(s, 0) / whole[s] - 1) < 0.15 for s in whole.index)
+    """Slot by slot as by brute force, and every beginning of it has nearly the target shares."""
+    rows = [(k, "w " * 50, f"s{k % 3}") for k in range(60)] + [(k, "v " * 7, "tiny") for k in range(60, 63)] + [(k, "u " * 400, None) for k in range(63, 70)]
+    size, target = brute_targets(rows)
+    for block in (3, 10):
+        taken, *_ = mixing.schedule(docs_of(spark, rows), block=block)
+        want, quota = brute_schedule(size, target, block)
+        got = {(r.k, r.source, r["rank"]) for r in taken.select("k", "source", "rank").distinct().collect()}
+        assert got == set(want)
+        seen, total = Counter(), sum(quota.values())
+        for n, (_, s, _) in enumerate(sorted(want), 1):
+            seen[s] += 1
+            if n % 5 == 0:
+                assert all(abs(seen[x] - n * quota[x] / total) < 5 for x in quota)
+    first = {(r.doc_id, r.taken > 0): r.first_slot for r in mixing.mix(docs_of(spark, rows)).collect()}
+    assert min(x for x in first.values() if x is not None) == 0 and all((x is None) == (not t) for (_, t), x in first.items())
+
+
+def test_mixed_corpus_stands_in_slot_order(spark):
+    rows = [(k, f"w{k} " * 30, f"s{k % 3}") for k in range(90)] + [(k, f"v{k} " * 30, None) for k in range(90, 300)]
+    docs = docs_of(spark, rows)
+    taken, *_ = mixing.schedule(docs)
+    first = defaultdict(lambda: 1 << 60)
+    for r in taken.collect():
+        first[r.doc_id, r["pass"]] = min(first[r.doc_id, r["pass"]], r.k)
+    path = new_folder(spark, "mixed")
+    mixing.apply_mix(docs, parts=5).write.parquet(path)
+    files = sorted(pathlib.Path(path.removeprefix("file://")).glob("part-*"))
+    got = [r.doc_id for f in files for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    assert len(files) == 5 and got == [i for (i, _), _ in sorted(first.items(), key=lambda x: x[1])]
+    _, target = brute_targets(rows)
+    source, seen, total = {i: s for i, _, s in rows}, Counter(), sum(target.values())
+    for n, i in enumerate(got, 1):
+        seen[source[i]] += 30
+        assert all(abs(seen[s] - 30 * n * target[s] / total) < 150 for s in target)  # a few documents, at every place
 
 
 def test_applied_mix(spark):
