@@ -10,6 +10,7 @@ import numpy as np
 #: Texts are taken together up to so many characters, so memory follows this or the longest text.
 SLICE_CHARS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
+_FOLDED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _POWERS = np.ones(1, np.uint64)
 _INVERSE = np.ones(1, np.uint64)
 
@@ -58,8 +59,8 @@ def span_hash(w: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((w.prefix[end] - w.prefix[start]) * _INVERSE[start] + (end - start).astype(np.uint64))
 
 
-def words_of(texts: list[str], inside: np.ndarray) -> Words:
-    """Runs of the bytes that ``inside`` (256 booleans) marks, in every text. Byte 0 separates texts."""
+def words_of(texts: list[str], inside: np.ndarray, fold: bool = False) -> Words:
+    """Runs of the bytes that ``inside`` (256 booleans) marks, in every text. Byte 0 separates texts. fold: hashes take A-Z as a-z; data stays."""
     raw = [x.encode("utf-8", "replace") for x in texts]
     data = np.frombuffer(b"\0" + b"\0".join(raw) + b"\0", np.uint8)
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in raw), np.int64, len(raw)))
@@ -67,7 +68,7 @@ def words_of(texts: list[str], inside: np.ndarray) -> Words:
     edge = np.diff(inside[data].astype(np.int8))
     start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
     prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)], out=prefix[1:])
+    np.cumsum(((_FOLDED[data] if fold else data).astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)], out=prefix[1:])
     w = Words(np.empty(0, np.uint64), start, end, np.searchsorted(ends, start, "left"), data, prefix)
     return w._replace(hash=span_hash(w, start, end))
 

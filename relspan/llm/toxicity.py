@@ -20,7 +20,8 @@ from relspan.llm.fitting import FIT_ROWS, fit_in_one_task, fitting_sample, score
 
 BITS = 20
 CUTS = (4, 5, 6)
-ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 5.0, 0.5, 5
+#: Chosen by cross-validation on rows that aren't held out (tuning.py).
+ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 8.0, 0.5, 5
 
 
 def feature_slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,27 +49,27 @@ def _featurize(texts: list[str | None]) -> list[bytes]:
     return out
 
 
-def ftrl(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coordinates, weights, bias) after PASSES over the rows in a fixed shuffled order."""
+def ftrl(rows: list[tuple[int, bytes]], alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
+    """(coordinates, weights, bias) after ``passes`` over the rows in a fixed shuffled order."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
     def weights(i: np.ndarray) -> np.ndarray:
         own = z[i]
-        w = -(own - np.sign(own) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
-        w[np.abs(own) <= L1] = 0.0
+        w = -(own - np.sign(own) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
+        w[np.abs(own) <= l1] = 0.0
         free = i == size  # the bias has no penalty
-        w[free] = -own[free] / ((BETA + np.sqrt(n[i][free])) / ALPHA)
+        w[free] = -own[free] / ((beta + np.sqrt(n[i][free])) / alpha)
         return w
 
     read = [(y, np.append(np.frombuffer(x, np.int32), size)) for y, x in rows]
     order = np.random.default_rng(7)
-    for _ in range(PASSES):
+    for _ in range(passes):
         for k in order.permutation(len(read)):
             y, i = read[k]
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-            s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
+            s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - s * w
             n[i] += g * g
     all_w = weights(np.arange(size + 1))
@@ -76,6 +77,14 @@ def ftrl(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, float]:
     return kept.astype(np.int32), all_w[kept].astype(np.float32), float(all_w[size])
 
 
+def score_bags(model: tuple, rows: list[bytes]) -> np.ndarray:
+    """Scores of texts that _featurize has read."""
+    kept, weights, bias = model
+    dense = np.zeros(1 << BITS, np.float32)
+    dense[kept] = weights
+    return np.array([1 / (1 + np.exp(-np.clip(bias + dense[np.frombuffer(x, np.int32)].sum(dtype=float), -35, 35))) for x in rows])
+
+
 def _score(model: tuple, texts: list[str | None]) -> list[float]:
     kept, weights, bias = model
     dense = np.zeros(1 << BITS, np.float32)

@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import pathlib
+import pickle
 import random
 import re
 import shutil
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from relspan.llm import decontaminate, extract, lengths, mixing, quality, simhash, spotsigs, token_records, toxicity, warc
+from relspan.llm import decontaminate, extract, fitting, lengths, mixing, quality, simhash, spotsigs, token_records, toxicity, warc
 from relspan.llm.common import BATCH_BYTES, id_ranges, python_ready
 from relspan.llm.components import connected_components
 from relspan.llm.encoding import Encoder
@@ -172,22 +173,119 @@ def test_classifiers_without_labels(spark, module):
     assert module.digest(docs_of(spark, []), none).count() == 0
 
 
-def test_gradients_of_the_bags():
-    """Attention and all weights learn: one bad passage among good ones decides."""
+def bag_of(x, word=(), of=()):
+    return quality._packed(np.asarray(x), np.array(word, np.int64), np.array(of, np.int64))
+
+
+def test_attention_learns():
+    """One bad passage among good ones decides, whether its measures or its words tell it."""
     rng = np.random.default_rng(1)
-    rows = []
-    for k in range(300):
-        x = rng.normal(0, 1, (rng.integers(1, 9), quality.N_FEATURES))
-        if k % 2:
-            x[rng.integers(0, len(x)), 3] = 6.0
-        rows.append((k % 2, x.astype(np.float32).tobytes()))
-    m = quality.attention_mil(rows[:200])
-    hits = 0
-    for y, x in rows[200:]:
-        x = np.frombuffer(x, np.float32).reshape(-1, quality.N_FEATURES)
-        p = quality._forward(m, np.clip((x - m["mean"]) / m["std"], -6, 6), np.zeros(len(x), int), 1)["p"][0]
-        hits += (p >= 0.5) == y
-    assert hits >= 95
+    for told_by in ("measures", "words"):
+        rows = []
+        for k in range(300):
+            n = int(rng.integers(1, 9))
+            x, of = rng.normal(0, told_by == "measures", (n, quality.N_FEATURES)), np.repeat(np.arange(n), 5 * (told_by == "words"))
+            word = rng.integers(100, 130, len(of))
+            if k % 2:
+                bad = int(rng.integers(0, n))
+                if told_by == "measures":
+                    x[bad, 3] = 6.0
+                else:
+                    word[5 * bad] = 7
+            rows.append((k % 2, bag_of(x, word, of)))
+        m = quality.attention_mil(rows[:200], passes=30)
+        got = quality.score_bags(m, [x for _, x in rows[200:]]) >= 0.5
+        assert sum(g == y for g, (y, _) in zip(got, rows[200:])) >= 95
+
+
+def brute_bag_score(m, x, word, of):
+    h = []
+    for k, row in enumerate(x):
+        mine = [w for w, o in zip(word, of) if o == k]
+        own = [sum(m["words"][w][j] for w in mine) / math.sqrt(max(len(mine), 1)) for j in range(quality.HIDDEN)]
+        z = [min(max((v - a) / s, -6), 6) for v, a, s in zip(row, m["mean"], m["std"])]
+        h.append([math.tanh(sum(z[i] * m["we"][i][j] for i in range(len(z))) + own[j] + m["be"][j]) for j in range(quality.HIDDEN)])
+    dot = lambda a, w, j: sum(a[i] * w[i][j] for i in range(len(a)))
+    e = [sum(math.tanh(dot(r, m["v"], j)) / (1 + math.exp(-dot(r, m["u"], j))) * m["a"][j] for j in range(quality.GATE)) for r in h]
+    a = [math.exp(v) for v in e]
+    bag = [sum(w * r[j] for w, r in zip(a, h)) / sum(a) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(b * w for b, w in zip(bag, m["w"])) + float(m["b"]))))
+
+
+def some_weights(rng):
+    m = quality.fresh_weights(rng.normal(0, 1, quality.N_FEATURES), rng.uniform(0.5, 2, quality.N_FEATURES))
+    return m | {k: rng.normal(0, 0.5, m[k].shape) for k in ("words", "be", "w", "b")}
+
+
+def test_forward_and_gradient_of_the_bags():
+    rng = np.random.default_rng(4)
+    m, bags = some_weights(rng), []
+    for n in (1, 4, 9):
+        of = np.sort(rng.integers(0, n, 6 * n))
+        bags.append((rng.normal(0, 2, (n, quality.N_FEATURES)), rng.integers(0, 1 << quality.BITS, len(of)), of))
+    p, y = quality._joined(bags), np.array([1.0, 0.0, 1.0])
+    assert np.allclose(quality._forward(m, p, 3)["p"], [brute_bag_score(m, *b) for b in bags])
+    loss = lambda: -np.mean([math.log(q if t else 1 - q) for q, t in zip(quality._forward(m, p, 3)["p"], y)])
+    g = quality._gradient(m, p, y)
+    for k in g:
+        for at in [tuple(rng.integers(0, s) for s in m[k].shape) for _ in range(3)] + ([(p.word[0], 2)] if k == "words" else []):
+            kept, step = m[k][at].copy(), 1e-5
+            m[k][at] = kept + step
+            more = loss()
+            m[k][at] = kept - step
+            slope = (more - loss()) / (2 * step)
+            m[k][at] = kept
+            assert g[k][at] == pytest.approx(slope, abs=1e-7), k
+
+
+def test_a_score_depends_on_its_text_alone():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "gamma!!", "delta", "x"], int(n))) for n in rng.integers(0, 300, 20)] + ["", None, "one", "z" * 5000]
+    m = some_weights(rng)
+    m["w"] = m["w"] * 50  # far apart
+    alone = [quality._score(m, [t])[0] for t in texts]
+    assert np.allclose(quality._score(m, texts), alone) and np.allclose(quality.score_bags(m, quality._featurize(texts)), alone, atol=1e-4)
+
+
+def test_ftrl_by_brute_force():
+    rng = np.random.default_rng(6)
+    rows = [(int(k % 3 == 0), np.unique(rng.integers(0, 30, 8) + 100 * (k % 3 == 0)).astype(np.int32).tobytes()) for k in range(40)]
+    size, z, n = 1 << toxicity.BITS, defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if i == size:
+            return -z[i] / ((1.0 + math.sqrt(n[i])) / 0.7)
+        return 0.0 if abs(z[i]) <= 0.9 else -(z[i] - math.copysign(0.9, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.7 + 0.5)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            y, own = rows[k][0], [*np.frombuffer(rows[k][1], np.int32).tolist(), size]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in own:
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.7
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    kept, weights, bias = toxicity.ftrl(rows, alpha=0.7, beta=1.0, l1=0.9, l2=0.5, passes=3)
+    want = {i: weight(i) for i in z if i != size and weight(i)}
+    assert set(kept.tolist()) == set(want) and len(want) < 120
+    assert np.allclose(weights, [want[i] for i in kept.tolist()], atol=1e-6) and bias == pytest.approx(weight(size))
+    dense = lambda x: 1 / (1 + math.exp(-bias - sum(want.get(i, 0.0) for i in np.frombuffer(x, np.int32).tolist())))
+    assert np.allclose(toxicity.score_bags((kept, weights, bias), [x for _, x in rows]), [dense(x) for _, x in rows], atol=1e-5)
+
+
+def test_fitting_sample_is_bounded(spark):
+    rows = [(5, f"text {k % 50:03d}", "s") for k in range(5000)] + [(k, f"other {k}", "s") for k in range(100, 140)] + [(7, None, "s")]
+    labels = spark.createDataFrame([(5, 1), (5, 1), (7, 1), (None, 1), (9999, 1), *((k, k % 2) for k in range(100, 140))], "doc_id long, toxic int")
+    got = fitting.fitting_sample(docs_of(spark, rows), labels, "toxic", 100).collect()
+    assert Counter(r.text for r in got if r.text is None or r.text.startswith("text")) == {"text 000": 1, None: 1}
+    free = [k for k in range(100, 140) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert len(got) == len(free) + 2
+    assert all(n <= 6 for n in Counter(r.label for r in fitting.fitting_sample(docs_of(spark, rows), labels, "toxic", 6).collect()).values())
+    sample = fitting.fitting_sample(docs_of(spark, rows), labels, "toxic", 100)
+    held = pickle.loads(fitting.fit_in_one_task(sample, lambda texts: [b"x" * 10 for _ in texts], lambda got: [x for _, x in got], most_bytes=55))
+    assert held == [b"x" * 10] * 5
 
 
 # 3
