@@ -276,8 +276,9 @@ def test_ftrl_by_brute_force():
 
 
 def test_fitting_sample_is_bounded(spark):
-    rows = [(5, f"text {k % 50:03d}", "s") for k in range(5000)] + [(k, f"other {k}", "s") for k in range(100, 140)] + [(7, None, "s")]
-    labels = spark.createDataFrame([(5, 1), (5, 1), (7, 1), (None, 1), (9999, 1), *((k, k % 2) for k in range(100, 140))], "doc_id long, toxic int")
+    often, null = [k for k in range(200, 300) if zlib.crc32(str(k).encode()) % 4 != 2][:2]
+    rows = [(often, f"text {k % 50:03d}", "s") for k in range(5000)] + [(k, f"other {k}", "s") for k in range(100, 140)] + [(null, None, "s")]
+    labels = spark.createDataFrame([(often, 1), (often, 1), (null, 1), (None, 1), (9999, 1), *((k, k % 2) for k in range(100, 140))], "doc_id long, toxic int")
     got = fitting.fitting_sample(docs_of(spark, rows), labels, "toxic", 100).collect()
     assert Counter(r.text for r in got if r.text is None or r.text.startswith("text")) == {"text 000": 1, None: 1}
     free = [k for k in range(100, 140) if zlib.crc32(str(k).encode()) % 4 != 2]
