@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names that folder. Where it is unset (tests, a laptop)
-a fresh local folder takes its place, which is only right for local masters.
+a fresh local folder takes its place, for local masters alone.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError(f"{context.master} shares no local folders: set spark.checkpoint.dir to one that driver and executors share")
         if context.applicationId not in _LOCAL:
             _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="relspan-")
         named = _LOCAL[context.applicationId]
@@ -46,6 +48,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the tables that staged() has returned and that nothing will read again."""
+    for df in frames:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/relspan/" in path:
+                remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's file systems."""
     jvm = spark.sparkContext._jvm
