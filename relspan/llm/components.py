@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspan.sources.scratch import staged
+from relspan.sources.scratch import discard, staged
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,5 +27,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = staged(both.where("hi > lo").join(least, "lo").select(F.col("hi").alias("u"), "m").where("u <> m").distinct(), "large")
         low = large.groupBy("u").agg(F.min("m").alias("least"))
         small = large.join(low, "u").select(F.when(F.col("m") == F.col("least"), F.col("u")).otherwise(F.col("m")).alias("hi"), F.col("least").alias("lo"))
-        up = staged(small.where("hi <> lo").select("lo", "hi").distinct(), "edges")
+        last, up = up, staged(small.where("hi <> lo").select("lo", "hi").distinct(), "edges")
+        discard(edges.sparkSession, last, least, large)
     raise RuntimeError(f"components still change after {most_rounds} rounds")

@@ -6,14 +6,20 @@ radius 1, times all values of the rest. A fingerprint belongs to its nearest anc
 to every anchor within the covering radius plus the part's threshold; those that meet at an anchor are compared there
 on all 64 bits. What an anchor finds is reduced to a forest at once, so large groups give no pairs.
 
+Anchors of three parts meet more and more fingerprints as these grow. Beyond WIDE different ones two parts of 32 bits with Hamming(31,26) are
+used, of which one differs in at most two bits: more copies of each, far fewer comparisons. Both find every link.
+
 Defined cases: null, empty and all-blank texts have fingerprint zero and link like any other; fewer than four words make
 one shingle; equal texts always share a component; a null doc_id has a fingerprint but never names a component
-unless its component has no other; other columns are ignored.
+unless its component has no other; rows that share a doc_id belong each to the component of its own text; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +27,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspan.llm.common import python_ready
+from relspan.llm.common import python_ready, small_side
 from relspan.llm.components import connected_components
-from relspan.sources.scratch import staged
+from relspan.sources.scratch import discard, staged
 
 THRESHOLD, SHINGLE, SEED = 4, 4, 42
-#: (first bit, bits) of the three parts; one differs in THRESHOLD // 3 = 1 bit at most.
-PARTS = ((0, 21), (21, 21), (42, 22))
-CODE_BITS = 15
+
+
+class Scheme(NamedTuple):
+    """Parts of the fingerprint, (first bit, bits); bits in which the nearest part differs at most; bits of the Hamming code."""
+
+    parts: tuple[tuple[int, int], ...]
+    differ: int
+    code_bits: int
+
+
+THREE = Scheme(((0, 21), (21, 21), (42, 22)), 1, 15)
+TWO = Scheme(((0, 32), (32, 32)), 2, 31)
+#: Different fingerprints up to which three parts cost less: about 42 copies of each against 300, and at most 2**12 owners an anchor.
+WIDE = 1 << 29
 #: Owners of one anchor that are compared in one task; more are dealt to tiles.
 TILE = 4096
+#: Keys over which a component's rows are dealt where names of components are too many to broadcast.
+SALT = 16
 #: Pairs that numpy compares at once.
 CELLS = 4_000_000
 
@@ -63,42 +82,43 @@ def fingerprints(docs: DataFrame, rep: bool = False) -> DataFrame:
     return staged(rows.mapInArrow(run, f"doc_id {kind}, fp long" + ", rep string" * rep), "fingerprints")
 
 
-def _syndromes() -> np.ndarray:
-    """For every value of CODE_BITS bits the place (1 to 15) of the bit that leads to its codeword; 0 is a codeword."""
-    x = np.arange(1 << CODE_BITS)
-    s = np.zeros(1 << CODE_BITS, np.int64)
-    for k in range(CODE_BITS):
-        s ^= np.where(x >> k & 1, k + 1, 0)
-    return s
+@lru_cache
+def _syndromes(code_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the lower 16 bits and for the others of a value: the XOR of the places (from 1) of its ones within the code."""
+    x = np.arange(1 << 16)
+    return tuple(np.bitwise_xor.reduce([np.where(x >> k & 1, k + 1 + base, 0) for k in range(16) if k + base < code_bits]) if base < code_bits else np.zeros(1 << 16, np.int64) for base in (0, 16))
 
 
-def _nearest(value: np.ndarray, syndromes: np.ndarray) -> np.ndarray:
-    s = syndromes[value & ((1 << CODE_BITS) - 1)]
+def _nearest(value: np.ndarray, code_bits: int) -> np.ndarray:
+    """The nearest anchor: the bit at the syndrome's place leads to the codeword; 0 is a codeword."""
+    low, high = _syndromes(code_bits)
+    s = low[value & 0xFFFF] ^ high[(value >> 16) & 0xFFFF]
     return np.where(s > 0, value ^ (np.int64(1) << np.maximum(s - 1, 0)), value)
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, own) for unsigned fingerprints: each row's nearest anchor of each part (own) and all others in reach."""
-    syndromes = _syndromes()
-    rows, keys, own = [], [], []
-    for p, (first, bits) in enumerate(PARTS):
+def anchors(fp: np.ndarray, scheme: Scheme = THREE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, anchor, own) for unsigned fingerprints, part by part: each row's nearest anchor (own) and all others in reach."""
+    for p, (first, bits) in enumerate(scheme.parts):
         v = ((fp >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        home = _nearest(v, syndromes)
-        reach = np.sort(np.stack([home, *(_nearest(v ^ (1 << k), syndromes) for k in range(bits))], 1), 1)
+        home = _nearest(v, scheme.code_bits)
+        flips = [sum(1 << k for k in some) for n in range(scheme.differ + 1) for some in combinations(range(bits), n)]
+        reach = np.sort(_nearest(v[:, None] ^ np.array(flips, np.int64)[None, :], scheme.code_bits), 1)
         fresh = np.ones(reach.shape, bool)
         fresh[:, 1:] = reach[:, 1:] != reach[:, :-1]
         r, c = np.nonzero(fresh)
-        rows.append(r)
-        keys.append(reach[r, c] * len(PARTS) + p)
-        own.append(reach[r, c] == home[r])
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(own)
+        yield r, reach[r, c] * len(scheme.parts) + p, reach[r, c] == home[r]
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = b.column("fp").to_numpy(zero_copy_only=False)
-        r, a, own = anchors(fp.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(fp[r]), pa.array(own)], ["anchor", "fp", "own"])
+def _replicate(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column("fp").to_numpy(zero_copy_only=False)
+            for cut in range(0, len(every), 1024):
+                fp = every[cut : cut + 1024]
+                for r, a, own in anchors(fp.view(np.uint64), scheme):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(fp[r]), pa.array(own)], ["anchor", "fp", "own"])
+
+    return run
 
 
 def _forest(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,12 +187,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints; their components are those of all links of at most THRESHOLD bits."""
+def links(fps: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints; their components are those of all links of at most THRESHOLD bits.
+
+    The scheme follows from the number of distinct fingerprints unless it is given.
+    """
     spark = fps.sparkSession
     python_ready(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    spread = staged(fps.select("fp").distinct().repartition(parts).mapInArrow(_replicate, "anchor long, fp long, own boolean"), "anchors")
+    each = staged(fps.select("fp").distinct(), "distinct")
+    scheme = scheme or (THREE if each.count() <= WIDE else TWO)
+    spread = staged(each.repartition(parts).mapInArrow(_replicate(scheme), "anchor long, fp long, own boolean"), "anchors")
     heavy = spread.groupBy("anchor").agg(F.sum(F.col("own").cast("long")).alias("owners")).where(F.col("owners") > TILE)
     heavy = staged(heavy.select("anchor", F.ceil(F.col("owners") / TILE).cast("int").alias("tiles")), "heavy")
     if heavy.isEmpty():
@@ -182,17 +207,37 @@ def links(fps: DataFrame) -> DataFrame:
         tiled = spread.join(heavy, "anchor", "left").withColumn("tile", F.explode(F.sequence(F.lit(0), n - 1)))
         tiled = tiled.withColumn("own", F.col("own") & (F.col("tile") == F.pmod(F.xxhash64("fp"), n))).withColumn("key", F.xxhash64("anchor", "tile"))
     dealt = tiled.select("key", "fp", "own").repartition(parts, "key").sortWithinPartitions("key")
-    return staged(dealt.mapInArrow(_compare, "a long, b long").distinct(), "links")
+    found = staged(dealt.mapInArrow(_compare, "a long, b long").distinct(), "links")
+    discard(spark, each, spread, heavy)
+    return found
+
 
+def named_components(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """(doc_id, fp, component, component_id), one row a row of docs. component: a fingerprint that names it; component_id is the
+    least doc_id reachable by links.
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id), one row a row of docs; component_id is the least doc_id reachable by links."""
+    A component may hold most rows, so none is dealt by its component: the names of components with several fingerprints, a row each, are
+    broadcast if a count shows that they are few, and otherwise joined over SALT keys each.
+    """
     found = fingerprints(docs)
     least = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    comps = connected_components(links(found))
-    named = least.join(comps, least.fp == comps.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return found.join(named.join(ids, "component").select("fp", "component_id"), "fp")
+    comps = connected_components(links(found, scheme))
+    linked = staged(least.join(comps, least.fp == comps.node).select("fp", "first", "component"), "linked")
+    ids = staged(linked.groupBy("component").agg(F.min("first").alias("component_id")), "names")
+    few = small_side(ids)
+    if few is ids:  # too many to broadcast
+        few = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        with_id = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")).join(few, ["component", "salt"])
+    else:
+        with_id = linked.join(few, "component")
+    with_id = with_id.select(F.col("fp").alias("node"), "component", "component_id")
+    named = least.join(with_id, least.fp == with_id.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.join(staged(named, "named"), "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """(doc_id, fp, component_id), one row a row of docs."""
+    return named_components(docs, scheme).drop("component")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -200,22 +245,22 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component: that with the least doc_id.
+    """docs without all but one row of each component: that with the least doc_id; of rows that share it and the component, the one
+    with the least text, then the least other columns.
 
-    Rows that share this doc_id are one document, of which one row stays: of those that stand for a component, by their own
-    text, the one with the least text. A row with no id can't stand for others and stays.
+    Rows that share a doc_id but belong to different components, by their texts, stand each for its own. A row with no id can't
+    stand for others and stays.
     """
-    found = near_duplicates(docs).where("doc_id = component_id")
-    kept = found.select("doc_id").distinct()
+    found = named_components(docs).where("doc_id = component_id").select("doc_id", "fp", "component").distinct()
     twice = staged(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
     if twice.isEmpty():
-        lone = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+        lone = docs.join(found, "doc_id", "left_semi").select(docs.columns)
     else:  # rows of one id are told apart by the hash of their text
-        found = staged(found.join(twice, "doc_id", "left_semi").select("doc_id", "fp").distinct(), "stand-in")
+        found = staged(found, "stand-in")
         rows = docs.join(twice, "doc_id", "left_semi").select(docs.columns)
-        own = fingerprints(rows, rep=True).join(found, ["doc_id", "fp"], "left_semi").select("doc_id", "rep").distinct()
-        rows = rows.withColumn("__rep", F.sha2(F.coalesce("text", F.lit("")), 256)).join(own.withColumnRenamed("rep", "__rep"), ["doc_id", "__rep"], "left_semi").select(docs.columns)
+        own = fingerprints(rows, rep=True).join(found, ["doc_id", "fp"]).select("doc_id", F.col("rep").alias("__rep"), F.col("component").alias("__component")).distinct()
         rest = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
-        rows = rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__least")).select("doc_id", "__least.*").select(docs.columns)
-        lone = docs.join(kept, "doc_id", "left_semi").join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(rows)
+        rows = rows.withColumn("__rep", F.sha2(F.coalesce("text", F.lit("")), 256)).join(own, ["doc_id", "__rep"])
+        rows = rows.groupBy("doc_id", "__component").agg(F.min(F.struct(*rest)).alias("__least")).select("doc_id", "__least.*").select(docs.columns)
+        lone = docs.join(found, "doc_id", "left_semi").join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(rows)
     return lone.unionByName(docs.where("doc_id IS NULL"))

@@ -775,19 +775,56 @@ def test_simhash(spark):
     assert Counter(map(tuple, got)) == Counter((r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, comp))
     assert simhash.digest(docs_of(spark, [])).count() == 0
     kept = simhash.keep_one(docs_of(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for c in comp if c is not None})
+    labels = brute_components(list(range(len(rows))), fps)  # a component by its first row
+    want = {(c, k) for k, c in zip(labels, comp) if c is not None}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(c for c, _ in want)
 
 
 def test_keep_one_tells_rows_of_an_id_apart(spark):
     x, y, z = " ".join(PROSE * 3), "something else altogether stands in this other text of the id", "and here a third one about ships and their masters"
-    rows = [(3, x, "s"), (5, x, "s"), (5, y, "s"), (6, z, "b"), (6, z, "a"), (None, x, "s"), (9, y, "s"), (7, None, "s"), (7, "", "s")]
-    want = Counter([(3, x, "s"), (5, y, "s"), (6, z, "a"), (None, x, "s"), (7, None, "s")])
+    rows = [(3, x, "s"), (5, x, "s"), (5, y, "s"), (6, z, "b"), (6, z, "a"), (None, x, "s"), (9, y, "s"), (7, None, "s"), (7, "", "s"), (8, f"{y} {y[::-1]}", "s"), (8, f"{z} {y}", "s"), (11, f"{z} {y}", "s")]
+    want = Counter([(3, x, "s"), (5, y, "s"), (6, z, "a"), (None, x, "s"), (7, None, "s"), (8, f"{y} {y[::-1]}", "s"), (8, f"{z} {y}", "s")])
     for k in (1, 5):
         for order in (rows, rows[::-1]):
             got = simhash.keep_one(docs_of(spark, order).repartition(k)).collect()
             assert Counter((r.doc_id, r.text, r.source) for r in got) == want
 
 
+@pytest.mark.parametrize("scheme,code", [(simhash.THREE, 15), (simhash.TWO, 31)])
+def test_anchors_cover(scheme, code):
+    """Every value lies within one bit of its anchor, which is a codeword, and two near values meet at the anchor of either."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 200, dtype=np.uint64)
+    y = x.copy()
+    for k in range(len(y)):
+        for b in rng.choice(64, int(rng.integers(0, 5)), replace=False):
+            y[k] ^= np.uint64(1 << int(b))
+    met = np.zeros(len(x), bool)
+    for p, ((first, bits), (r, a, own), (s, b, _)) in enumerate(zip(scheme.parts, simhash.anchors(x, scheme), simhash.anchors(y, scheme))):
+        home = dict(zip(r[own].tolist(), a[own].tolist()))
+        assert len(home) == len(x) == own.sum()
+        for k, anchor in home.items():
+            value = int(x[k]) >> first & (1 << bits) - 1
+            place = anchor // len(scheme.parts)
+            assert anchor % len(scheme.parts) == p and (value ^ place).bit_count() <= 1
+            check = 0
+            for bit in range(code):
+                check ^= (bit + 1) * (place >> bit & 1)
+            assert check == 0
+        met |= np.isin(r[own] * (1 << 40) + a[own], s * (1 << 40) + b)[np.argsort(r[own])]
+    assert met.all()
+
+
+@pytest.mark.parametrize("scheme", [simhash.THREE, simhash.TWO])
+def test_schemes_agree(spark, monkeypatch, scheme):
+    monkeypatch.setattr(simhash, "small_side", lambda df: df)  # as if too many to broadcast
+    rows = some_docs() + [(300 + k, " ".join(PROSE * 20) + f" x{k}", "s") for k in range(30)]
+    fps = [brute_fingerprint(t) for _, t, _ in rows]
+    comp = brute_components([r[0] for r in rows], fps)
+    got = simhash.near_duplicates(docs_of(spark, rows), scheme).collect()
+    assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == Counter((r[0], f, c) for r, f, c in zip(rows, fps, comp))
+
+
 @pytest.mark.parametrize("tile", [8, 4096])
 def test_no_link_is_lost(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
