@@ -76,7 +76,7 @@ def cascading_delete(db: Database, start: str, where: object, edges: list[Edge],
         rows = {n: t.current() for n, t in db.tables.items()}
         gone = reach(rows, {start: rows[start].where(R._predicate(where).holds(db[start].types))}, edges)
         for n, df in gone.items():
-            db._put(n, R.minus(db[n].current(), df))
+            db[n].remove_all(df)
         for u in updates:
             only = u.source.one_row()
             if only is not None:

@@ -24,10 +24,23 @@ class Change:
     def reversed(self) -> Change:
         return Change(self.removed, self.added)
 
+    def then(self, later: Change) -> Change:
+        """This change and a later one together: what the later one takes back is in neither."""
+        return Change(_sum(_less(self.added, later.removed), _less(later.added, self.removed)), _sum(_less(self.removed, later.added), _less(later.removed, self.added)))
+
     def is_empty(self) -> bool:
         return all(x is None or x.isEmpty() for x in (self.added, self.removed))
 
 
+def _less(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
+    return a if a is None or b is None else R.minus(a, b)
+
+
+def _sum(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
+    """Of disjoint sets."""
+    return b if a is None else a if b is None else a.unionByName(b)
+
+
 @dataclass
 class LeafChange(Change):
     """A leaf's change with its rows before and after."""
@@ -77,11 +90,14 @@ class Derivative:
             self.memo[id(r)] = self._of(r)
         return self.memo[id(r)]
 
+    def _touched(self, r: Relation) -> bool:
+        return id(r) in self.changes or any(map(self._touched, r.children))
+
     def _of(self, r: Relation) -> tuple[Relation | None, Relation | None]:
         if id(r) in self.changes:
             c = self.changes[id(r)]
             return tuple(None if x is None else R.Leaf(x, clean=True) for x in (c.added, c.removed))
-        if not any(id(x) in self.changes for x in r.leaves()):
+        if not self._touched(r):
             return None, None
         if isinstance(r, R.Cached):
             return self.of(r.children[0])
@@ -117,3 +133,26 @@ class Derivative:
 
 def derivative(relation: Relation, changes: dict[Relation, LeafChange]) -> Change:
     return Derivative(relation, {id(k): v for k, v in changes.items()}).change()
+
+
+class Variables:
+    """A relation's change for changes that are bound to leaves one after another."""
+
+    def __init__(self, relation: Relation) -> None:
+        self.relation = relation
+        self.bound: dict[Relation, LeafChange] = {}
+
+    def set_change(self, leaf: Relation, change: LeafChange) -> None:
+        self.bound[leaf] = change
+
+    def add_change(self, leaf: Relation, change: LeafChange) -> None:
+        """After what is bound already; what the two take back from one another cancels out."""
+        was = self.bound.get(leaf)
+        both = change if was is None else was.then(change)
+        self.bound[leaf] = LeafChange(both.added, both.removed, change.before if was is None else was.before, change.after)
+
+    def clear(self) -> None:
+        self.bound.clear()
+
+    def change(self) -> Change:
+        return derivative(self.relation, self.bound)

@@ -568,7 +568,7 @@ class Fold(Relation):
                 yield pd.DataFrame({attribute: [reduce(merge, some) if some else initial]})
 
         ship(c(self.children[0]).sparkSession)
-        return c(self.children[0]).mapInPandas(partial, "state binary, n long").coalesce(1).mapInPandas(final, f"`{attribute}` {kind}")  # a row a partition
+        return c(self.children[0]).mapInPandas(partial, "state binary, n long").repartition(1).mapInPandas(final, f"`{attribute}` {kind}")  # shuffled: a row a partition of the first
 
     def rebuilt(self, children: tuple[Relation, ...]) -> Relation:
         return Fold(children[0], *self.args)

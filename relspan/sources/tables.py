@@ -1,8 +1,9 @@
 """Mutable tables over immutable versions: transactions, snapshots, deltas, undo and observers.
 
-A table's rows are a DataFrame that never changes; a commit puts a new one in its place, with the minimal change between
-the two. Snapshots and isolation of readers follow from that. Committed rows are stored as Parquet in the
-shared folder, so plans stay short and a lost executor costs a re-read.
+A version of a table is a stored base and the rows added to it and removed from it since. Every mutation makes the rows that it
+adds and removes, by joins of these with the table; a commit stores those alone and composes them with what stood before, so its cost follows
+the change. Once the overlay is large against the base, a commit writes a new base. Snapshots and isolation of readers follow from
+versions never changing. Everything stored is Parquet in the shared folder, so plans stay short and a lost executor costs a re-read.
 """
 
 from __future__ import annotations
@@ -19,13 +20,43 @@ from pyspark.sql import types as T
 
 from relspan.functions.predicates import Predicate, exclusive
 from relspan.plans import relation as R
-from relspan.plans.delta import Change, LeafChange, between, derivative
+from relspan.plans.delta import Change, LeafChange, derivative
 from relspan.plans.relation import Relation, cols, quoted
 from relspan.sources.scratch import staged
 
 Snapshot = dict[str, DataFrame]
 Delta = dict[str, Change]
 
+#: An overlay of so many rows, and so large a share of the base's, is written into a new base.
+COMPACT_ROWS, COMPACT_SHARE = 10_000, 0.125
+#: Mutations of a table within one transaction after which what they add and remove is stored together.
+FLAT = 4
+
+
+@dataclass
+class _Version:
+    """A table's rows: those of base but ``removed``, and ``added``. n: rows of base, once counted."""
+
+    base: DataFrame
+    added: DataFrame | None = None
+    removed: DataFrame | None = None
+    n: int | None = None
+
+    def rows(self) -> DataFrame:
+        out = self.base if self.removed is None else R.minus(self.base, self.removed)
+        return out if self.added is None else out.unionByName(self.added)
+
+
+@dataclass
+class _Work:
+    """What a transaction has done to a table so far: its own change, the rows that it sees, and the predicates of what it touched
+    (None once something else was)."""
+
+    change: Change
+    rows: DataFrame
+    touched: list[Predicate] | None
+    depth: int = 0
+
 
 class Table(Relation):
     """A named base relation of a database. ``key`` is unique: adding a row replaces that with the same key."""
@@ -35,7 +66,8 @@ class Table(Relation):
         self.keys = frozenset([frozenset(self.key)]) if self.key else frozenset()
         self.schema = T.StructType(sorted(data.schema.fields, key=lambda f: f.name))
         self.types = {f.name: f.dataType for f in self.schema.fields}
-        self._rows = cols(data if self.key else data.distinct(), self.schema.names)
+        self._version = _Version(cols(data if self.key else data.distinct(), self.schema.names))
+        self._rows = self._version.rows()
 
     def build(self, c: R._Compiling) -> DataFrame:
         return c.env.get(id(self), self.current())
@@ -48,7 +80,8 @@ class Table(Relation):
 
     def current(self) -> DataFrame:
         """Committed rows, or this thread's own within its transaction."""
-        return self.db._working().get(self.name, self._rows)
+        own = self.db._working().get(self.name)
+        return self._rows if own is None else own.rows
 
     # mutations; outside a transaction each is one of its own
 
@@ -60,21 +93,24 @@ class Table(Relation):
         self.add_all(made)
 
     def add_all(self, rows: DataFrame) -> None:
-        rows = cols(rows, self.schema.names)
+        rows = cols(rows, self.schema.names).distinct()
         with self.db.transaction():
-            old = self.current()
             if self.key:
-                old = R.null_safe(old, cols(rows, self.key), [(k, k) for k in self.key], "left_anti")
-                self.db._put(self.name, old.unionByName(rows.distinct()))
+                old = self.db._kept(R.null_safe(self.current(), cols(rows, self.key), [(k, k) for k in self.key], "left_semi"), "same-key")
+                self.db._do(self, R.minus(rows, old), R.minus(old, rows), None)
             else:
-                self.db._put(self.name, old.unionByName(rows).distinct())
+                self.db._do(self, R.minus(rows, R.meet(self.current(), rows)), None, None)
 
     def delete(self, where: object, rows: DataFrame | None = None) -> None:
         p = R._predicate(where)
         with self.db.transaction():
             hit = self.current().where(p.holds(self.types))
-            hit = hit if rows is None else R.null_safe(hit, rows, [(c, c) for c in rows.columns], "left_semi")
-            self.db._put(self.name, self.current().where(~p.holds(self.types)) if rows is None else R.minus(self.current(), hit))
+            self.db._do(self, None, hit if rows is None else R.null_safe(hit, rows, [(c, c) for c in rows.columns], "left_semi"), p)
+
+    def remove_all(self, rows: DataFrame) -> None:
+        """Remove these rows."""
+        with self.db.transaction():
+            self.db._do(self, None, R.meet(self.current(), cols(rows, self.schema.names)), None)
 
     def update(self, where: object, new: dict[str, object]) -> None:
         self.update_rows(R._predicate(where), None, new)
@@ -84,14 +120,20 @@ class Table(Relation):
         if unknown := set(new) - set(self.schema.names):
             raise ValueError(f"{self.name} has no {sorted(unknown)}")
         with self.db.transaction():
-            now, hit = self.current(), where.holds(self.types)
-            if rows is None:
-                changed = now.select(*(F.when(hit, F.lit(new[c]).cast(self.types[c])).otherwise(quoted(c)).alias(c) if c in new else quoted(c) for c in now.columns))
-            else:
-                some = R.null_safe(now.where(hit), rows, [(c, c) for c in rows.columns], "left_semi")
-                fixed = some.select(*(F.lit(new[c]).cast(self.types[c]).alias(c) if c in new else quoted(c) for c in now.columns))
-                changed = R.minus(now, some).unionByName(fixed)
-            self.db._put(self.name, changed.distinct())
+            hit = self.current().where(where.holds(self.types))
+            hit = hit if rows is None else R.null_safe(hit, rows, [(c, c) for c in rows.columns], "left_semi")
+            hit = self.db._kept(hit, "hit")
+            fixed = hit.select(*(F.lit(new[c]).cast(self.types[c]).alias(c) if c in new else quoted(c) for c in hit.columns)).distinct()
+            became = R.row_matches({c: v for c, v in new.items()})
+            self.db._do(self, R.minus(fixed, R.meet(self.current(), fixed)), R.minus(hit, fixed), where | became)
+
+    def replace_all(self, rows: DataFrame) -> None:
+        """The table's rows become these."""
+        rows = cols(rows, self.schema.names)
+        with self.db.transaction():
+            now = self.current()
+            if rows is not now:
+                self.db._do(self, R.minus(rows, now), R.minus(now, rows), None)
 
 
 @dataclass
@@ -122,7 +164,10 @@ class Database:
         self._queue: list[_Queued] = []
         self._done: list[tuple[str, Delta, Delta]] = []
         self._undone: list[tuple[str, Delta, Delta]] = []
-        self.state = "idle"
+        self._watchers: list[Callable[[str], None]] = []
+        self._state = "idle"
+        self.save_to: str | None = None  # a folder to save to after each commit
+        self.skipped = 0  # observers that a proof of irrelevance has spared
 
     def __getitem__(self, name: str) -> Table:
         return self.tables[name]
@@ -149,26 +194,73 @@ class Database:
 
     # transactions
 
-    def _working(self) -> Snapshot:
-        return getattr(self._own, "rows", None) or {}
+    @property
+    def state(self) -> str:
+        """idle, pending (something is queued), running (a flush) or stopping (more was queued meanwhile)."""
+        return self._state
 
-    def _put(self, name: str, rows: DataFrame) -> None:
-        self._own.rows[name] = cols(rows, self.tables[name].schema.names)
+    @state.setter
+    def state(self, now: str) -> None:
+        if now != self._state:
+            self._state = now
+            for call in list(self._watchers):
+                call(now)
+
+    def observe_state(self, call: Callable[[str], None]) -> Callable[[], None]:
+        self._watchers.append(call)
+        return lambda: self._watchers.remove(call)
+
+    def _working(self) -> dict[str, _Work]:
+        return getattr(self._own, "work", None) or {}
+
+    def _kept(self, df: DataFrame, label: str) -> DataFrame:
+        return staged(df, label) if self.stored else df
+
+    def _some(self, df: DataFrame | None, label: str) -> DataFrame | None:
+        """df, stored, or None if it has no rows."""
+        if df is None:
+            return None
+        df = self._kept(df, label)
+        return None if df.isEmpty() else df
+
+    def _do(self, table: Table, plus: DataFrame | None, less: DataFrame | None, touched: Predicate | None) -> None:
+        """A mutation within a transaction: plus has rows that aren't there yet, less has rows that are. touched holds for all of both, if known."""
+        change = Change(self._some(plus, "plus"), self._some(less, "less"))
+        if change.added is None and change.removed is None:
+            return
+        work = self._own.work
+        before = work.get(table.name)
+        depth = 1 if before is None else before.depth + 1
+        if before is not None:
+            change = before.change.then(change)
+            if depth > FLAT:
+                change, depth = Change(self._some(change.added, "added"), self._some(change.removed, "removed")), 0
+        rows = _Version(table._rows, change.added, change.removed).rows()
+        known = touched is not None and (before is None or before.touched is not None)
+        work[table.name] = _Work(change, rows, [*(before.touched if before else []), touched] if known else None, depth)
 
     @contextmanager
     def transaction(self, tags: Iterable[object] = ()) -> Iterator[Database]:
         """Changes within are committed together, or not at all if it raises. Inner transactions join the outer one."""
-        if getattr(self._own, "rows", None) is not None:
+        if getattr(self._own, "work", None) is not None:
             yield self
             return
         with self._lock:
-            self._own.rows = {}
+            self._own.work = {}
             try:
                 yield self
-                changed = self._own.rows
+                done = self._own.work
             finally:
-                self._own.rows = None
-            self._commit(changed, set(tags))
+                self._own.work = None
+            self._commit(done, set(tags))
+
+    def transaction_with_snapshots(self, action: Callable[[Database], object], tags: Iterable[object] = ()) -> tuple[Snapshot, Snapshot]:
+        """Snapshots of before and after an action in one transaction, with no other commit between them."""
+        with self._lock:
+            before = self.snapshot()
+            with self.transaction(tags):
+                action(self)
+            return before, self.snapshot()
 
     def run(self, action: Callable[[Database], object], retry: Callable[[Exception], bool] = lambda e: False, most: int = 10, pause: float = 0.01) -> object:
         """An action in a transaction, again from the start while ``retry`` accepts what it raises."""
@@ -182,29 +274,57 @@ class Database:
                 time.sleep(pause)
         return None
 
-    def _commit(self, rows: Snapshot, tags: set) -> None:
+    def _commit(self, done: dict[str, _Work], tags: set) -> None:
         changes: dict[Relation, LeafChange] = {}
-        for name, new in rows.items():
+        touched: dict[Relation, list[Predicate] | None] = {}
+        for name, w in done.items():
             t = self.tables[name]
-            new = staged(new, name) if self.stored else new
-            changes[t] = between(t._rows, new)
-        for t, c in changes.items():
-            t._rows = c.after
+            change = w.change if w.depth == 1 else Change(self._some(w.change.added, "added"), self._some(w.change.removed, "removed"))
+            if change.added is None and change.removed is None:
+                continue
+            before = t._rows
+            t._version = self._next(t._version, change, name)
+            t._rows = t._version.rows()
+            changes[t] = LeafChange(change.added, change.removed, before, t._rows)
+            touched[t] = w.touched
         self.version += bool(changes)
         if changes:
-            self._notify(changes, tags)
-
-    def _notify(self, changes: dict[Relation, LeafChange], tags: set) -> None:
+            self._notify(changes, touched, tags)
+            if self.save_to is not None:
+                self.save(self.save_to)
+
+    def _next(self, v: _Version, change: Change, name: str) -> _Version:
+        """The version after a change: an overlay on the same base, or a new base if that is large."""
+        if not self.stored:
+            return _Version(_Version(v.rows(), change.added, change.removed).rows())
+        whole = Change(v.added, v.removed).then(change)
+        first = v.added is None and v.removed is None
+        whole = change if first else Change(self._some(whole.added, f"{name}-added"), self._some(whole.removed, f"{name}-removed"))
+        size = sum(x.count() for x in (whole.added, whole.removed) if x is not None)
+        n = v.base.count() if v.n is None else v.n
+        made = _Version(v.base, whole.added, whole.removed, n)
+        if size > COMPACT_ROWS and size > COMPACT_SHARE * n or (size and n == 0):
+            return _Version(staged(made.rows(), name))
+        return made
+
+    def _notify(self, changes: dict[Relation, LeafChange], touched: dict[Relation, list[Predicate] | None], tags: set) -> None:
         for o in [o for o in self._observers if o.alive]:
-            if not any(t in o.relation.leaves() for t in changes):
+            below = [t for t in changes if t in o.relation.leaves()]
+            if not below:
+                continue
+            if all(touched[t] is not None and all(unaffected(o.relation, t, p) for p in touched[t]) for t in below):
+                self.skipped += 1
                 continue
             change = derivative(o.relation, changes)
+            if self.stored and o.relation not in changes:  # computed once, for the test and for the observer
+                change = Change(self._some(change.added, "seen-added"), self._some(change.removed, "seen-removed"))
             if change.is_empty():
                 continue
+            none = o.relation.df().limit(0)
             if o.content:
                 o.call(o.relation.df(), tags)
             else:
-                o.call(change, tags)
+                o.call(Change(*(none if x is None else x for x in (change.added, change.removed))), tags)
 
     # observers
 
@@ -268,7 +388,7 @@ class Database:
     def restore(self, snapshot: Snapshot) -> None:
         with self.transaction():
             for n, rows in snapshot.items():
-                self._put(n, rows)
+                self[n].replace_all(rows)
 
     @staticmethod
     def delta(before: Snapshot, after: Snapshot) -> Delta:
@@ -281,7 +401,10 @@ class Database:
     def apply(self, delta: Delta) -> None:
         with self.transaction():
             for n, c in delta.items():
-                self._put(n, R.minus(self[n].current(), c.removed).unionByName(c.added).distinct())
+                t = self[n]
+                plus, less = c.added, None if c.removed is None else R.meet(t.current(), c.removed)
+                less = less if less is None or plus is None else R.minus(less, plus)
+                self._do(t, None if plus is None else R.minus(plus, R.meet(t.current(), plus)), less, None)
 
     def undoable(self, name: str, action: Callable[[Database], object]) -> None:
         before = self.snapshot()
@@ -307,8 +430,19 @@ class Database:
 
     # durable form: a folder of Parquet, a new version beside the old, then the pointer
 
-    def save(self, folder: str) -> None:
-        """Write all tables as a new version in folder, and point to it last."""
+    def save(self, folder: str, retry: Callable[[Exception], bool] = lambda e: False, most: int = 10, pause: float = 0.01) -> None:
+        """Write all tables as a new version in folder, and point to it last, with no commit meanwhile; again while ``retry`` accepts what
+        that raises. A version that wasn't finished is never pointed to."""
+        for turn in range(most):
+            try:
+                with self._lock:
+                    return self._save(folder)
+            except Exception as e:
+                if turn == most - 1 or not retry(e):
+                    raise
+                time.sleep(pause)
+
+    def _save(self, folder: str) -> None:
         version = f"v{self.version}-{int(time.time() * 1000)}"
         for n, t in self.tables.items():
             t.current().write.parquet(f"{folder}/{version}/{n}")

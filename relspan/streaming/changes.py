@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from relspan.plans.relation import cols, null_safe
+from relspan.plans.relation import cols
 from relspan.sources.scratch import new_folder
 from relspan.sources.tables import Database
 
@@ -19,9 +19,7 @@ def apply_batch(db: Database, table: str, batch: DataFrame, tag: object = "strea
     seq = F.col("_seq") if "_seq" in batch.columns else (F.col("_op") == "add").cast("int")
     last = batch.groupBy(*map(lambda n: F.col(f"`{n}`"), names)).agg(F.max_by("_op", seq).alias("_op"))
     with db.transaction({tag}):
-        gone = cols(last.where("_op = 'remove'"), names)
-        kept = null_safe(t.current(), gone, [(n, n) for n in names], "left_anti")
-        db._put(table, kept)
+        t.remove_all(cols(last.where("_op = 'remove'"), names))
         t.add_all(cols(last.where("_op = 'add'"), names))
 
 
