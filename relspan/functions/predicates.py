@@ -16,6 +16,9 @@ from relspan.functions import values as V
 Types = dict[str, T.DataType]
 
 
+_SIGNS = {"eq": "==", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+
+
 def as_predicate(x: object) -> Predicate:
     return x if isinstance(x, Predicate) else Const(x)
 
@@ -73,6 +76,23 @@ class Predicate:
         """The tree with f applied to every node, leaves first."""
         return f(self.rebuilt(tuple(p.mapped(f) for p in self.parts())))
 
+    def code(self) -> str:
+        """As Python."""
+        match self:
+            case Attr():
+                return f"Attr({self.name!r})"
+            case Const():
+                return repr(self.constant)
+            case Compare():
+                return f"({self.left.code() if not isinstance(self.left, Const) else f'Const({self.left.constant!r})'} {_SIGNS[self.op]} {self.right.code()})"
+            case And() | Or():
+                return f"({self.left.code()} {'&' if isinstance(self, And) else '|'} {self.right.code()})"
+            case Not():
+                return f"~{self.inner.code()}"
+            case Glob():
+                return f"{self.inner.code()}.glob({self.pattern!r})"
+        return f"Custom({', '.join([getattr(self.make, '__name__', 'make'), *(p.code() for p in self.parts())])})"
+
     def attributes(self) -> set[str]:
         return set().union(*(p.attributes() for p in self.parts()), {self.name} if isinstance(self, Attr) else set())
 
@@ -228,7 +248,8 @@ def combined(predicates: Iterable[Predicate], how: type[_Pair]) -> Predicate | N
     return level[0] if level else None
 
 
-def _truth(p: Predicate) -> bool | None:
+def truth(p: Predicate) -> bool | None:
+    """Of a constant; None for all else."""
     if not isinstance(p, Const):
         return None
     return not (type(p.constant) in (bool, int) and p.constant == 0)
@@ -238,16 +259,16 @@ def simplified(p: Predicate) -> Predicate:
     """Fold what constants decide; the rest stays."""
 
     def fold(q: Predicate) -> Predicate:
-        if isinstance(q, Not) and _truth(q.inner) is not None:
-            return Const(not _truth(q.inner))
+        if isinstance(q, Not) and truth(q.inner) is not None:
+            return Const(not truth(q.inner))
         if isinstance(q, Compare) and isinstance(q.left, Const) and isinstance(q.right, Const):
             return Const(_compare(q.op, q.left.constant, q.right.constant))
         if isinstance(q, And | Or):
             ends = isinstance(q, Or)  # the truth that decides
             for own, other in ((q.left, q.right), (q.right, q.left)):
-                if _truth(own) is ends:
+                if truth(own) is ends:
                     return Const(ends)
-                if _truth(own) is (not ends):
+                if truth(own) is (not ends):
                     return other
         return q
 
@@ -266,7 +287,7 @@ def exclusive(p: Predicate, q: Predicate) -> bool:
     def cases(x: Predicate) -> list[dict[str, object]]:
         """Ways to satisfy x, each with the values that it fixes; an empty list if none."""
         if isinstance(x, Const):
-            return [{}] if _truth(x) else []
+            return [{}] if truth(x) else []
         if isinstance(x, Compare) and x.op == "eq":
             for a, b in ((x.left, x.right), (x.right, x.left)):
                 if isinstance(a, Attr) and isinstance(b, Const):

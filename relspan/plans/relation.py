@@ -8,8 +8,11 @@ can make duplicates and no known key rules them out.
 from __future__ import annotations
 
 import itertools
+import re
+import time
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relspan.functions import values as V
-from relspan.functions.predicates import TRUE, Attr, Predicate, Types, as_predicate, row_matches
+from relspan.functions.predicates import FALSE, TRUE, Attr, Or, Predicate, Types, as_predicate, combined, row_matches
 from relspan.sources.shipping import ship
 
 _POOL = ThreadPoolExecutor(4, "relspan")
-_NAMES = itertools.count(1)
+#: While it is a list: (node, seconds) of each node compiled, children before parents. See ``watched``.
+ACTIVITY: list[tuple[str, float]] | None = None
 Env = dict[int, DataFrame]  # a leaf's id() to the rows it stands for
 
 
@@ -51,6 +55,15 @@ def meet(a: DataFrame, b: DataFrame) -> DataFrame:
     return null_safe(a, b, [(c, c) for c in a.columns], "left_semi")
 
 
+def natural(text: str) -> list[tuple[int, int, str]]:
+    """A sort key by which 9 comes before 10."""
+    return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.findall(r"[0-9]+|[^0-9]+", text)]
+
+
+def _shown(v: object) -> str:
+    return "NULL" if v is None else bytes(v).hex() if isinstance(v, bytes | bytearray) else str(v)
+
+
 class Relation:
     """Base of all nodes; the fluent operators are here, each node only compiles itself."""
 
@@ -80,8 +93,11 @@ class Relation:
         """The rows; columns in order of name. env replaces leaves; memo shares subtrees within one compilation."""
         memo = {} if memo is None else memo
         if id(self) not in memo:
+            began = time.perf_counter()
             made = self.build(_Compiling(env or {}, memo))
             memo[id(self)] = cols(made, sorted(made.columns))
+            if ACTIVITY is not None:
+                ACTIVITY.append((self.name or self.label(), time.perf_counter() - began))
         return memo[id(self)]
 
     def rows(self) -> Iterator[dict[str, object]]:
@@ -96,6 +112,16 @@ class Relation:
     def collect_async(self, postprocess: Callable[[list[dict]], object] | None = None) -> Future:
         return _POOL.submit(lambda: (postprocess or (lambda x: x))([r.asDict() for r in self.df().collect()]))
 
+    def fetch_async(self, call: Callable[[list[dict[str, object]]], None], size: int = 1000) -> Future:
+        """call(rows) for batch after batch in another thread, as they come; an empty batch is the last."""
+
+        def run() -> None:
+            for batch in self.bulk_rows(size):
+                call(batch)
+            call([])
+
+        return _POOL.submit(run)
+
     def contains(self, row: dict[str, object]) -> bool:
         if set(row) != set(self.scheme):
             return False
@@ -104,8 +130,17 @@ class Relation:
     def is_empty(self) -> bool:
         return self.df().isEmpty()
 
+    def text(self, n: int = 20) -> str:
+        """At most n rows as a table of text, columns in order of name, rows in the order in which people count."""
+        names = list(self.scheme)
+        got = [[_shown(r[k]) for k in names] for r in self.df().limit(n + 1).collect()]
+        lines = [names, *sorted(got[:n], key=lambda r: [natural(v) for v in r])]
+        wide = [max(len(r[k]) for r in lines) for k in range(len(names))]
+        out = ["  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in lines]
+        return "\n".join([*out, *(["..."] if len(got) > n else [])])
+
     def show(self, n: int = 20) -> None:
-        self.df().show(n, truncate=False)
+        print(self.text(n))
 
     def one_row(self) -> dict[str, object] | None:
         """The only row, or None if there are none or several."""
@@ -166,8 +201,9 @@ class Relation:
 
     # -- joins
 
-    def equijoin(self, other: Relation, matching: dict[str, str]) -> Relation:
-        return Equijoin(self, other, matching)
+    def equijoin(self, other: Relation, matching: dict[str, str], narrow: int = 0) -> Relation:
+        """narrow: if self has at most so many distinct values to match, they are looked up first and other is asked for these alone."""
+        return Equijoin(self, other, matching, narrow)
 
     def join(self, other: Relation) -> Relation:
         """Natural join; with no attribute in common, the product."""
@@ -201,9 +237,10 @@ class Relation:
         """Any aggregate expression of columns as a relation of one attribute; no row for no rows unless on_empty."""
         return Aggregate(self, attribute, make, "custom", on_empty)
 
-    def fold(self, attribute: str, initial: object, step: Callable[[object, list[dict]], object], merge: Callable[[object, object], object], kind: str, on_empty: bool = True) -> Relation:
-        """A Python fold over batches of rows in every partition, merged over the partitions' states."""
-        return Fold(self, attribute, initial, step, merge, kind, on_empty)
+    def fold(self, attribute: str, initial: object, step: Callable[[object, object], object], merge: Callable[[object, object], object], kind: str, on_empty: bool = True, arrow: bool = False) -> Relation:
+        """A Python fold over batches in every partition, merged over the partitions' states. step gets lists of rows as dicts, or with
+        ``arrow`` record batches, which need no object a row."""
+        return Fold(self, attribute, initial, step, merge, kind, on_empty, arrow)
 
     def otherwise(self, other: Relation) -> Relation:
         return Otherwise(self, other)
@@ -228,6 +265,35 @@ class Relation:
         own = "  " * depth + (f"{self.name}: " if self.name else "") + self.label()
         return "\n".join([own, *(c.dump(depth + 1) for c in self.children)])
 
+    def dump_unique(self) -> str:
+        """One numbered line a node, however often it is used; children by number."""
+        number: dict[int, int] = {}
+        lines: list[str] = []
+
+        def visit(r: Relation) -> int:
+            if id(r) not in number:
+                below = [visit(c) for c in r.children]
+                number[id(r)] = len(number) + 1
+                lines.append(f"{number[id(r)]}: " + (f"{r.name}: " if r.name else "") + r.label() + (f" of {', '.join(map(str, below))}" if below else ""))
+            return number[id(r)]
+
+        visit(self)
+        return "\n".join(lines)
+
+    def plan_graphviz(self) -> str:
+        """Spark's physical plan as a graph."""
+        lines = [x for x in self.df()._jdf.queryExecution().executedPlan().toString().splitlines() if x.strip()]
+        nodes, edges, open_at = [], [], []
+        for n, line in enumerate(lines):
+            text = line.lstrip(" :+-*")
+            depth = len(line) - len(text)
+            open_at = [(d, k) for d, k in open_at if d < depth]
+            nodes.append(f'  p{n} [label="{text[:60].replace(chr(34), chr(39))}"];')
+            if open_at:
+                edges.append(f"  p{open_at[-1][1]} -> p{n};")
+            open_at.append((depth, n))
+        return "\n".join(["digraph plan {", *nodes, *edges, "}"])
+
     def graphviz(self) -> str:
         seen: dict[int, Relation] = {}
 
@@ -248,18 +314,29 @@ class Relation:
         if not self.children:
             return self.name or "leaf"
         first, *rest = [c.code() for c in self.children]
+        call = lambda name, *args: f"{first}.{name}({', '.join(args)})"
         match self:
             case Select():
-                return f"{first}.select(...)"
+                return call("select", self.where.code())
             case Project():
-                return f"{first}.project({', '.join(map(repr, self.names))})"
+                return call("project", *map(repr, self.names))
             case Rename():
-                return f"{first}.rename({ {a: b for a, b in self.names.items() if a != b} })"
+                return call("rename", repr({a: b for a, b in self.names.items() if a != b}))
             case Update():
-                return f"{first}.with_update({self.new})"
+                return call("with_update", repr(self.new), *([] if self.where is TRUE else [self.where.code()]))
             case Equijoin():
-                return f"{first}.equijoin({rest[0]}, {self.matching})"
-        return f"{first}.{type(self).__name__.lower()}({', '.join(rest)})"
+                return call("equijoin", rest[0], repr(self.matching), *([f"narrow={self.narrow}"] if self.narrow else []))
+            case Unique():
+                return call("unique", repr(self.attribute), repr(self.matching), *([] if self.strict else ["strict=False"]))
+            case Cached():
+                return call("cache", str(self.up_to))
+            case Aggregate():
+                return call("count") if self.what == "count" else call(self.what.split("(")[0], repr(self.attribute))
+            case Fold():
+                return call("fold", repr(self.attribute), "...")
+            case LeftOuter():
+                return call("left_outer_join", *rest)
+        return call(type(self).__name__.lower(), *rest)
 
     def leaves(self) -> list[Relation]:
         out: dict[int, Relation] = {}
@@ -393,13 +470,28 @@ class Select(Relation):
 
 
 class MutableSelect(Select):
-    """A selection whose predicate can be set; set() returns the rows that came and went."""
+    """A selection whose predicate can be set. set() returns the rows that came and went, and tells the observers of views over it."""
+
+    def __init__(self, of: Relation, where: Predicate) -> None:
+        super().__init__(of, where)
+        self._observers: list[tuple[Relation, Callable]] = []
+
+    def observe(self, view: Relation, call: Callable) -> Callable[[], None]:
+        """call(change of view) whenever set() changes a view that is made of this selection; returns what ends it."""
+        self._observers.append((view, call))
+        return lambda: self._observers.remove((view, call))
 
     def set(self, where: object) -> tuple[DataFrame, DataFrame]:
+        from relspan.plans.delta import between, derivative
+
         old = self.df()
         self.where = _predicate(where)
-        new = self.df()
-        return minus(new, old), minus(old, new)
+        own = between(old, self.df())
+        for view, call in list(self._observers):
+            change = derivative(view, {self: own})
+            if not change.is_empty():
+                call(change)
+        return own.added, own.removed
 
     def rebuilt(self, children: tuple[Relation, ...]) -> Relation:
         return Select(children[0], self.where)
@@ -408,7 +500,8 @@ class MutableSelect(Select):
 class Equijoin(Relation):
     """Inner join that keeps both sides' attributes; other attributes in common are an error."""
 
-    def __init__(self, left: Relation, right: Relation, matching: dict[str, str]) -> None:
+    def __init__(self, left: Relation, right: Relation, matching: dict[str, str], narrow: int = 0) -> None:
+        self.narrow, self._asked = narrow, None
         if clash := set(left.scheme) & set(right.scheme):
             raise ValueError(f"both sides have {sorted(clash)}")
         if missing := (set(matching) - set(left.scheme)) | (set(matching.values()) - set(right.scheme)):
@@ -422,7 +515,7 @@ class Equijoin(Relation):
         self.keys = frozenset(keys | {frozenset(back.get(x, x) for x in k) for k in keys})
 
     def build(self, c: _Compiling) -> DataFrame:
-        left, right = map(c, self.children)
+        left, right = c(self.children[0]), self._right(c)
         pairs = [(a, b) for a, b in self.matching.items() if V.kind(self.types[a]) == V.kind(self.types[b])]
         if len(pairs) < len(self.matching):  # values of unlike kinds are equal only as NULLs
             for a, b in self.matching.items():
@@ -430,8 +523,19 @@ class Equijoin(Relation):
                     left, right = left.where(quoted(a).isNull()), right.where(quoted(b).isNull())
         return null_safe(left, right, pairs, "inner")
 
+    def _right(self, c: _Compiling) -> DataFrame:
+        """The right side, or what of it can match the few values of the left."""
+        if not self.narrow or not self.matching:
+            return c(self.children[1])
+        found = cols(c(self.children[0]), self.matching).distinct().limit(self.narrow + 1).collect()
+        if len(found) > self.narrow:
+            return c(self.children[1])
+        some = combined([row_matches({b: r[a] for a, b in self.matching.items()}) for r in found], Or)
+        self._asked = self.children[1].select(FALSE if some is None else some)  # kept, as plans are shared by identity
+        return c(self._asked)
+
     def rebuilt(self, children: tuple[Relation, ...]) -> Relation:
-        return Equijoin(*children, self.matching)
+        return Equijoin(*children, self.matching, self.narrow)
 
     def label(self) -> str:
         return f"Equijoin {self.matching}"
@@ -543,32 +647,34 @@ class Aggregate(Relation):
 
 
 class Fold(Relation):
-    def __init__(self, of: Relation, attribute: str, initial: object, step: Callable, merge: Callable, kind: str, on_empty: bool) -> None:
-        self.children, self.args, self.attribute = (of,), (attribute, initial, step, merge, kind, on_empty), attribute
+    def __init__(self, of: Relation, attribute: str, initial: object, step: Callable, merge: Callable, kind: str, on_empty: bool, arrow: bool = False) -> None:
+        self.children, self.args, self.attribute = (of,), (attribute, initial, step, merge, kind, on_empty, arrow), attribute
         self.keys = frozenset([frozenset()])
 
     def build(self, c: _Compiling) -> DataFrame:
         import pickle
 
-        import pandas as pd
+        import pyarrow as pa
 
-        attribute, initial, step, merge, kind, on_empty = self.args
+        attribute, initial, step, merge, kind, on_empty, arrow = self.args
 
         def partial(batches):
             state, n = initial, 0
-            for pdf in batches:
-                n += len(pdf)
-                state = step(state, pdf.to_dict("records")) if len(pdf) else state
-            yield pd.DataFrame({"state": [pickle.dumps(state)], "n": [n]})
+            for b in batches:
+                n += b.num_rows
+                if b.num_rows:
+                    state = step(state, b if arrow else b.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary()), pa.array([n])], ["state", "n"])
 
         def final(batches):
-            states = [(pickle.loads(s), n) for pdf in batches for s, n in zip(pdf.state, pdf.n)]
-            some = [s for s, n in states if n]
-            if some or on_empty:
-                yield pd.DataFrame({attribute: [reduce(merge, some) if some else initial]})
+            states = [pickle.loads(s) for b in batches for s, n in zip(b.column("state").to_pylist(), b.column("n").to_pylist()) if n]
+            if states or on_empty:
+                yield pa.RecordBatch.from_arrays([pa.array([reduce(merge, states) if states else initial])], [attribute])
 
-        ship(c(self.children[0]).sparkSession)
-        return c(self.children[0]).mapInPandas(partial, "state binary, n long").repartition(1).mapInPandas(final, f"`{attribute}` {kind}")  # shuffled: a row a partition of the first
+        rows = c(self.children[0])
+        ship(rows.sparkSession)
+        # a state a partition is shuffled to one task; the rows are folded where they lie
+        return rows.mapInArrow(partial, "state binary, n long").repartition(1).mapInArrow(final, f"`{attribute}` {kind}")
 
     def rebuilt(self, children: tuple[Relation, ...]) -> Relation:
         return Fold(children[0], *self.args)
@@ -626,6 +732,17 @@ class Cached(Relation):
         return Cached(children[0], self.up_to)
 
 
+@contextmanager
+def watched() -> Iterator[list[tuple[str, float]]]:
+    """Collect what is compiled within, and how long each node took with what is below it."""
+    global ACTIVITY
+    was, ACTIVITY = ACTIVITY, []
+    try:
+        yield ACTIVITY
+    finally:
+        ACTIVITY = was
+
+
 def evaluate_together(relations: Iterable[Relation]) -> list[list[dict[str, object]]]:
     """The rows of several relations; subtrees that more than one of them has are computed once."""
     relations = list(relations)
@@ -664,6 +781,11 @@ def union_all(relations: Iterable[Relation | None]) -> Relation | None:
     return reduce(Union, some) if some else None
 
 
+def intersection_all(relations: Iterable[Relation]) -> Relation:
+    """Of one relation itself, of more their intersection."""
+    return reduce(Intersection, relations)
+
+
 def minus_or_none(a: Relation | None, b: Relation | None) -> Relation | None:
     return a if a is None or b is None else Difference(a, b)
 
