@@ -281,6 +281,16 @@ def _compare(op: str, a: object, b: object) -> bool:
     return {"eq": operator.eq, "ne": operator.ne, "lt": operator.lt, "le": operator.le, "gt": operator.gt, "ge": operator.ge}[op](x, y)
 
 
+def weakened(p: Predicate, names: set[str]) -> Predicate:
+    """What still holds of a row that held p after its attributes ``names`` were set to something else."""
+    match p:
+        case And():
+            return And(weakened(p.left, names), weakened(p.right, names))
+        case Or():
+            return Or(weakened(p.left, names), weakened(p.right, names))
+    return TRUE if p.attributes() & names else p
+
+
 def exclusive(p: Predicate, q: Predicate) -> bool:
     """Whether no row can satisfy both, as far as equalities with constants show it. False if unknown."""
 

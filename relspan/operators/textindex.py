@@ -1,13 +1,15 @@
 """Full-text search as a relation: a positional index, a query language, rank and snippets.
 
-The index is a stored table of postings (id, field, pos, token). A query compiles to semi-, anti- and inner joins on
-it: words side by side must all occur, ``OR``, ``NOT``, ``"a phrase"``, ``prefix*`` and ``NEAR/n`` combine. A match may lie in any field.
+The index is a stored table of postings (id, field, pos, token), dealt to files in ranges of token and sorted by it, so the files'
+statistics prune a token's scan. A change adds a layer: the postings of its rows, and the ids whose older postings no longer count. A query
+compiles to semi-, anti- and inner joins on it: words side by side must all occur, ``OR``, ``NOT``, ``"a phrase"``, ``prefix*`` and
+``NEAR/n`` combine. A match may lie in any field.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,13 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspan.plans import relation as R
+from relspan.plans.delta import Change
 from relspan.plans.relation import Relation, quoted
-from relspan.sources.scratch import staged
+from relspan.sources.scratch import discard, staged
 from relspan.sources.shipping import ship
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
 BEGIN, END, ELLIPSIS = "\x02", "\x03", "\x04"
 WINDOW = 15
+#: Layers of changes after which the index is written anew.
+LAYERS = 16
 
 
 @dataclass(frozen=True)
@@ -141,14 +146,23 @@ def phrases_of(tree: object) -> list[Phrase]:
     return [*phrases_of(tree.left), *phrases_of(tree.right)] if tree is not None else []
 
 
+@dataclass
+class _Layer:
+    """Texts and postings of rows, and the ids that older layers no longer speak for."""
+
+    texts: DataFrame
+    postings: DataFrame
+    gone: DataFrame | None = None
+
+
 class TextIndex:
-    """An index over text fields of a relation. ``refresh`` takes a change of the relation, so only its rows are tokenized."""
+    """An index over text fields of a relation. ``refresh`` takes a change of the relation; only its rows are tokenized and written."""
 
     def __init__(self, content: Relation, ident: str, fields: dict[str, Column | str] | list[str]) -> None:
         self.content, self.ident = content, ident
         self.fields = {f: quoted(f) for f in fields} if isinstance(fields, list) else {k: quoted(c) if isinstance(c, str) else c for k, c in fields.items()}
-        self.texts = self._texts(content.df())
-        self.postings = staged(self._post(self.texts), "postings")
+        texts = self._texts(content.df())
+        self.layers = [_Layer(texts, self._stored(self._post(texts)))]
         self.searches: list[Search] = []
 
     def _texts(self, rows: DataFrame) -> DataFrame:
@@ -160,19 +174,46 @@ class TextIndex:
         flat = texts.select("id", each).select("id", "x.field", F.regexp_extract_all(F.lower("x.text"), F.lit(TOKEN), F.lit(0)).alias("w"))
         return flat.select("id", "field", F.posexplode("w").alias("pos", "token"))
 
+    @staticmethod
+    def _stored(postings: DataFrame) -> DataFrame:
+        """In ranges of token. The ranges come from what is written first, so that texts are tokenized once."""
+        flat = staged(postings, "postings-flat")
+        parts = max(1, flat.rdd.getNumPartitions())
+        ranged = flat.repartitionByRange(parts, "token", "id") if parts > 1 else flat
+        out = staged(ranged.sortWithinPartitions("token", "id", "field", "pos"), "postings")
+        discard(flat.sparkSession, flat)
+        return out
+
+    def _composed(self, which: str) -> DataFrame:
+        out = getattr(self.layers[0], which)
+        for layer in self.layers[1:]:
+            out = R.null_safe(out, layer.gone, [("id", "id")], "left_anti").unionByName(getattr(layer, which))
+        return out
+
+    @property
+    def texts(self) -> DataFrame:
+        return self._composed("texts")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._composed("postings")
+
     def refresh(self, added: DataFrame | None, removed: DataFrame | None) -> None:
-        """Take a change of the content; live searches see it at their next read."""
-        gone = [x for x in (removed, added) if x is not None]
-        if not gone:
+        """Take a change of the content, as one more layer; live searches see it at their next read, and tell their observers now."""
+        some = [x for x in (removed, added) if x is not None]
+        if not some:
             return
-        ids = gone[0].select(quoted(self.ident).alias("id"))
-        for x in gone[1:]:
+        before = [s.df() if s.observers else None for s in self.searches]
+        ids = some[0].select(quoted(self.ident).alias("id"))
+        for x in some[1:]:
             ids = ids.unionByName(x.select(quoted(self.ident).alias("id")))
-        texts, postings = (R.null_safe(x, ids.distinct(), [("id", "id")], "left_anti") for x in (self.texts, self.postings))
-        if added is not None:
-            fresh = self._texts(added)
-            texts, postings = texts.unionByName(fresh), postings.unionByName(self._post(fresh))
-        self.texts, self.postings = staged(texts, "texts"), staged(postings, "postings")
+        fresh = staged(self._texts(added if added is not None else removed.limit(0)), "texts")
+        self.layers.append(_Layer(fresh, self._stored(self._post(fresh)), staged(ids.distinct(), "gone")))
+        if len(self.layers) > LAYERS:
+            self.layers = [_Layer(staged(self.texts, "texts"), self._stored(self.postings))]
+        for s, old in zip(self.searches, before):
+            if old is not None:
+                s.changed(old)
 
     # matching
 
@@ -200,9 +241,12 @@ class TextIndex:
             case But(a, b):
                 return self.matching(a).join(self.matching(b), "id", "left_anti")
             case Near(a, b, n):
-                x, y = self.hits(a), self.hits(b).withColumnRenamed("pos", "other")
+                # bands as wide as two beginnings can lie apart: one band of the left side, three of the right
+                wide = n + max(len(a.tokens), len(b.tokens)) + 1
+                x = self.hits(a).withColumn("band", F.floor(F.col("pos") / wide))
+                y = self.hits(b).withColumnRenamed("pos", "other").withColumn("band", F.explode(F.array(*(F.floor(F.col("other") / wide) + k for k in (-1, 0, 1)))))
                 ends = F.when(F.col("other") > F.col("pos"), F.col("other") - F.col("pos") - len(a.tokens)).otherwise(F.col("pos") - F.col("other") - len(b.tokens))
-                return x.join(y, ["id", "field"]).where(ends.between(0, n)).select("id").distinct()
+                return x.join(y, ["id", "field", "band"]).where(ends.between(0, n)).select("id").distinct()
         raise TypeError(tree)
 
     def rank(self, tree: object) -> DataFrame:
@@ -224,10 +268,35 @@ class TextIndex:
 
 
 class Search:
-    """A live search; ``query`` can be set. Rows: the id attribute, rank, and a snippet of each field."""
+    """A live search. Rows: the id attribute, rank, and a snippet of each field. Setting ``query`` tells the observers what has come and gone."""
 
     def __init__(self, index: TextIndex, query: str) -> None:
-        self.index, self.query = index, query
+        self.index, self._query = index, query
+        self.observers: list[Callable[[Change], None]] = []
+
+    @property
+    def query(self) -> str:
+        return self._query
+
+    @query.setter
+    def query(self, query: str) -> None:
+        parse(query)
+        old = self.df() if self.observers else None
+        self._query = query
+        if old is not None:
+            self.changed(old)
+
+    def observe(self, call: Callable[[Change], None]) -> Callable[[], None]:
+        """call(change) after the query has been set or the index refreshed, if rows came or went; returns what ends it."""
+        self.observers.append(call)
+        return lambda: self.observers.remove(call)
+
+    def changed(self, old: DataFrame) -> None:
+        now = self.df()
+        change = Change(staged(R.minus(now, old), "found"), staged(R.minus(old, now), "lost"))
+        if not change.is_empty():
+            for call in list(self.observers):
+                call(change)
 
     def df(self) -> DataFrame:
         tree = parse(self.query)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from relspan.operators.viewupdate import update
 from relspan.plans import relation as R
 from relspan.plans.delta import between, derivative
 from relspan.plans.relation import Leaf, Relation
-from relspan.sources import property_lists, sqlite
+from relspan.sources import property_lists
 from relspan.sources.scratch import new_folder
 from relspan.sources.tables import Database
 
@@ -156,13 +155,9 @@ def _property_list_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sqlite_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A SQLite file in the shared folder, which must be one that the executors mount."""
-    df = load(spark, sf_dir, "supplier").project("s_suppkey", "s_nationkey", "s_acctbal").df()
-    folder = new_folder(spark, "sqlite").removeprefix("file://").removeprefix("file:")
-    os.makedirs(folder)
-    path = f"{folder}/suppliers.db"
-    sqlite.create_table(path, "supplier", df.columns)
-    sqlite.write(df, path, "supplier")
-    return sqlite.read(spark, path, "supplier", df.schema).where("s_nationkey = 3")
+    from relspan.stateful import _sqlite
+
+    return _sqlite(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").df().where("s_nationkey = 3")
 
 
 def _update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +288,7 @@ def queries() -> dict[str, Query]:
         "select_glob_class": lambda t: t.part.select(A("p_type").glob("*[AB]?*")).project("p_partkey", "p_type"),
         "select_custom": lambda t: t.supplier.select(Custom(lambda a: F.abs(a) % 100 < 10, A("s_acctbal"))).project("s_suppkey"),
         "select_any_of": lambda t: t.orders.select(combined([A("o_orderpriority") == p for p in ("1-URGENT", "2-HIGH", "5-LOW")], Or)).project("o_orderkey"),
-        "select_all_of": lambda t: t.orders.select(combined([A("o_orderstatus") == "O", A("o_totalprice") > 50000.0, A("o_orderkey") <= 100000], And)).project("o_orderkey"),
+        "select_all_of": lambda t: t.orders.select(combined([A("o_orderstatus") == "O", A("o_totalprice") > 50000.0, A("o_orderpriority") != "5-LOW"], And)).project("o_orderkey"),
         "select_lt_null": lambda t: _labelled(t).select(A("quality") < 1),
         "select_ge_null": lambda t: _labelled(t).select(A("quality") >= None).project("doc_id"),
         "select_truthy": lambda t: _labelled(t).select(A("toxic")).project("doc_id"),
@@ -371,7 +366,7 @@ def oracle_sql() -> dict[str, str]:
         "select_glob_class": "SELECT p_partkey, p_type FROM part WHERE p_type GLOB '*[AB]?*'",
         "select_custom": "SELECT s_suppkey FROM supplier WHERE abs(s_acctbal) % 100 < 10",
         "select_any_of": "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')",
-        "select_all_of": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 50000 AND o_orderkey <= 100000",
+        "select_all_of": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 50000 AND o_orderpriority <> '5-LOW'",
         "select_lt_null": f"SELECT * FROM {_LABELLED} WHERE quality IS NULL OR quality < 1",
         "select_ge_null": f"SELECT doc_id FROM {_LABELLED}",
         "select_truthy": f"SELECT doc_id FROM {_LABELLED} WHERE toxic IS DISTINCT FROM 0",

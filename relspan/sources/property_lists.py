@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import plistlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,12 @@ from pyspark.sql import types as T
 
 from relspan.plans.delta import Change
 from relspan.plans.relation import minus
+from relspan.sources.scratch import staged
 from relspan.sources.shipping import ship
+from relspan.sources.tables import Database, Snapshot
 
+#: Rows that a PropertyListDatabase remembers from look-ups.
+CACHED = 256
 Codec = tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]  # encode, decode
 PLAIN: Codec = (bytes, bytes)
 
@@ -167,3 +173,129 @@ def delete_rows(df: DataFrame, uri: str, key: list[str]) -> None:
 def replaced(before: DataFrame, after: DataFrame) -> Change:
     """What replacing a file from outside has added and removed; for a deleted file, after is empty."""
     return Change(minus(after, before), minus(before, after))
+
+
+@dataclass
+class Spec:
+    """How a table of a PropertyListDatabase is kept: "transient" not at all, "file" in NAME.plist, "directory" in the folder NAME, a file a
+    row, by its key."""
+
+    kind: str
+    schema: T.StructType
+    key: tuple[str, ...] = ()
+    codec: Codec = PLAIN
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("transient", "file", "directory") or (self.kind == "directory" and not self.key):
+            raise ValueError(f"cannot keep a table as {self.kind} with the key {self.key}")
+
+
+class PropertyListDatabase:
+    """Tables in a folder of property lists. ``tables`` is a Database over them, with all it offers; what it changes is written by save()."""
+
+    def __init__(self, spark: SparkSession, root: str, specs: dict[str, Spec]) -> None:
+        self.spark, self.root, self.specs = spark, root.rstrip("/"), specs
+        self.tables = Database(spark)
+        self._saved: Snapshot = {}
+        self._observers: list[Callable[[str, Change], None]] = []
+        self._looked_up: OrderedDict[tuple, dict | None] = OrderedDict()
+
+    @classmethod
+    def create(cls, spark: SparkSession, root: str, specs: dict[str, Spec]) -> PropertyListDatabase:
+        """A new one, with empty tables; raises if there is one."""
+        db = cls(spark, root, specs)
+        for n, s in specs.items():
+            if s.kind != "transient" and db._there(n):
+                raise FileExistsError(db._uri(n))
+            db.tables.create(n, spark.createDataFrame([], s.schema), s.key)
+        db.save()
+        return db
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, specs: dict[str, Spec]) -> PropertyListDatabase:
+        db = cls(spark, root, specs)
+        if wrong := db.validate():
+            raise ValueError("; ".join(wrong))
+        for n, s in specs.items():
+            db.tables.create(n, db._read(n, db._uri(n)), s.key)
+        db._saved = db.tables.snapshot()
+        return db
+
+    def _uri(self, name: str) -> str:
+        return f"{self.root}/{name}.plist" if self.specs[name].kind == "file" else f"{self.root}/{name}"
+
+    def _there(self, name: str) -> bool:
+        fs, path = _fs(self._uri(name))
+        return fs.get_file_info(path).type != pafs.FileType.NotFound
+
+    def _read(self, name: str, uri: str) -> DataFrame:
+        s = self.specs[name]
+        if s.kind == "transient":
+            return self.spark.createDataFrame([], s.schema)
+        if s.kind == "file":
+            return read_file(self.spark, uri, s.schema, s.codec)
+        return staged(read_directory(self.spark, uri, s.schema, s.codec), name)
+
+    def validate(self) -> list[str]:
+        """What is missing or can't be read under the specs; nothing if all is well."""
+        wrong = []
+        for n, s in self.specs.items():
+            if s.kind == "transient":
+                continue
+            if not self._there(n):
+                wrong.append(f"{n} is missing")
+                continue
+            try:
+                (read_file if s.kind == "file" else read_directory)(self.spark, self._uri(n), s.schema, s.codec).limit(1).collect()
+            except Exception as e:  # noqa: BLE001  whatever the file holds
+                wrong.append(f"{n} can't be read: {str(e).splitlines()[0][:100]}")
+        return wrong
+
+    def observe_save(self, call: Callable[[str, Change], None]) -> Callable[[], None]:
+        """call(table, what was written) for each table that save() writes; returns what ends it."""
+        self._observers.append(call)
+        return lambda: self._observers.remove(call)
+
+    def save(self) -> list[str]:
+        """Write the tables that have changed since; a directory gets its changed rows alone. Returns their names."""
+        now, written = self.tables.snapshot(), []
+        for n, s in self.specs.items():
+            fs, path = _fs(self._uri(n))
+            if s.kind == "transient" or (n in self._saved and now[n] is self._saved[n]):
+                continue
+            before = self._saved.get(n, now[n].limit(0))
+            change = Change(staged(minus(now[n], before), "written"), staged(minus(before, now[n]), "unwritten"))
+            if change.is_empty() and n in self._saved:
+                continue
+            if s.kind == "file":
+                write_file(now[n], self._uri(n), s.codec)
+            else:
+                fs.create_dir(path, recursive=True)
+                delete_rows(change.removed, self._uri(n), list(s.key))
+                write_directory(change.added, self._uri(n), list(s.key), s.codec)
+            written.append(n)
+            for call in list(self._observers):
+                call(n, change)
+        self._saved = now
+        self._looked_up.clear()
+        return written
+
+    def look_up(self, name: str, key: dict[str, object]) -> dict[str, object] | None:
+        """A stored row of a directory by its key, from its file or from the last CACHED look-ups; None if there is none."""
+        s, at = self.specs[name], (name, *sorted(key.items()))
+        if at not in self._looked_up:
+            row = look_up(self.spark, self._uri(name), {k: key[k] for k in s.key}, s.schema, s.codec).first()
+            self._looked_up[at] = None if row is None else row.asDict()
+            if len(self._looked_up) > CACHED:
+                self._looked_up.popitem(last=False)
+        self._looked_up.move_to_end(at)
+        return self._looked_up[at]
+
+    def replace_stored(self, name: str, uri: str | None) -> Change:
+        """What others have stored at uri takes the table's place, or nothing does (None): the table follows, its observers are told,
+        and it is saved. Returns the change."""
+        before = self.tables[name].current()
+        self.tables[name].replace_all(before.limit(0) if uri is None else self._read(name, uri))
+        change = replaced(before, self.tables[name].current())
+        self.save()
+        return change

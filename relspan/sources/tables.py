@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspan.functions.predicates import Predicate, exclusive
+from relspan.functions.predicates import Predicate, exclusive, weakened
 from relspan.plans import relation as R
 from relspan.plans.delta import Change, LeafChange, derivative
 from relspan.plans.relation import Relation, cols, quoted
@@ -124,7 +124,7 @@ class Table(Relation):
             hit = hit if rows is None else R.null_safe(hit, rows, [(c, c) for c in rows.columns], "left_semi")
             hit = self.db._kept(hit, "hit")
             fixed = hit.select(*(F.lit(new[c]).cast(self.types[c]).alias(c) if c in new else quoted(c) for c in hit.columns)).distinct()
-            became = R.row_matches({c: v for c, v in new.items()})
+            became = weakened(where, set(new)) & R.row_matches(new)
             self.db._do(self, R.minus(fixed, R.meet(self.current(), fixed)), R.minus(hit, fixed), where | became)
 
     def replace_all(self, rows: DataFrame) -> None:
