@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from relspan.sources.shipping import ship
 
@@ -59,16 +60,32 @@ def scan_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def id_ranges(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, int]:
-    """Add range_id: rows of equal key share one, and it rises with the key. Null is lowest.
+#: Cuts that one sketch on the driver finds; beyond these every range between them is cut again by an aggregate of its own.
+COARSE = 4096
+
+
+def id_ranges(df: DataFrame, key: str, parts: int, coarse: int = COARSE) -> tuple[DataFrame, int]:
+    """Add range_id: rows of equal key share one, and it rises with the key. Null is lowest. The key must be a number.
 
     The cuts are quantiles of the key alone, which reads one column; the search among them is binary
-    and in the JVM. Keys go through double, which is monotone, so near keys may share a range.
+    and in the JVM. Keys go through double, which is monotone, so near keys may share a range. The driver holds a sketch of bounded size and the
+    cuts themselves, 8 bytes a range.
     """
-    cuts = sorted(set(df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    if not isinstance(df.schema[key].dataType, NumericType):
+        raise TypeError(f"{key} is {df.schema[key].dataType.simpleString()}, not a number")
+    first = min(parts, coarse)
+    cuts = set(df.stat.approxQuantile(key, [i / first for i in range(1, first)], 0.2 / first)) if first > 1 else set()
+    if parts > coarse and cuts:
+        each = -(-parts // coarse)
+        ranged = _with_ranges(df.select(key), key, sorted(cuts))
+        within = ranged.groupBy("range_id").agg(F.percentile_approx(F.col(key).cast("double"), [i / each for i in range(1, each)], 20 * each).alias("cuts"))
+        cuts |= {x for r in within.select("cuts").collect() for x in r.cuts or ()}
     if not cuts:
         return df.withColumn("range_id", F.lit(0)), 1
-    splits = [float("-inf"), *cuts, float("inf")]
+    return _with_ranges(df, key, sorted(cuts)), len(cuts) + 1
+
+
+def _with_ranges(df: DataFrame, key: str, cuts: list[float]) -> DataFrame:
     as_double = df.withColumn("__key", F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
-    cut = Bucketizer(splits=splits, inputCol="__key", outputCol="__range").transform(as_double)
-    return cut.withColumn("range_id", F.col("__range").cast("int")).drop("__key", "__range"), len(splits) - 1
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__key", outputCol="__range").transform(as_double)
+    return cut.withColumn("range_id", F.col("__range").cast("int")).drop("__key", "__range")

@@ -1,4 +1,4 @@
-"""The queries opN_<name> of this package and the SQL that holds their results."""
+"""The queries opN_<name> of this package and the SQL that holds their results; spotsigs_classes is op8's operator on a whole table."""
 
 from __future__ import annotations
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_lengths": lambda s, d: lengths.digest(table(s, d, "documents"), tokenizer_json()),
         "op7_html_text": lambda s, d: extract.extract_text(table(s, d, "pages")),
         "op8_spotsigs": lambda s, d: spotsigs.next_to_each(table(s, d, "documents")),
+        "spotsigs_classes": lambda s, d: spotsigs.near_duplicates(table(s, d, "documents")),
         "op9_simhash": lambda s, d: simhash.digest(table(s, d, "documents")),
         "op10_token_records": lambda s, d: token_records.token_records(table(s, d, "documents"), tokenizer_json(), END_ID),
     }

@@ -13,7 +13,7 @@ rows that repeat a doc_id are documents of their own, ordered by text; other col
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relspan.llm.bytewords import LETTERS_DIGITS, mix, slices, words_of
-from relspan.llm.common import python_ready, id_ranges, scan_partitions
+from relspan.llm.common import id_ranges, python_ready, scan_partitions, small_side
 from relspan.llm.components import connected_components
 from relspan.sources.scratch import staged
 
@@ -36,6 +36,8 @@ CHAIN = 2
 HEX = 8  # hex digits of a signature
 #: Centres that each bucket of near_duplicates tries before its members make pairs.
 CENTRES = 2
+#: Bits of a set's sketch; members of a bucket that are compared in one task; pairs that numpy compares at once.
+SKETCH, TILE, CELLS = 512, 4096, 1_000_000
 
 
 def _anchor_hashes() -> np.ndarray:
@@ -100,25 +102,19 @@ def next_to_each(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and both likenesses.
 
     Ranges of doc_id go to tasks in one shuffle; each range is also dealt the first document of the next one, so no
-    task needs another's rows. The firsts are found from the ids alone, one for each range.
+    task needs another's rows. The firsts are found from the ids alone, one for each range, and never collected.
     """
-    spark = docs.sparkSession
-    python_ready(spark)
+    python_ready(docs.sparkSession)
     ranged, parts = id_ranges(docs.select("doc_id", "text"), "doc_id", scan_partitions(docs))
-    ids = ranged.select("doc_id", "range_id")
-    heads = {r.range_id: r.head for r in ids.groupBy("range_id").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).collect()}
-    nulls = ids.where("doc_id IS NULL").limit(1).count() > 0
-    order = sorted(heads)
-    if nulls and order:
-        heads[order[0]] = None  # null is the lowest id
-    ahead = [(order[k - 1], heads[p]) for k, p in enumerate(order)]  # the first one's goes round to the last
-    own = ranged.withColumn("ahead", F.lit(False))
+    heads = ranged.groupBy("range_id").agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    by_range = Window.orderBy("range_id")  # over a row a range
+    goes = F.coalesce(F.lag("range_id").over(by_range), F.max("range_id").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = staged(heads.select(goes.alias("to"), F.when(F.col("nulls") == 0, F.col("least")).alias("head")), "heads")  # null is the lowest id; the first one's goes round to the last
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if ahead:
-        goes = spark.createDataFrame(ahead, f"to int, head {kind}")
-        # the head is the least id of its range, so an equal id is in that range
-        first = docs.select("doc_id", "text").join(F.broadcast(goes), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("to").alias("range_id"), F.lit(True).alias("ahead"))
-        own = own.unionByName(first)
+    own = ranged.withColumn("ahead", F.lit(False))
+    # the head is the least id of its range, so an equal id is in that range
+    first = docs.select("doc_id", "text").join(small_side(heads), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("to").alias("range_id"), F.lit(True).alias("ahead"))
+    own = own.unionByName(first)
     dealt = own.repartitionById(parts, "range_id").sortWithinPartitions("ahead", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +157,65 @@ def _open(spots: DataFrame, label: DataFrame) -> DataFrame:
     return staged(m.join(mixed, ["sig", "band"]), "open")
 
 
+def sketch(signatures: np.ndarray) -> bytes:
+    """SKETCH bits: whether an odd number of signatures falls on each. Two sets differ in at least as many signatures as their sketches in bits."""
+    return np.packbits(np.bincount(signatures % SKETCH, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
+def _unlike_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by key: pairs (rep, other) of a key's rows of unlike labels that lengths and sketches don't rule out, for each row
+    that is its tile's own. Blocks of a key are compared by numpy, so memory is bounded by a block and the rows of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            key, n, label, own = (t.column(c).to_numpy() for c in ("key", "n", "label", "own"))
+            rep = t.column("rep").combine_chunks()
+            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+            bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                mine = np.flatnonzero(own[lo:hi]) + lo
+                for cut in range(0, len(mine), max(1, CELLS // (hi - lo))):
+                    o = mine[cut : cut + max(1, CELLS // (hi - lo))]
+                    i, j = np.nonzero((label[o][:, None] != label[lo:hi][None, :]) & (np.minimum(n[o][:, None], n[lo:hi][None, :]) >= threshold * np.maximum(n[o][:, None], n[lo:hi][None, :])))
+                    i, j = o[i], j + lo
+                    for at in range(0, len(i), CELLS):
+                        a, b = i[at : at + CELLS], j[at : at + CELLS]
+                        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                        common = (n[a] + n[b] - apart) // 2  # at most
+                        near = common >= threshold * (n[a] + n[b] - common) - 1e-9
+                        if near.any():
+                            yield pa.RecordBatch.from_arrays([rep.take(pa.array(a[near])), rep.take(pa.array(b[near]))], ["rep", "other"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column("key").to_numpy()
+            last = int(np.searchsorted(k, k[-1]))
+            if last or (held and held[0].column("key")[0].as_py() != k[0]):
+                yield from pairs([*held, b.slice(0, last)] if last else held)
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id): classes of documents linked by a Jaccard of ``threshold`` or more; class_id is the least doc_id in reach.
 
     Equal sets are one representative. Representatives post their rarest signatures, as many as the threshold asks for, under
     (length band, signature); only those that meet in such a bucket are compared, pruned by length and then exactly. First every
     bucket compares its members with one centre, CENTRES times with another one; this joins groups of near copies. Afterwards
-    only members of different classes make pairs, so a group gives no pairs within itself, and no link is lost.
+    only members of different classes make pairs, and only where lengths and sketches of their sets leave the threshold possible: groups of near
+    copies give none within themselves, unlike sets that share a common signature none at all, and no link is lost. A bucket of more than TILE
+    members is compared in tiles.
+
+    Defined cases: null and empty texts are one class, as their sets are equal; rows that repeat are of one class; a null doc_id names a class
+    only if it has no other; an empty table has no rows.
     """
     spark = docs.sparkSession
     python_ready(spark)
@@ -175,21 +223,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [x.astype(np.int64).tolist() for x in signature_sets(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.list_(pa.int64()))], ["doc_id", "sigs"])
+            own = signature_sets(b.column("text").to_pylist())
+            s = [x.astype(np.int64).tolist() for x in own]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.list_(pa.int64())), pa.array(list(map(sketch, own)), pa.binary())], ["doc_id", "sigs", "sketch"])
 
-    own = staged(docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, sigs array<bigint>").withColumn("rep", F.sha2(F.array_join("sigs", ","), 256)), "sets")
-    reps = staged(own.groupBy("rep").agg(F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs")).where("n > 0"), "reps")
+    own = staged(docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, sigs array<bigint>, sketch binary").withColumn("rep", F.sha2(F.array_join("sigs", ","), 256)), "sets")
+    reps = staged(own.groupBy("rep").agg(F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch")).withColumn("n", F.size("sigs")).where("n > 0"), "reps")
     flat = reps.select("rep", "n", F.explode("sigs").alias("sig"))
     rare = Window.partitionBy("rep").orderBy("df", "sig")
-    ranked = flat.join(flat.groupBy("sig").agg(F.count("*").alias("df")), "sig").withColumn("r", F.row_number().over(rare))
+    counts = staged(flat.groupBy("sig").agg(F.count("*").alias("df")), "counts")  # stored, so that Spark can split the rows of a common signature
+    ranked = flat.join(counts, "sig").withColumn("r", F.row_number().over(rare))
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(threshold)).cast("int")
     spots = staged(prefix.select("rep", "n", "sig", F.explode(F.array(band, band + 1)).alias("band")), "posted")
     fits = F.least("n", "m") >= F.greatest("n", "m") * threshold
 
     def verified(pairs: DataFrame) -> DataFrame:
-        cand = pairs.where(fits).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        cand = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         sig = reps.select("rep", "sigs", "n")
         both = cand.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
@@ -199,15 +249,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     for turn in range(CENTRES):
         members = _open(spots, label)
         centre = members.groupBy("sig", "band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("at"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("label").alias("its"))).alias("c"))
-        found = verified(members.join(centre.select("sig", "band", "c.*"), ["sig", "band"]).where("label <> its"))
+        centre = staged(centre.select("sig", "band", "c.*"), "centres")
+        found = verified(members.join(centre, ["sig", "band"]).where("label <> its").where(fits))
         links = found if links is None else links.unionByName(found)
         label = staged(reps.select("rep").join(connected_components(links).toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labels")
     members = _open(spots, label)
-    classes = members.select("sig", "band", "label").distinct()
-    apart = classes.join(classes.withColumnRenamed("label", "its"), ["sig", "band"]).where("label < its")
-    others = members.select("sig", "band", F.col("label").alias("its"), F.col("rep").alias("other"), F.col("n").alias("m"))
-    found = verified(members.join(apart, ["sig", "band", "label"]).join(others, ["sig", "band", "its"]))
+    heavy = staged(members.groupBy("sig", "band").count().where(F.col("count") > TILE).select("sig", "band", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "heavy")
+    rows = members.join(reps.select("rep", "sketch"), "rep").withColumn("label", F.xxhash64("label"))
+    if heavy.isEmpty():
+        rows = rows.withColumns({"own": F.lit(True), "key": F.xxhash64("sig", "band")})
+    else:  # a member is its own in one tile of its bucket, and to be compared with in all others
+        tiles = F.coalesce("tiles", F.lit(1))
+        rows = rows.join(heavy, ["sig", "band"], "left").withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        rows = rows.withColumns({"own": F.col("tile") == F.pmod(F.xxhash64("rep"), tiles), "key": F.xxhash64("sig", "band", "tile")})
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = rows.select("key", "rep", "n", "label", "own", "sketch").repartition(parts, "key").sortWithinPartitions("key")
+    found = verified(dealt.mapInArrow(_unlike_pairs(threshold), "rep string, other string"))
     comps = connected_components(links.unionByName(found)).toDF("rep", "comp")
     named = own.select("doc_id", "rep").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "comp").select("doc_id", "class_id")
+    least = staged(named.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "classes")
+    return named.join(small_side(least), "comp").select("doc_id", "class_id")

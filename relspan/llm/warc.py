@@ -82,7 +82,7 @@ def classify(pages: DataFrame) -> DataFrame:
     first = own.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     out = own.join(first, ["payload_digest", "payload_bytes"], "left")
     again = F.coalesce((F.col("first") != F.col("page_id")) & (F.col("payload_bytes") >= MIN_BYTES), F.lit(False))
-    out = out.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first")), "stored": F.coalesce(F.col("first") == F.col("page_id"), F.col("page_id").isNull() | F.col("first").isNull())})
+    out = out.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first")), "stored": F.coalesce(F.col("first") == F.col("page_id"), F.col("first").isNull())})
     return staged(out.drop("first"), "records")
 
 
@@ -98,8 +98,11 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
     keep = rows.where("stored").select("page_id", "payload_digest").distinct()
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     held = pages.select("page_id", body.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
+    twice = staged(rows.where("stored").groupBy("payload_digest").count().where("count > 1").select("payload_digest"), "twice")  # by rows that repeat, or that have no page_id
     everything = rows.where("NOT stored").isEmpty()
     held = held if everything else held.join(keep.withColumnRenamed("page_id", "__page"), (F.col("page_id").eqNullSafe(F.col("__page"))) & (held.payload_digest == keep.payload_digest), "left_semi")
+    if not twice.isEmpty():
+        held = held.join(twice, "payload_digest", "left_anti").unionByName(held.join(twice, "payload_digest", "left_semi").dropDuplicates(["payload_digest"])).select("page_id", "payload", "payload_digest")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0

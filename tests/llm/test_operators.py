@@ -435,7 +435,7 @@ def test_applied_mix(spark):
 
 def test_archive(spark):
     page = lambda k: f"<html>{'x' * 200}{k}</html>"
-    rows = [(k, f"http://a/{k}", page(k % 3)) for k in range(30)] + [(30, None, None), (31, "u", ""), (32, "u", "short"), (33, "u", "short"), (34, "u\r\nv", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb" + "é" * 60), (None, "u", page(0)), (2, "http://a/2", page(2))]
+    rows = [(k, f"http://a/{k}", page(k % 3)) for k in range(30)] + [(30, None, None), (31, "u", ""), (32, "u", "short"), (33, "u", "short"), (34, "u\r\nv", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb" + "é" * 60), (None, "u", page(0)), (2, "http://a/2", page(2)), (None, "v", page("only null")), (None, "w", page("only null"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("payload", "header", "first")})
     first = {}
     for i, _, h in rows:
@@ -450,7 +450,7 @@ def test_archive(spark):
     folder, to = new_folder(spark, "t"), new_folder(spark, "x")
     warc.write_archive(pages, folder)
     stored = warc.read_payloads(spark, folder).collect()
-    assert len({r.payload_digest for r in stored}) == len({h or "" for _, _, h in rows})
+    assert sorted(r.payload_digest for r in stored) == sorted({hashlib.sha256((h or "").encode()).hexdigest() for _, _, h in rows})  # each once
     for r in warc.records(spark, folder).collect():
         fields, block, payload = next(warc.parse_records(__import__("io").BytesIO(bytes(r.record))))
         assert (len(payload) == 0) == (r.record_type == "revisit" or r.payload_digest == hashlib.sha256(b"").hexdigest())
@@ -702,8 +702,11 @@ def test_spotsigs_classes(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
 
 
-def test_spotsigs_classes_brute(spark):
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_spotsigs_classes_brute(spark, monkeypatch, tile):
     """Families of near copies, chains of edits and families that share much without being alike."""
+    monkeypatch.setattr(spotsigs, "TILE", tile)
+    monkeypatch.setattr(spotsigs, "CENTRES", 1)
     rng = random.Random(5)
     rows, word = [], lambda: "".join(rng.choice("bcdfgklmnprtvz") + rng.choice("aeiou") for _ in range(3))
     for family in range(4):
@@ -738,6 +741,44 @@ def test_spotsigs_classes_brute(spark):
     assert {r.doc_id: r.class_id for r in spotsigs.near_duplicates(docs_of(spark, rows)).collect()} == want
 
 
+def brute_classes(ids, sets):
+    parent = list(range(len(ids)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if spotsigs.likeness(sets[i], sets[j]) >= 0.8:
+                parent[find(i)] = find(j)
+    least = {}
+    for k, i in enumerate(ids):
+        some = [x for x in (i, least.get(find(k))) if x is not None]
+        least[find(k)] = min(some) if some else None
+    return Counter((i, least[find(k)]) for k, i in enumerate(ids))
+
+
+def test_spotsigs_classes_of_whole_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = Counter(map(tuple, queries()["spotsigs_classes"](spark, SF).collect()))
+    assert got == brute_classes([r.doc_id for r in docs], spotsigs.signature_sets([r.text for r in docs]))
+    rows = some_docs() + [(900, None, "s"), (None, None, "s"), (None, "a lone text of its own for the one that has no id", "s")]
+    got = Counter(map(tuple, spotsigs.near_duplicates(docs_of(spark, rows, ("rep", "n", "sig", "label", "sketch"))).collect()))
+    assert got == brute_classes([r[0] for r in rows], spotsigs.signature_sets([t for _, t, _ in rows]))
+    assert spotsigs.near_duplicates(docs_of(spark, [])).count() == 0
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 32, int(rng.integers(0, 400))).astype(np.uint32))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 32, int(rng.integers(0, 40))).astype(np.uint32)]))
+        apart = sum((x ^ y).bit_count() for x, y in zip(spotsigs.sketch(a), spotsigs.sketch(b)))
+        assert apart <= len(np.setxor1d(a, b)) and len(spotsigs.sketch(a)) * 8 == spotsigs.SKETCH
+
+
 # 9
 
 
@@ -860,6 +901,11 @@ def test_ranges_follow_the_key(spark):
     got = sorted(out.collect(), key=lambda r: (r.k is not None, r.k or 0))
     assert [r.range_id for r in got] == sorted(r.range_id for r in got) and parts == 8
     assert max(Counter(r.range_id for r in got).values()) < 200
+    out, parts = id_ranges(df, "k", 40, coarse=5)
+    got = sorted(out.collect(), key=lambda r: (r.k is not None, r.k or 0))
+    assert [r.range_id for r in got] == sorted(r.range_id for r in got) and parts > 30 and max(Counter(r.range_id for r in got).values()) < 100
+    with pytest.raises(TypeError):
+        id_ranges(df.selectExpr("CAST(k AS STRING) AS k"), "k", 8)
 
 
 # registered queries
