@@ -50,6 +50,24 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return out if how in ("left_semi", "left_anti") else out.drop(*(f"__right_{k}" for k in keys))
 
 
+def packed(docs: DataFrame, own: list[str]) -> DataFrame:
+    """The columns ``own``, and all others together as __rest, so that none clashes with a name used on the way."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*rest) if rest else F.lit(None)).alias("__rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], own: list[str]) -> DataFrame:
+    """What packed() took apart, as these columns."""
+    return df.select(*(F.col(c) if c in own else F.col(f"__rest.`{c}`").alias(c) for c in columns))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, or one like it that isn't among columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if a count shows that it is small; else the join shuffles."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df

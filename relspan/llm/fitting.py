@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from relspan.llm.common import python_ready, held_out, small_side
+from relspan.llm.common import held_out, python_ready, small_side, unused
 
 #: A classifier is fitted on at most so many labelled rows of label 1 and so many of label 0.
 FIT_ROWS = 3000
@@ -63,13 +63,14 @@ def score_with(docs: DataFrame, model: bytes, score: Callable[[object, list[str]
     python_ready(spark)
     sent = spark.sparkContext.broadcast(model)
     docs = docs.drop(name)
+    read = unused([*docs.columns, name], "__text")
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(sent.value)
         for b in batches:
-            s = score(own, b.column("__text").to_pylist())
-            keep = [n for n in b.schema.names if n != "__text"]
+            s = score(own, b.column(read).to_pylist())
+            keep = [n for n in b.schema.names if n != read]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(s, pa.float64())], [*keep, name])
 
-    return docs.withColumn("__text", F.col("text")).mapInArrow(scored, schema)
+    return docs.withColumn(read, F.col("text")).mapInArrow(scored, schema)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relspan.llm.common import null_safe_join, scan_partitions
+from relspan.llm.common import null_safe_join, packed, scan_partitions, unpacked
 from relspan.sources.scratch import staged
 
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -152,7 +152,8 @@ def apply_mix(docs: DataFrame, parts: int | None = None) -> DataFrame:
     taken, own, _, _, n_slots = schedule(docs)
     row = ["doc_id", "source", "size"]
     whole = taken.groupBy(*row, "start", "pass").agg(F.sum(F.col("hi") - F.col("lo")).alias("__n"), F.min("k").alias("__slot"))
-    whole, same = whole.withColumnRenamed("size", "__size"), docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long"))
+    kept = ["doc_id", "source", "text", *(["n_chars"] if "n_chars" in docs.columns else [])]
+    whole, same = whole.withColumnRenamed("size", "__size"), packed(docs, kept).withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long"))
     keys = ["doc_id", "source", "__size"]
     if not own.groupBy(*row).count().where("count > 1").isEmpty():
         # rows alike in id, source and size are told apart by their order
@@ -168,4 +169,4 @@ def apply_mix(docs: DataFrame, parts: int | None = None) -> DataFrame:
         out = out.withColumn("n_chars", F.when(entire, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     parts = parts or scan_partitions(docs)
     stretch = F.least(F.floor(F.col("__slot") * parts / max(n_slots, 1)), F.lit(parts - 1)).cast("int")
-    return out.repartitionById(parts, stretch).sortWithinPartitions("__slot", "doc_id").select(*docs.columns)
+    return unpacked(out.repartitionById(parts, stretch).sortWithinPartitions("__slot", "doc_id"), docs.columns, kept)

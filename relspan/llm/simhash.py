@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspan.llm.common import python_ready, small_side
+from relspan.llm.common import packed, python_ready, small_side, unpacked
 from relspan.llm.components import connected_components
 from relspan.sources.scratch import discard, staged
 
@@ -251,16 +251,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id but belong to different components, by their texts, stand each for its own. A row with no id can't
     stand for others and stays.
     """
+    columns, kept = docs.columns, ["doc_id", "text"]
+    docs = packed(docs, kept)
     found = named_components(docs).where("doc_id = component_id").select("doc_id", "fp", "component").distinct()
     twice = staged(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
     if twice.isEmpty():
-        lone = docs.join(found, "doc_id", "left_semi").select(docs.columns)
+        lone = docs.join(found, "doc_id", "left_semi")
     else:  # rows of one id are told apart by the hash of their text
         found = staged(found, "stand-in")
-        rows = docs.join(twice, "doc_id", "left_semi").select(docs.columns)
+        rows = docs.join(twice, "doc_id", "left_semi")
         own = fingerprints(rows, rep=True).join(found, ["doc_id", "fp"]).select("doc_id", F.col("rep").alias("__rep"), F.col("component").alias("__component")).distinct()
-        rest = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
         rows = rows.withColumn("__rep", F.sha2(F.coalesce("text", F.lit("")), 256)).join(own, ["doc_id", "__rep"])
-        rows = rows.groupBy("doc_id", "__component").agg(F.min(F.struct(*rest)).alias("__least")).select("doc_id", "__least.*").select(docs.columns)
-        lone = docs.join(found, "doc_id", "left_semi").join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(rows)
-    return lone.unionByName(docs.where("doc_id IS NULL"))
+        rows = rows.groupBy("doc_id", "__component").agg(F.min(F.struct("text", "__rest")).alias("__least")).select("doc_id", "__least.*")
+        lone = docs.join(found, "doc_id", "left_semi").join(twice, "doc_id", "left_anti").unionByName(rows)
+    return unpacked(lone.unionByName(docs.where("doc_id IS NULL")), columns, kept)
