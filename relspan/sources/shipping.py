@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,12 +19,14 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="relspan-")), "relspan_sources.zip")
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="relspan-"))  # the driver's own; Spark takes it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "relspan_sources.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
+        for inner, _, names in os.walk(package):
             for n in sorted(names):
                 if n.endswith(".py"):
-                    own = os.path.join(folder, n)
+                    own = os.path.join(inner, n)
                     z.write(own, os.path.relpath(own, os.path.dirname(package)))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
