@@ -548,6 +548,19 @@ def _search_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(change.added.join(change.removed, "doc_id", "left_anti"), "added").unionByName(pick(gone, "removed"))
 
 
+def _snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each snippet, its hits, and whether text is left out before and after."""
+    raw = _index(spark, sf_dir).search("idiot OR clown").df().select("doc_id", "text_snippet")  # which has sent this package to the executors
+
+    def run(batches):
+        for pdf in batches:
+            s = [textindex.StructuredSnippet.parse(x) for x in pdf.text_snippet]
+            yield pdf.assign(plain=[x.text for x in s], n_matches=[len(x.matches) for x in s], at_start=[x.ellipsis_at_start for x in s], at_end=[x.ellipsis_at_end for x in s]).drop(columns="text_snippet")
+
+    out = raw.mapInPandas(run, "doc_id long, plain string, n_matches long, at_start boolean, at_end boolean")
+    return out.withColumn("words", F.array_join(F.regexp_extract_all(F.lower("plain"), F.lit(textindex.TOKEN), F.lit(0)), " ")).drop("plain")
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that follows a stream of changes."""
     db, folder = _db(spark, sf_dir, "nation"), new_folder(spark, "changes")
@@ -571,7 +584,7 @@ def queries() -> dict[str, Query]:
         "observed_change": _observed, "observed_content": _observed_content, "queued_actions": _queued, "published_values": _published, "irrelevant_changes": _irrelevant, "transaction_isolation": _isolation, "transaction_snapshots": _snapshots,
         "change_log": _change_log, "change_variables": _variables, "mutable_select_observed": _mutable_observed, "replace_helpers": _helpers,
         "sorted_reduce": _sorted_reduce, "tree_rows": _tree_rows, "order_between": _orders, "recursive_fold": _fold_tree, "cascading_delete_by": _cascade_by,
-        "text_refreshed": _refreshed, "text_search_set": _search_set, "stream_changes": _stream,
+        "text_refreshed": _refreshed, "text_search_set": _search_set, "snippet_window": _snippet_window, "stream_changes": _stream,
     }
     return out | {f"update_on_{n}": _update(make, where, new) for n, (make, where, new, _, _) in _UPDATES.items()}
 
@@ -629,6 +642,14 @@ def oracle_sql() -> dict[str, str]:
         "cascading_delete_by": "SELECT s_suppkey, CAST(CASE WHEN n_regionkey = 1 THEN -1 ELSE s_nationkey END AS INTEGER) AS s_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 1 OR s_acctbal >= 0",
         "text_refreshed": f"SELECT doc_id FROM documents WHERE lang = 'fr' OR (lang <> 'de' AND list_contains({_WORDS}, 'the'))",
         "text_search_set": f"SELECT doc_id, 'added' AS side FROM documents WHERE list_contains({_WORDS}, 'clown') AND NOT list_contains({_WORDS}, 'idiot')",
+        "snippet_window": f"""
+            WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+            h AS (SELECT doc_id, w, len(w) AS n, list_filter(range(len(w)), lambda i: w[i + 1] IN ('idiot', 'clown')) AS p FROM t),
+            c AS (SELECT doc_id, w, n, p, unnest(list_distinct(list_prepend(0, list_transform(p, lambda k: greatest(0, k - 5))))) AS begins FROM h WHERE len(p) > 0),
+            s AS (SELECT *, greatest(0, least(begins, n - 15)) AS s FROM c),
+            g AS (SELECT *, len(list_filter(p, lambda k: k >= s AND k < s + 15)) AS hits FROM s),
+            b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, begins) AS r FROM g)
+            SELECT doc_id, CAST(hits AS BIGINT) AS n_matches, s > 0 AS at_start, s + 15 < n AS at_end, array_to_string(w[s + 1:s + 15], ' ') AS words FROM b WHERE r = 1""",
         "stream_changes": "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'ASIAN' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 1",
     }
     for n, (_, _, _, a, b) in _UPDATES.items():
