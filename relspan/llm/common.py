@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -104,6 +103,8 @@ def id_ranges(df: DataFrame, key: str, parts: int, coarse: int = COARSE) -> tupl
 
 
 def _with_ranges(df: DataFrame, key: str, cuts: list[float]) -> DataFrame:
+    from pyspark.ml.feature import Bucketizer  # here, as workers that import this module don't need it
+
     as_double = df.withColumn("__key", F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
     cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__key", outputCol="__range").transform(as_double)
     return cut.withColumn("range_id", F.col("__range").cast("int")).drop("__key", "__range")

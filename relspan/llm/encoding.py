@@ -7,7 +7,10 @@ each other word, and every text for which this isn't safe.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -22,7 +25,7 @@ from relspan.llm.bytewords import slices
 SLOTS = 1 << 19
 POOL = 8 * SLOTS
 #: Characters that are taken together (or one longer text).
-SLICE = 400_000
+SLICE = 200_000
 LONGEST = 16  # bytes of a word that is remembered
 
 #: The only normalizer and pre-tokenizer whose words this module finds itself.
@@ -56,6 +59,16 @@ _SAFE = bytes(c for c in range(256) if c not in _UNSAFE)
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the first n bytes
 
 
+def _give_back() -> None:
+    """Return to the system what building something has left free; the C library keeps it otherwise."""
+    gc.collect()
+    if sys.platform.startswith("linux"):
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+
+
 class Encoder:
     """encode(texts) with add_special_tokens=False."""
 
@@ -70,7 +83,9 @@ class Encoder:
         plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback")) and model.get("end_of_word_suffix") == WORD_END
         special = all(t["content"].startswith("<|") for t in made.get("added_tokens") or [])
         self.by_word = plain and special and made.get("normalizer") == NORMALIZER and made.get("pre_tokenizer") == PRE_TOKENIZER
+        del vocabulary, made, model
         self._forget()
+        _give_back()
 
     def _forget(self) -> None:
         self.keys = np.zeros((SLOTS, 2), np.uint64)

@@ -23,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspan.llm.common import python_ready, id_ranges, scan_partitions
+from relspan.llm.common import id_ranges, python_ready, scan_partitions
 from relspan.llm.encoding import encoder, filesystem, open_file, write_file
 from relspan.sources.scratch import new_folder
 
 MASK = 0xA282EAD8
+#: Bytes of records that a task reads back.
+PART_BYTES = 64 << 20
 HEAD, INFO = struct.Struct("<QI"), struct.Struct("<qBB")
 
 
@@ -103,13 +105,16 @@ def write_records(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str
 
 def read_records(spark: SparkSession, folder: str, files: list[tuple[int, int, int]]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files; every checksum is verified."""
-    listed, before = [], 0
-    for part, _, ids in files:
-        listed.append((part, before))
+    listed, before, at, room = [], 0, -1, 0
+    for part, records, ids in files:
+        if room <= 0:
+            at, room = at + 1, PART_BYTES
+        room -= 4 * ids + 26 * records  # at most; files stay whole, and each task reads a run of them
+        listed.append((part, before, at))
         before += ids
-    frame_of = spark.createDataFrame([(p, b, k) for k, (p, b) in enumerate(listed)], "part long, base long, at int")
+    frame_of = spark.createDataFrame(listed, "part long, base long, at int")
     if listed:
-        frame_of = frame_of.repartitionById(len(listed), "at")
+        frame_of = frame_of.repartitionById(at + 1, "at").sortWithinPartitions("part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
