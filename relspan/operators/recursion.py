@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from relspan.functions.predicates import Attr, Or, Predicate, combined
 from relspan.plans import relation as R
 from relspan.plans.relation import Relation, quoted
-from relspan.sources.scratch import staged
+from relspan.sources.scratch import staged, staged_counted
 from relspan.sources.tables import Database, Table
 
 
@@ -37,9 +37,10 @@ class Edge:
 
 def reach(relations: dict[str, DataFrame], start: dict[str, DataFrame], edges: list[Edge], most_rounds: int = 1000) -> dict[str, DataFrame]:
     """All rows reached from the start rows, by relation; the start is included. A NULL leads nowhere."""
-    visited = {n: staged(rows.distinct(), f"start-{n}") for n, rows in start.items()}
+    visited, count = {}, {}
+    for n, rows in start.items():
+        visited[n], count[n] = staged_counted(rows.distinct(), f"start-{n}")
     frontier = dict(visited)
-    count = {n: rows.count() for n, rows in visited.items()}
     for turn in range(most_rounds):
         found: dict[str, list[DataFrame]] = {}
         for e in edges:
@@ -54,8 +55,7 @@ def reach(relations: dict[str, DataFrame], start: dict[str, DataFrame], edges: l
             fresh = parts[0]
             for p in parts[1:]:
                 fresh = fresh.unionByName(p)
-            fresh = staged((R.minus(fresh, visited[n]) if n in visited else fresh).distinct(), f"frontier-{n}")
-            count[n] = fresh.count()
+            fresh, count[n] = staged_counted((R.minus(fresh, visited[n]) if n in visited else fresh).distinct(), f"frontier-{n}")
             if count[n]:
                 frontier[n] = fresh
                 visited[n] = fresh if n not in visited else visited[n].unionByName(fresh)
@@ -143,8 +143,8 @@ def cascading_delete_by(db: Database, start: str, where: object, cascade: Callab
             following = []
             for n, p in asked:
                 t = db[n]
-                rows = staged(t.current().where(R._predicate(p).holds(t.types)), f"gone-{n}")
-                if rows.isEmpty():
+                rows, found = staged_counted(t.current().where(R._predicate(p).holds(t.types)), f"gone-{n}")
+                if not found:
                     continue
                 t.remove_all(rows)
                 gone[n] = rows if n not in gone else gone[n].unionByName(rows)
@@ -178,8 +178,8 @@ def tree_paths(nodes: Relation, ident: str, parent: str, order: str | None = Non
     for _ in range(most_depth):
         above = level.withColumnRenamed("__id", "__above")
         below = own.where("__parent IS NOT NULL").join(above, F.col("__parent") == F.col("__above"))
-        level = staged(below.select("__id", (F.col("depth") + 1).alias("depth"), F.concat("path", "__step").alias("path")), "level")
-        if level.isEmpty():
+        level, found = staged_counted(below.select("__id", (F.col("depth") + 1).alias("depth"), F.concat("path", "__step").alias("path")), "level")
+        if not found:
             return out.withColumnRenamed("__id", ident)
         out = out.unionByName(level)
     raise RuntimeError(f"deeper than {most_depth}; is there a cycle?")

@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
@@ -48,6 +49,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As staged(), with the number of rows, which is counted while they are written."""
+    seen, names = Observation(), df.columns
+    path = new_folder(df.sparkSession, label)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).select(*(f"`{c.replace('`', '``')}`" for c in names)).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get.get("n") or 0)
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the tables that staged() has returned and that nothing will read again."""
     for df in frames:

@@ -22,7 +22,7 @@ from relspan.functions.predicates import Predicate, exclusive, weakened
 from relspan.plans import relation as R
 from relspan.plans.delta import Change, LeafChange, derivative
 from relspan.plans.relation import Relation, cols, quoted
-from relspan.sources.scratch import staged
+from relspan.sources.scratch import staged, staged_counted
 
 Snapshot = dict[str, DataFrame]
 Delta = dict[str, Change]
@@ -96,8 +96,11 @@ class Table(Relation):
         rows = cols(rows, self.schema.names).distinct()
         with self.db.transaction():
             if self.key:
-                old = self.db._kept(R.null_safe(self.current(), cols(rows, self.key), [(k, k) for k in self.key], "left_semi"), "same-key")
-                self.db._do(self, R.minus(rows, old), R.minus(old, rows), None)
+                old = self.db._some(R.null_safe(self.current(), cols(rows, self.key), [(k, k) for k in self.key], "left_semi"), "same-key")
+                if old is None:
+                    self.db._do(self, rows, None, None)
+                else:
+                    self.db._do(self, R.minus(rows, old), R.minus(old, rows), None)
             else:
                 self.db._do(self, R.minus(rows, R.meet(self.current(), rows)), None, None)
 
@@ -122,7 +125,9 @@ class Table(Relation):
         with self.db.transaction():
             hit = self.current().where(where.holds(self.types))
             hit = hit if rows is None else R.null_safe(hit, rows, [(c, c) for c in rows.columns], "left_semi")
-            hit = self.db._kept(hit, "hit")
+            hit = self.db._some(hit, "hit")
+            if hit is None:
+                return
             fixed = hit.select(*(F.lit(new[c]).cast(self.types[c]).alias(c) if c in new else quoted(c) for c in hit.columns)).distinct()
             became = weakened(where, set(new)) & R.row_matches(new)
             self.db._do(self, R.minus(fixed, R.meet(self.current(), fixed)), R.minus(hit, fixed), where | became)
@@ -213,15 +218,14 @@ class Database:
     def _working(self) -> dict[str, _Work]:
         return getattr(self._own, "work", None) or {}
 
-    def _kept(self, df: DataFrame, label: str) -> DataFrame:
-        return staged(df, label) if self.stored else df
-
     def _some(self, df: DataFrame | None, label: str) -> DataFrame | None:
         """df, stored, or None if it has no rows."""
         if df is None:
             return None
-        df = self._kept(df, label)
-        return None if df.isEmpty() else df
+        if not self.stored:
+            return None if df.isEmpty() else df
+        df, n = staged_counted(df, label)
+        return df if n else None
 
     def _do(self, table: Table, plus: DataFrame | None, less: DataFrame | None, touched: Predicate | None) -> None:
         """A mutation within a transaction: plus has rows that aren't there yet, less has rows that are. touched holds for all of both, if known."""

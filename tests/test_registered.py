@@ -94,12 +94,18 @@ def test_narrow_joins_reach_parquet(spark, tmp_path):
 def test_commits_store_changes_alone(spark, monkeypatch):
     db = Database(spark)
     t = db.create("t", spark.range(1000).selectExpr("id", "id % 10 AS k"), ["id"])
-    base, wrote, kept = t._version.base, [], tables.staged
-    monkeypatch.setattr(tables, "staged", lambda df, label: wrote.append((label, df.count())) or kept(df, label))
+    base, wrote, kept = t._version.base, [], tables.staged_counted
+
+    def counted(df, label):
+        df, n = kept(df, label)
+        wrote.append(n)
+        return df, n
+
+    monkeypatch.setattr(tables, "staged_counted", counted)
     t.add({"id": 5000, "k": 1})
     t.update(A("id") == 7, {"k": 99})
     t.delete(A("id") == 8)
-    assert t._version.base is base and max(n for _, n in wrote) <= 3
+    assert t._version.base is base and max(wrote) <= 3 and len(wrote) > 3
     assert t.df().count() == 1000 and {(r.id, r.k) for r in t._version.added.collect()} == {(5000, 1), (7, 99)} and {r.id for r in t._version.removed.collect()} == {7, 8}
     t.add({"id": 8, "k": 8})  # as it was
     assert {r.id for r in t._version.removed.collect()} == {7}
@@ -194,3 +200,11 @@ def test_no_local_folder_off_local_masters(spark, monkeypatch):
 def test_between_of_equal_tables(spark):
     df = spark.range(5).toDF("n")
     assert between(df, df).is_empty()
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_rows_are_counted_as_they_are_written(spark, n):
+    df = spark.range(10).where(F.col("id") < n).select("id", F.lit("x").alias("a`b.c"))
+    for some in (df, df.join(df.withColumnRenamed("a`b.c", "d"), "id"), df.limit(n), df.distinct()):
+        out, count = scratch.staged_counted(some, "counted")
+        assert count == n == out.count() and out.columns == some.columns
