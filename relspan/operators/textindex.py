@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from relspan.plans import relation as R
 from relspan.plans.delta import Change
 from relspan.plans.relation import Relation, quoted
-from relspan.sources.scratch import discard, staged
+from relspan.sources.scratch import discard, staged, stored_bytes
 from relspan.sources.shipping import ship
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
 BEGIN, END, ELLIPSIS = "\x02", "\x03", "\x04"
 WINDOW = 15
+#: Bytes of postings from which they are dealt to files by token.
+CLUSTERED = 64 << 20
 #: Layers of changes after which the index is written anew.
 LAYERS = 16
 
@@ -176,8 +178,11 @@ class TextIndex:
 
     @staticmethod
     def _stored(postings: DataFrame) -> DataFrame:
-        """In ranges of token. The ranges come from what is written first, so that texts are tokenized once."""
+        """In ranges of token. The ranges come from what is written first, so that texts are tokenized once; what takes less than CLUSTERED bytes
+        stays as it is, as a scan of it is as quick."""
         flat = staged(postings, "postings-flat")
+        if stored_bytes(flat) < CLUSTERED:
+            return flat
         parts = max(1, flat.rdd.getNumPartitions())
         ranged = flat.repartitionByRange(parts, "token", "id") if parts > 1 else flat
         out = staged(ranged.sortWithinPartitions("token", "id", "field", "pos"), "postings")

@@ -57,6 +57,15 @@ def staged_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get.get("n") or 0)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files of a table that staged() has returned."""
+    jvm, total = df.sparkSession.sparkContext._jvm, 0
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        total += where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return total
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the tables that staged() has returned and that nothing will read again."""
     for df in frames:

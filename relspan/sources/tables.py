@@ -170,6 +170,7 @@ class Database:
         self._done: list[tuple[str, Delta, Delta]] = []
         self._undone: list[tuple[str, Delta, Delta]] = []
         self._watchers: list[Callable[[str], None]] = []
+        self._committed: Delta = {}  # what the last commit has changed
         self._state = "idle"
         self.save_to: str | None = None  # a folder to save to after each commit
         self.skipped = 0  # observers that a proof of irrelevance has spared
@@ -294,6 +295,7 @@ class Database:
         self.version += bool(changes)
         if changes:
             self._notify(changes, touched, tags)
+            self._committed = {t.name: Change(c.added, c.removed) for t, c in changes.items()}  # after what observers may have committed
             if self.save_to is not None:
                 self.save(self.save_to)
 
@@ -411,10 +413,11 @@ class Database:
                 self._do(t, None if plus is None else R.minus(plus, R.meet(t.current(), plus)), less, None)
 
     def undoable(self, name: str, action: Callable[[Database], object]) -> None:
-        before = self.snapshot()
+        before = self.snapshot() if self._working() or getattr(self._own, "work", None) is not None else None
+        self._committed = {}
         with self.transaction():
             action(self)
-        forth = self.delta(before, self.snapshot())
+        forth = self._committed if before is None else self.delta(before, self.snapshot())  # within another transaction nothing is committed yet
         self._done.append((name, forth, self.reversed(forth)))
         self._undone.clear()
 

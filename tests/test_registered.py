@@ -139,6 +139,7 @@ def test_what_an_update_leaves_true():
 def test_index_layers(spark, monkeypatch):
     """An index refreshed again and again equals a new one; only the change is written, until layers are many."""
     monkeypatch.setattr(X, "LAYERS", 3)
+    monkeypatch.setattr(X, "CLUSTERED", 0)
     text = {1: "old words here", 2: "other old things", 3: "words again and old words"}
     frame = lambda d: spark.createDataFrame(sorted(d.items()), "id long, text string")
     index = X.TextIndex(Leaf(frame(text), keys=[["id"]]), "id", ["text"])
@@ -158,7 +159,8 @@ def test_index_layers(spark, monkeypatch):
     assert {r.id for r in index.matching(X.parse("old")).collect()} == {i for i, t in text.items() if "old" in t}
 
 
-def test_postings_are_pruned_by_token(spark):
+def test_postings_are_pruned_by_token(spark, monkeypatch):
+    monkeypatch.setattr(X, "CLUSTERED", 0)
     index = X.TextIndex(Leaf(spark.createDataFrame([(k, f"word{k} common") for k in range(50)], "id long, text string"), keys=[["id"]]), "id", ["text"])
     plan = index.hits(X.Phrase(("common",)))._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(token,common)" in plan
