@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from relspan.plans import relation as R
-from relspan.plans.relation import Relation, meet_or_none, minus_or_none, union_all
+from relspan.plans.relation import Relation, disjoint_or_none, meet_or_none, minus_or_none, union_all
 
 
 @dataclass
@@ -62,6 +62,7 @@ class Derivative:
         self.olds: dict[int, Relation] = {}
         self.news: dict[int, Relation] = {}
         self.memo: dict[int, tuple[Relation | None, Relation | None]] = {}
+        self.made: list[Relation] = []  # kept, as all else goes by id()
         self.relation = relation
 
     def change(self) -> Change:
@@ -72,7 +73,7 @@ class Derivative:
     def _state(self, r: Relation, kept: dict[int, Relation], which: str) -> Relation:
         if id(r) not in kept:
             if id(r) in self.changes:
-                kept[id(r)] = R.Leaf(getattr(self.changes[id(r)], which), clean=True)
+                kept[id(r)] = R.Leaf(getattr(self.changes[id(r)], which), keys=r.keys, clean=True)
             elif not r.children:
                 kept[id(r)] = r
             else:
@@ -96,13 +97,14 @@ class Derivative:
     def _of(self, r: Relation) -> tuple[Relation | None, Relation | None]:
         if id(r) in self.changes:
             c = self.changes[id(r)]
-            return tuple(None if x is None else R.Leaf(x, clean=True) for x in (c.added, c.removed))
+            return tuple(None if x is None else R.Leaf(x, keys=r.keys, clean=True) for x in (c.added, c.removed))
         if not self._touched(r):
             return None, None
         if isinstance(r, R.Cached):
             return self.of(r.children[0])
         if isinstance(r, R._Composite):
-            return self.of(r.expanded())
+            self.made.append(r.expanded())
+            return self.of(self.made[-1])
         if len(r.children) == 2:
             (a, b), ((a_add, a_rem), (b_add, b_rem)) = r.children, map(self.of, r.children)
             match r:
@@ -113,15 +115,23 @@ class Derivative:
                 case R.Difference():
                     return union_all([minus_or_none(a_add, self.new(b)), meet_or_none(b_rem, self.new(a))]), union_all([minus_or_none(a_rem, self.old(b)), meet_or_none(b_add, self.old(a))])
                 case R.Equijoin():
+                    # a side's rows that stay meet the other side's change, so no pair is made twice
                     join = lambda x, y: None if x is None or y is None else R.Equijoin(x, y, r.matching)
-                    return union_all([join(a_add, self.new(b)), join(self.new(a), b_add)]), union_all([join(a_rem, self.old(b)), join(self.old(a), b_rem)])
+                    return disjoint_or_none([join(a_add, self.new(b)), join(minus_or_none(self.new(a), a_add), b_add)], r.keys), disjoint_or_none([join(a_rem, self.old(b)), join(minus_or_none(self.old(a), a_rem), b_rem)], r.keys)
         elif isinstance(r, R.Select | R.Rename | R.NullExtended):
             return tuple(None if x is None else r.rebuilt((x,)) for x in self.of(r.children[0]))
         elif isinstance(r, R.Project):
-            add, rem = self.of(r.children[0])
-            lift = lambda x: None if x is None else R.Project(x, r.names, r.lossless)
+            names, of = set(r.names), r.children[0]
+            key_of = lambda x: next((k for k in sorted(x.keys, key=sorted) if k <= names), None)
+            if not r.lossless and isinstance(of, R.Equijoin) and of.matching and None not in (keys := [key_of(x) for x in of.children]):
+                return self._pairs(r, of, *keys)
+            add, rem = self.of(of)
+            keyed = key_of(of) is not None
+            lift = lambda x: None if x is None else R.Project(x, r.names, r.lossless or keyed)
             if r.lossless:
                 return lift(add), lift(rem)
+            if keyed:  # a row that was there with other values of what is dropped has the same key, so it was removed
+                return minus_or_none(lift(add), lift(rem)), minus_or_none(lift(rem), lift(add))
             return minus_or_none(lift(add), self.old(r)), minus_or_none(lift(rem), self.new(r))
         elif isinstance(r, R.Update):
             add, rem = self.of(r.children[0])
@@ -130,6 +140,33 @@ class Derivative:
         # aggregates and conditions: one row, or all or nothing
         return R.Difference(self.new(r), self.old(r)), R.Difference(self.old(r), self.new(r))
 
+    def _pairs(self, r: R.Project, j: R.Equijoin, a_key: frozenset[str], b_key: frozenset[str]) -> tuple[Relation | None, Relation | None]:
+        """The change of a projection of a join that keeps a key of each side. The sides are projected first, so pairs aren't compared with
+        pairs: the same pair was there before only if both its rows have changed what they are matched by."""
+        a, b = (R.Project(c, (set(r.names) | set(m)) & set(c.scheme)) for c, m in zip(j.children, (j.matching, j.matching.values())))
+        self.made += [a, b]
+        (a_add, a_rem), (b_add, b_rem) = self.of(a), self.of(b)
+        pairs = lambda x, y: None if x is None or y is None else R.Project(R.Equijoin(x, y, j.matching), r.names, lossless=True)
+
+        def again(x: Relation | None, y: Relation | None, key: frozenset[str]) -> Relation | None:
+            """Rows of x whose key y has too."""
+            if x is None or y is None:
+                return None
+            other = {k: f"__other {k}" for k in key}
+            return R.Project(R.Equijoin(x, R.Rename(R.Project(y, key), other), other), x.scheme, lossless=True)
+
+        def side(a_own: Relation | None, a_back: Relation | None, b_own: Relation | None, b_back: Relation | None, a_all: Relation, b_all: Relation) -> Relation | None:
+            out = [pairs(minus_or_none(a_all, a_own), b_own)]
+            x, y = again(a_own, a_back, a_key), again(b_own, b_back, b_key)
+            if x is None or y is None:
+                out.append(pairs(a_own, b_all))
+            else:
+                was = pairs(again(a_back, a_own, a_key), again(b_back, b_own, b_key))
+                out += [pairs(R.Difference(a_own, x), b_all), pairs(x, R.Difference(b_all, y)), minus_or_none(pairs(x, y), was)]
+            return disjoint_or_none(out, r.keys)
+
+        return side(a_add, a_rem, b_add, b_rem, self.new(a), self.new(b)), side(a_rem, a_add, b_rem, b_add, self.old(a), self.old(b))
+
 
 def derivative(relation: Relation, changes: dict[Relation, LeafChange]) -> Change:
     return Derivative(relation, {id(k): v for k, v in changes.items()}).change()

@@ -26,6 +26,8 @@ from relspan.sources.shipping import ship
 _POOL = ThreadPoolExecutor(4, "relspan")
 #: While it is a list: (node, seconds) of each node compiled, children before parents. See ``watched``.
 ACTIVITY: list[tuple[str, float]] | None = None
+#: Of a join without keys: bytes times bytes from which its rows are dealt evenly, rows of a side that goes to all tasks, bytes that stand for no estimate.
+PRODUCT, SMALL, UNKNOWN = 1 << 34, 500_000, 1 << 60
 Env = dict[int, DataFrame]  # a leaf's id() to the rows it stands for
 
 
@@ -55,6 +57,24 @@ def meet(a: DataFrame, b: DataFrame) -> DataFrame:
     return null_safe(a, b, [(c, c) for c in a.columns], "left_semi")
 
 
+def estimated(df: DataFrame) -> int:
+    """Bytes as Spark's optimizer estimates them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sides of a join that may make far more rows than they have, as neither is known to have a key among what is matched. Left to their own
+    bytes, few tasks would make them all: where the sides aren't small, one of at most SMALL rows goes to all tasks and the other is dealt evenly."""
+    a, b = estimated(left), estimated(right)
+    if a * b < PRODUCT or max(a, b) >= UNKNOWN:
+        return left, right
+    for small in (left, right) if a < b else (right, left):
+        if small.count() <= SMALL:
+            parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            return (F.broadcast(left), right.repartition(parts)) if small is left else (left.repartition(parts), F.broadcast(right))
+    return left, right
+
+
 def natural(text: str) -> list[tuple[int, int, str]]:
     """A sort key by which 9 comes before 10."""
     return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.findall(r"[0-9]+|[^0-9]+", text)]
@@ -399,6 +419,20 @@ class Union(_Pairwise):
         return c(self.children[0]).unionByName(c(self.children[1])).distinct()
 
 
+class Disjoint(Union):
+    """Union of sets that share no row; ``keys`` are those of a set that holds both."""
+
+    def __init__(self, left: Relation, right: Relation, keys: Iterable[frozenset[str]] = ()) -> None:
+        super().__init__(left, right)
+        self.keys = frozenset(keys)
+
+    def build(self, c: _Compiling) -> DataFrame:
+        return c(self.children[0]).unionByName(c(self.children[1]))
+
+    def rebuilt(self, children: tuple[Relation, ...]) -> Relation:
+        return Disjoint(*children, self.keys)
+
+
 class Intersection(_Pairwise):
     def __init__(self, left: Relation, right: Relation) -> None:
         super().__init__(left, right)
@@ -521,6 +555,8 @@ class Equijoin(Relation):
             for a, b in self.matching.items():
                 if (a, b) not in pairs:
                     left, right = left.where(quoted(a).isNull()), right.where(quoted(b).isNull())
+        if not any(k <= set(m) for x, m in zip(self.children, (self.matching, self.matching.values())) for k in x.keys):
+            left, right = dealt(left, right)
         return null_safe(left, right, pairs, "inner")
 
     def _right(self, c: _Compiling) -> DataFrame:
@@ -781,6 +817,12 @@ def union_all(relations: Iterable[Relation | None]) -> Relation | None:
     return reduce(Union, some) if some else None
 
 
+def disjoint_or_none(relations: Iterable[Relation | None], keys: Iterable[frozenset[str]]) -> Relation | None:
+    """Union of those that aren't None and share no row, all of them within a relation with these keys."""
+    some = [r for r in relations if r is not None]
+    return reduce(lambda a, b: Disjoint(a, b, keys), some) if some else None
+
+
 def intersection_all(relations: Iterable[Relation]) -> Relation:
     """Of one relation itself, of more their intersection."""
     return reduce(Intersection, relations)
