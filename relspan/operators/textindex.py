@@ -1,7 +1,8 @@
 """Full-text search as a relation: a positional index, a query language, rank and snippets.
 
-The index is a stored table of postings (id, field, pos, token), dealt to files in ranges of token and sorted by it, so the files'
-statistics prune a token's scan. A change adds a layer: the postings of its rows, and the ids whose older postings no longer count. A query
+The index is a stored table of blocks (token, field, ids, places): the postings of one token in many documents, so that a token is written,
+shuffled and sorted once a block, not once a posting. Blocks are dealt to files in ranges of token and sorted by it, so the files'
+statistics prune a token's scan; read as postings (id, field, pos, token) they are taken apart after the scan. A change adds a layer: the postings of its rows, and the ids whose older postings no longer count. A query
 compiles to semi-, anti- and inner joins on it: words side by side must all occur, ``OR``, ``NOT``, ``"a phrase"``, ``prefix*`` and
 ``NEAR/n`` combine. A match may lie in any field.
 """
@@ -12,14 +13,18 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relspan.plans import relation as R
 from relspan.plans.delta import Change
 from relspan.plans.relation import Relation, quoted
-from relspan.sources.scratch import discard, staged, stored_bytes
+from relspan.sources.scratch import discard, staged, staged_counted, stored_bytes
 from relspan.sources.shipping import ship
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
@@ -27,6 +32,12 @@ BEGIN, END, ELLIPSIS = "\x02", "\x03", "\x04"
 WINDOW = 15
 #: Bytes of postings from which they are dealt to files by token.
 CLUSTERED = 64 << 20
+#: Bytes of postings in one of these files.
+FILE = 32 << 20
+#: Postings in a block at most, and tokens that a task groups to blocks at once.
+BLOCK, GROUPED = 4096, 2_000_000
+#: Bytes of an Arrow batch of texts or their tokens; one longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 #: Layers of changes after which the index is written anew.
 LAYERS = 16
 
@@ -148,6 +159,54 @@ def phrases_of(tree: object) -> list[Phrase]:
     return [*phrases_of(tree.left), *phrases_of(tree.right)] if tree is not None else []
 
 
+def _python_ready(spark: SparkSession) -> None:
+    """Before Python on the executors: send them this package, and bound Arrow batches by bytes, as texts are long."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (id, field, w), w the tokens in order: (token, field, ids, places), sorted within about GROUPED tokens."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += pc.sum(pc.list_value_length(b.column("w"))).as_py() or 0
+        if n >= GROUPED:
+            yield from _grouped(held)
+            held, n = [], 0
+    if n:
+        yield from _grouped(held)
+
+
+def _grouped(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    many = np.concatenate([pc.fill_null(pc.list_value_length(b.column("w")), 0).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
+    words = pa.concat_arrays([b.column("w").flatten() for b in held]).dictionary_encode()
+    fields = pa.concat_arrays([b.column("field") for b in held]).dictionary_encode()
+    ids = pa.concat_arrays([b.column("id") for b in held])
+    doc = np.repeat(np.arange(len(many)), many)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    wide = len(fields.dictionary)
+    key = rank[words.indices.to_numpy()].astype(np.int64) * wide + fields.indices.to_numpy()[doc]
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    first = np.append(True, key[1:] != key[:-1])
+    within = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    cuts = np.flatnonzero(within % BLOCK == 0)
+    for lo in range(0, len(cuts), 65536):  # a batch out
+        some = cuts[lo : lo + 65536]
+        end = cuts[lo + 65536] if lo + 65536 < len(cuts) else len(key)
+        own, offsets = by[some[0] : end], pa.array(np.append(some, end) - some[0], pa.int32())
+        yield pa.RecordBatch.from_arrays([
+            words.dictionary.take(pa.array(order[key[some] // wide])), fields.dictionary.take(pa.array(key[some] % wide)),
+            pa.ListArray.from_arrays(offsets, ids.take(pa.array(doc[own]))), pa.ListArray.from_arrays(offsets, pa.array(pos[own], pa.int32())),
+        ], ["token", "field", "ids", "places"])
+
+
 @dataclass
 class _Layer:
     """Texts and postings of rows, and the ids that older layers no longer speak for."""
@@ -172,22 +231,26 @@ class TextIndex:
         return rows.select(quoted(self.ident).alias("id"), *(clean(c).alias(f) for f, c in self.fields.items()))
 
     def _post(self, texts: DataFrame) -> DataFrame:
+        """Blocks of postings."""
+        _python_ready(texts.sparkSession)
         each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), quoted(f).alias("text")) for f in self.fields))).alias("x")
         flat = texts.select("id", each).select("id", "x.field", F.regexp_extract_all(F.lower("x.text"), F.lit(TOKEN), F.lit(0)).alias("w"))
-        return flat.select("id", "field", F.posexplode("w").alias("pos", "token"))
+        kinds = {"token": T.StringType(), "field": T.StringType(), "ids": T.ArrayType(texts.schema["id"].dataType), "places": T.ArrayType(T.IntegerType())}
+        return flat.mapInArrow(blocks, T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
 
     @staticmethod
-    def _stored(postings: DataFrame) -> DataFrame:
+    def _stored(found: DataFrame) -> DataFrame:
         """In ranges of token. The ranges come from what is written first, so that texts are tokenized once; what takes less than CLUSTERED bytes
         stays as it is, as a scan of it is as quick."""
-        flat = staged(postings, "postings-flat")
-        if stored_bytes(flat) < CLUSTERED:
-            return flat
-        parts = max(1, flat.rdd.getNumPartitions())
-        ranged = flat.repartitionByRange(parts, "token", "id") if parts > 1 else flat
-        out = staged(ranged.sortWithinPartitions("token", "id", "field", "pos"), "postings")
-        discard(flat.sparkSession, flat)
-        return out
+        flat = staged(found, "postings-flat")
+        out, n_bytes = flat, stored_bytes(flat)
+        if n_bytes >= CLUSTERED:
+            parts = max(1, flat.rdd.getNumPartitions(), -(-n_bytes // FILE))
+            first = F.element_at("ids", 1)
+            ranged = flat.repartitionByRange(parts, "token", first) if parts > 1 else flat
+            out = staged(ranged.sortWithinPartitions("token", first), "postings")
+            discard(flat.sparkSession, flat)
+        return out.select("token", "field", F.inline(F.arrays_zip("ids", "places"))).select(F.col("ids").alias("id"), "field", F.col("places").alias("pos"), "token")
 
     def _composed(self, which: str) -> DataFrame:
         out = getattr(self.layers[0], which)
@@ -215,7 +278,8 @@ class TextIndex:
         fresh = staged(self._texts(added if added is not None else removed.limit(0)), "texts")
         self.layers.append(_Layer(fresh, self._stored(self._post(fresh)), staged(ids.distinct(), "gone")))
         if len(self.layers) > LAYERS:
-            self.layers = [_Layer(staged(self.texts, "texts"), self._stored(self.postings))]
+            texts = staged(self.texts, "texts")
+            self.layers = [_Layer(texts, self._stored(self._post(texts)))]
         for s, old in zip(self.searches, before):
             if old is not None:
                 s.changed(old)
@@ -297,15 +361,17 @@ class Search:
         return lambda: self.observers.remove(call)
 
     def changed(self, old: DataFrame) -> None:
-        now = self.df()
+        old, now = staged(old, "before"), staged(self.df(), "after")  # each is read twice
         change = Change(staged(R.minus(now, old), "found"), staged(R.minus(old, now), "lost"))
+        discard(now.sparkSession, old, now)
         if not change.is_empty():
             for call in list(self.observers):
                 call(change)
 
     def df(self) -> DataFrame:
         tree = parse(self.query)
-        ranked = self.index.rank(tree).join(self.index.texts, "id")
+        ranks, n = staged_counted(self.index.rank(tree), "ranks")  # counted, so that few need no shuffle of the texts
+        ranked = self.index.texts.join(F.broadcast(ranks) if n <= R.SMALL else ranks, "id").select("id", "rank", *map(quoted, self.index.fields))
         wanted = [(p.tokens, p.prefix) for p in phrases_of(tree)]
         fields = list(self.index.fields)
 
@@ -315,7 +381,7 @@ class Search:
                     pdf[f] = [snippet(x, wanted) for x in pdf[f]]
                 yield pdf
 
-        ship(ranked.sparkSession)
+        _python_ready(ranked.sparkSession)
         out = ranked.mapInPandas(snippets, ranked.schema)
         return out.select(F.col("id").alias(self.index.ident), "rank", *(quoted(f).alias(f"{f}_snippet") for f in fields))
 

@@ -41,3 +41,31 @@ def test_refresh(spark):
     assert {x.id for x in live.df().collect()} == {3}
     live.query = "new"
     assert live.relation().project("id").one_value() == 1
+
+
+def test_blocks_hold_every_posting(monkeypatch):
+    """A row a token and block, not a posting; long lists are cut, groups end at batches; nulls and rows without words do no harm."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, k, k + 0]), rng.choice("xy"), [rng.choice("aaaab") + rng.choice(["", "é"]) for _ in range(rng.randrange(30))] if k % 7 else None) for k in range(60)]
+    want = sorted(((i, f, p, t) for i, f, w in rows for p, t in enumerate(w or ())), key=repr)
+    for block, grouped in ((4096, 10**6), (5, 10**6), (5, 100)):
+        monkeypatch.setattr(X, "BLOCK", block)
+        monkeypatch.setattr(X, "GROUPED", grouped)
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + 9]], t) for k, t in enumerate((pa.int64(), pa.string(), pa.list_(pa.string())))], ["id", "field", "w"]) for at in range(0, 60, 9)]
+        got = [r for b in X.blocks(batches) for r in b.to_pylist()]
+        assert all(0 < len(r["ids"]) == len(r["places"]) <= block for r in got)
+        assert sorted(((i, r["field"], p, r["token"]) for r in got for i, p in zip(r["ids"], r["places"])), key=repr) == want
+        assert block < 4096 or len(got) == len({(f, t) for _, f, _, t in want})
+    assert list(X.blocks([])) == []
+
+
+def test_few_found_rows_need_no_shuffle_of_texts(spark, index):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "123456789")
+    found = index.search("princess").df()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == X.BATCH_BYTES  # a worker holds few texts at a time
