@@ -227,13 +227,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             s = [x.astype(np.int64).tolist() for x in own]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.list_(pa.int64())), pa.array(list(map(sketch, own)), pa.binary())], ["doc_id", "sigs", "sketch"])
 
-    own = staged(docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, sigs array<bigint>, sketch binary").withColumn("rep", F.sha2(F.array_join("sigs", ","), 256)), "sets")
-    reps = staged(own.groupBy("rep").agg(F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch")).withColumn("n", F.size("sigs")).where("n > 0"), "reps")
+    own = staged(docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, sigs array<bigint>, sketch binary").withColumn("same", F.unhex(F.sha2(F.array_join("sigs", ","), 256))), "sets")
+    # numbered once they are stored, as numbers are what most of the shuffles below carry
+    reps = own.groupBy("same").agg(F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch")).withColumn("n", F.size("sigs")).where("n > 0")
+    reps = staged(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     flat = reps.select("rep", "n", F.explode("sigs").alias("sig"))
     rare = Window.partitionBy("rep").orderBy("df", "sig")
     counts = staged(flat.groupBy("sig").agg(F.count("*").alias("df")), "counts")  # stored, so that Spark can split the rows of a common signature
     ranked = flat.join(counts, "sig").withColumn("r", F.row_number().over(rare))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df > 1")  # nothing meets in a bucket of one
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(threshold)).cast("int")
     spots = staged(prefix.select("rep", "n", "sig", F.explode(F.array(band, band + 1)).alias("band")), "posted")
     fits = F.least("n", "m") >= F.greatest("n", "m") * threshold
@@ -247,13 +249,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     label, links = reps.select("rep", F.col("rep").alias("label")), None
     for turn in range(CENTRES):
-        members = _open(spots, label)
+        members = spots = _open(spots.select("rep", "n", "sig", "band"), label)  # a bucket of one class stays so
         centre = members.groupBy("sig", "band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("at"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("label").alias("its"))).alias("c"))
         centre = staged(centre.select("sig", "band", "c.*"), "centres")
         found = verified(members.join(centre, ["sig", "band"]).where("label <> its").where(fits))
         links = found if links is None else links.unionByName(found)
         label = staged(reps.select("rep").join(connected_components(links).toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labels")
-    members = _open(spots, label)
+    members = _open(spots.select("rep", "n", "sig", "band"), label)
     heavy = staged(members.groupBy("sig", "band").count().where(F.col("count") > TILE).select("sig", "band", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "heavy")
     rows = members.join(reps.select("rep", "sketch"), "rep").withColumn("label", F.xxhash64("label"))
     if heavy.isEmpty():
@@ -264,8 +266,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         rows = rows.withColumns({"own": F.col("tile") == F.pmod(F.xxhash64("rep"), tiles), "key": F.xxhash64("sig", "band", "tile")})
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = rows.select("key", "rep", "n", "label", "own", "sketch").repartition(parts, "key").sortWithinPartitions("key")
-    found = verified(dealt.mapInArrow(_unlike_pairs(threshold), "rep string, other string"))
+    found = verified(dealt.mapInArrow(_unlike_pairs(threshold), "rep long, other long"))
     comps = connected_components(links.unionByName(found)).toDF("rep", "comp")
-    named = own.select("doc_id", "rep").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    comps = reps.select("same", "rep").join(comps, "rep", "left").select("same", F.coalesce("comp", "rep").alias("comp"))
+    named = own.select("doc_id", "same").join(comps, "same", "left").withColumn("comp", F.coalesce("comp", F.lit(-1)))  # without signatures: one class
     least = staged(named.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "classes")
     return named.join(small_side(least), "comp").select("doc_id", "class_id")

@@ -922,3 +922,21 @@ def test_queries_match_their_sql(spark):
         names = list(want.columns)
         got = Counter(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in queries()[name](spark, SF).select(*names).collect())
         assert got == Counter(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in want.fetchall()), name
+
+
+def test_spotsigs_posts_only_shared_signatures(spark, monkeypatch):
+    """Buckets hold numbers instead of digests, and no signature of a single set."""
+    kept = {}
+
+    def recorded(df, label, stage=spotsigs.staged):
+        kept[label] = stage(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(spotsigs, "staged", recorded)
+    words = lambda k: " ".join(f"the w{k}x{i} v{k}x{i}" for i in range(20))
+    docs = [(k, words(k)) for k in range(8)] + [(20, words(3) + " the last one"), (21, words(5)), (30, None), (31, "")]
+    got = {tuple(r) for r in spotsigs.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(k, k) for k in range(8)} | {(20, 3), (21, 5), (30, 30), (31, 30)}
+    posted = kept["posted"]
+    assert dict(posted.dtypes)["rep"] == "bigint"
+    assert posted.groupBy("sig").agg({"rep": "count"}).count() > 0 and posted.select("rep").distinct().count() == 2
