@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from relspan.llm import decontaminate, mixing, quality, simhash, token_records
 from relspan.llm.common import null_safe_join, packed, table, unpacked, unused
 from relspan.llm.queries import END_ID, tokenizer_json
-from relspan.sources.scratch import new_folder
+from relspan.sources.scratch import NO_CRC, new_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,6 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         path = new_folder(spark, f"stage-{k}")
-        out.write.parquet(path)
+        out.write.options(**NO_CRC).parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
+#: A local file gets no .crc file beside it: Hadoop starts a process (chmod) for each file that it makes, which counts with as much memory as the
+#: executor's JVM until it has begun. Other file systems than the local one don't read these options.
+NO_CRC = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +48,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read of the files, not a re-run.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**NO_CRC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +56,7 @@ def staged_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """As staged(), with the number of rows, which is counted while they are written."""
     seen, names = Observation(), df.columns
     path = new_folder(df.sparkSession, label)
-    df.observe(seen, F.count(F.lit(1)).alias("n")).select(*(f"`{c.replace('`', '``')}`" for c in names)).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).select(*(f"`{c.replace('`', '``')}`" for c in names)).write.options(**NO_CRC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get.get("n") or 0)
 
 
