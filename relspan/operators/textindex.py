@@ -1,7 +1,7 @@
 """Full-text search as a relation: a positional index, a query language, rank and snippets.
 
 The index is a stored table of blocks (token, field, ids, places): the postings of one token in many documents, so that a token is written,
-shuffled and sorted once a block, not once a posting. Blocks are dealt to files in ranges of token and sorted by it, so the files'
+shuffled and sorted once a block, not once a posting. Blocks are dealt to files in ranges of token of like numbers of bytes and sorted by it, so the files'
 statistics prune a token's scan; read as postings (id, field, pos, token) they are taken apart after the scan. A change adds a layer: the postings of its rows, and the ids whose older postings no longer count. A query
 compiles to semi-, anti- and inner joins on it: words side by side must all occur, ``OR``, ``NOT``, ``"a phrase"``, ``prefix*`` and
 ``NEAR/n`` combine. A match may lie in any field.
@@ -34,6 +34,8 @@ WINDOW = 15
 CLUSTERED = 64 << 20
 #: Bytes of postings in one of these files.
 FILE = 32 << 20
+#: Blocks that are looked at for each of these files, to find ranges of token with even numbers of bytes.
+LOOKED_AT = 64
 #: Postings in a block at most, and tokens that a task groups to blocks at once.
 BLOCK, GROUPED = 4096, 2_000_000
 #: Bytes of an Arrow batch of texts or their tokens; one longer text is a batch of its own.
@@ -207,6 +209,31 @@ def _grouped(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["token", "field", "ids", "places"])
 
 
+def ends(flat: DataFrame, parts: int) -> list[Column]:
+    """Keys (token, first id) at which blocks are cut into at most ``parts`` ranges of like numbers of bytes. Blocks of frequent tokens are long and lie
+    together, so ranges of like numbers of blocks would differ by far. About LOOKED_AT blocks a range are looked at, each the likelier the longer it is."""
+    size = F.col("n") * 12 + 96  # of a shuffled row, about
+    rate = parts * LOOKED_AT / max(1, flat.agg(F.sum(size)).first()[0] or 0)
+    key = F.struct("token", "first")
+    seen = [r.key for r in flat.where(F.rand(0) < size * rate).select(key.alias("key")).sort("key").collect()]
+    kinds = [flat.schema[c].dataType for c in ("token", "first")]
+    cuts = dict.fromkeys(seen[len(seen) * k // parts] for k in range(1, parts)) if seen else ()
+    return [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, kinds, ("token", "first")))) for cut in cuts]
+
+
+def _part(cuts: list[Column]) -> Column:
+    """The number of cuts that aren't above a block's key, by halving."""
+    key = F.struct("token", "first")
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < cuts[mid], among(lo, mid)).otherwise(among(mid + 1, hi))
+
+    return among(0, len(cuts))
+
+
 @dataclass
 class _Layer:
     """Texts and postings of rows, and the ids that older layers no longer speak for."""
@@ -242,13 +269,12 @@ class TextIndex:
     def _stored(found: DataFrame) -> DataFrame:
         """In ranges of token. The ranges come from what is written first, so that texts are tokenized once; what takes less than CLUSTERED bytes
         stays as it is, as a scan of it is as quick."""
-        flat = staged(found, "postings-flat")
+        flat = staged(found.withColumns({"first": F.element_at("ids", 1), "n": F.size("ids")}), "postings-flat")
         out, n_bytes = flat, stored_bytes(flat)
         if n_bytes >= CLUSTERED:
             parts = max(1, flat.rdd.getNumPartitions(), -(-n_bytes // FILE))
-            first = F.element_at("ids", 1)
-            ranged = flat.repartitionByRange(parts, "token", first) if parts > 1 else flat
-            out = staged(ranged.sortWithinPartitions("token", first), "postings")
+            ranged = flat.repartitionById(parts, _part(ends(flat, parts))) if parts > 1 else flat
+            out = staged(ranged.sortWithinPartitions("token", "first").drop("first", "n"), "postings")
             discard(flat.sparkSession, flat)
         return out.select("token", "field", F.inline(F.arrays_zip("ids", "places"))).select(F.col("ids").alias("id"), "field", F.col("places").alias("pos"), "token")
 

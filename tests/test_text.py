@@ -69,3 +69,25 @@ def test_few_found_rows_need_no_shuffle_of_texts(spark, index):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == X.BATCH_BYTES  # a worker holds few texts at a time
+
+
+def test_ranges_are_even_by_bytes(spark, monkeypatch):
+    """Long blocks of frequent tokens lie together: files that hold like numbers of blocks differ by far. Every block stays, also of null ids, and tokens stay in order."""
+    from pyspark.sql import functions as F
+
+    flat = spark.range(0, 6000, 1, 3).select(
+        F.when(F.col("id") % 2 == 0, F.format_string("a%04d", "id")).otherwise(F.when(F.col("id") % 3 == 0, "the").otherwise(F.format_string("z%04d", "id"))).alias("token"), F.lit("text").alias("field"),
+        F.when(F.col("id") % 3 == 0, F.sequence(F.when(F.col("id") % 9 > 0, F.col("id")), F.col("id") + 300)).alias("ids"),
+    )
+    flat = flat.withColumn("ids", F.coalesce("ids", F.array(F.lit(None).cast("long")))).withColumn("places", F.transform("ids", lambda x: F.lit(1)))
+    monkeypatch.setattr(X, "CLUSTERED", 0)
+    monkeypatch.setattr(X, "FILE", 2000)
+    rows = lambda df: sorted(((r.token, r.id) for r in df.collect()), key=repr)
+    made = []
+    monkeypatch.setattr(X, "staged", lambda df, label, stage=X.staged: made.append(stage(df, label)) or made[-1])
+    got = X.TextIndex._stored(flat)
+    stored = made[-1].withColumn("file", F.input_file_name())
+    assert "first" not in stored.columns and rows(got) == rows(flat.select("token", F.explode("ids").alias("id")))
+    files = stored.groupBy("file").agg(F.sum(F.size("ids") * 12 + 96).alias("b"), F.min("token").alias("lo"), F.max("token").alias("hi")).sort("lo", "hi").collect()
+    assert len(files) > 8 and max(f.b for f in files) < 2.5 * sum(f.b for f in files) / len(files)
+    assert all(x.hi <= y.lo for x, y in zip(files, files[1:]))
