@@ -338,10 +338,12 @@ class TextIndex:
             case Near(a, b, n):
                 # bands as wide as two beginnings can lie apart: one band of the left side, three of the right
                 wide = n + max(len(a.tokens), len(b.tokens)) + 1
-                x = self.hits(a).withColumn("band", F.floor(F.col("pos") / wide))
-                y = self.hits(b).withColumnRenamed("pos", "other").withColumn("band", F.explode(F.array(*(F.floor(F.col("other") / wide) + k for k in (-1, 0, 1)))))
+                # both are dealt by key: the lists of frequent tokens lie in few files, and a task would go on with what one scan has made
+                key = ["id", "field", "band"]
+                x = self.hits(a).withColumn("band", F.floor(F.col("pos") / wide)).repartition(*key)
+                y = self.hits(b).withColumnRenamed("pos", "other").withColumn("band", F.explode(F.array(*(F.floor(F.col("other") / wide) + k for k in (-1, 0, 1))))).repartition(*key)
                 ends = F.when(F.col("other") > F.col("pos"), F.col("other") - F.col("pos") - len(a.tokens)).otherwise(F.col("pos") - F.col("other") - len(b.tokens))
-                return x.join(y, ["id", "field", "band"]).where(ends.between(0, n)).select("id").distinct()
+                return x.join(y, key).where(ends.between(0, n)).select("id").distinct()
         raise TypeError(tree)
 
     def rank(self, tree: object) -> DataFrame:

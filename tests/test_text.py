@@ -91,3 +91,9 @@ def test_ranges_are_even_by_bytes(spark, monkeypatch):
     files = stored.groupBy("file").agg(F.sum(F.size("ids") * 12 + 96).alias("b"), F.min("token").alias("lo"), F.max("token").alias("hi")).sort("lo", "hi").collect()
     assert len(files) > 8 and max(f.b for f in files) < 2.5 * sum(f.b for f in files) / len(files)
     assert all(x.hi <= y.lo for x, y in zip(files, files[1:]))
+
+
+def test_near_is_dealt_by_key(index):
+    """What the few files of a frequent token give is dealt to tasks before the join; results are in test_queries."""
+    plan = index.matching(X.parse("princess NEAR/2 pea"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2
