@@ -2,7 +2,8 @@
 
 The index is a stored table of blocks (token, field, ids, places): the postings of one token in many documents, so that a token is written,
 shuffled and sorted once a block, not once a posting. Blocks are dealt to files in ranges of token of like numbers of bytes and sorted by it, so the files'
-statistics prune a token's scan; read as postings (id, field, pos, token) they are taken apart after the scan. A change adds a layer: the postings of its rows, and the ids whose older postings no longer count. A query
+statistics prune a token's scan; read as postings (id, field, pos, token) they are taken apart after the scan. An index that few searches ask
+(``dealt=False``) keeps its blocks where their texts were read, in runs sorted by token: nothing of it is shuffled, and a scan passes over pages of other tokens. A change adds a layer: the postings of its rows, and the ids whose older postings no longer count. A query
 compiles to semi-, anti- and inner joins on it: words side by side must all occur, ``OR``, ``NOT``, ``"a phrase"``, ``prefix*`` and
 ``NEAR/n`` combine. A match may lie in any field.
 """
@@ -37,7 +38,7 @@ FILE = 32 << 20
 #: Blocks that are looked at for each of these files, to find ranges of token with even numbers of bytes.
 LOOKED_AT = 64
 #: Postings in a block at most, and tokens that a task groups to blocks at once.
-BLOCK, GROUPED = 4096, 2_000_000
+BLOCK, GROUPED = 4096, 4_000_000
 #: Bytes of an Arrow batch of texts or their tokens; one longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Layers of changes after which the index is written anew.
@@ -168,6 +169,65 @@ def _python_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_WORD = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+#: Of characters in two bytes, the second after 0xC2 and 0xC3: letters and numbers; capitals.
+_AFTER_C2 = np.isin(np.arange(256), [0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
+_AFTER_C3 = ~np.isin(np.arange(256), [0x97, 0xB7])
+_CAPITAL = _AFTER_C3 & (np.arange(256) <= 0x9E)
+
+
+def tokens_of(texts: pa.Array) -> pa.ListArray:
+    """The tokens of each text, in order and in lower case; null has none. Texts of Latin-1 and common punctuation (U+2000 to U+206F, the euro sign) are split by
+    array operations over their bytes, others one by one."""
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    _, offsets, raw = texts.buffers()
+    at = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4) if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw else np.zeros(0, np.uint8)
+    at = at - at[0]
+    low, inside = _LOWER[data], _WORD[data]
+    high = np.flatnonzero(data >= 0x80)
+    others = np.zeros(0, np.int64)
+    if len(high):
+        ahead = np.append(data, [0, 0])
+        first, second, third = ahead[high], ahead[high + 1], ahead[high + 2]
+        two = ((first == 0xC2) | (first == 0xC3)) & (second >> 6 == 2)
+        three = (first == 0xE2) & (((second == 0x80) & (third >> 6 == 2)) | ((second == 0x81) & (third >> 6 == 2) & (third <= 0xAF)) | ((second == 0x82) & (third == 0xAC)))
+        known = two | three
+        known[1:] |= two[:-1] | three[:-1]
+        known[2:] |= three[:-2]
+        torn = at[:-1][ahead[at[:-1]] >> 6 == 2]  # no text begins within a character
+        bad = np.concatenate([high[~known], torn, torn[torn > 0] - 1])
+        others = np.unique(np.searchsorted(at, bad, "right") - 1)
+        word = high[two & np.where(first == 0xC3, _AFTER_C3[second], _AFTER_C2[second])]
+        inside[word] = inside[word + 1] = True
+        low[high[two & (first == 0xC3) & _CAPITAL[second]] + 1] += 0x20
+        for k in others:
+            inside[at[k] : at[k + 1]] = False
+    cut = np.zeros(len(data) + 1, bool)  # a text ends where the next begins
+    cut[at] = True
+    begin, end = inside & cut[:-1], inside & cut[1:]
+    begin[1:] |= inside[1:] & ~inside[:-1]
+    end[:-1] |= inside[:-1] & ~inside[1:]
+    start = np.flatnonzero(begin)
+    ends = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(np.flatnonzero(end) + 1 - start, out=ends[1:])
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(low[inside]))
+    found = pa.ListArray.from_arrays(pa.array(np.searchsorted(start, at), pa.int32()), words)
+    if not len(others):
+        return found
+    own: list[list[str] | None] = [None] * len(texts)
+    for k in others:
+        own[k] = _tokens(data[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"))
+    return pc.coalesce(pa.array(own, found.type), found)
+
+
+def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (id, field, text): (id, field, w), w the tokens in order."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("field"), tokens_of(b.column("text"))], ["id", "field", "w"])
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (id, field, w), w the tokens in order: (token, field, ids, places), sorted within about GROUPED tokens."""
     held: list[pa.RecordBatch] = []
@@ -187,25 +247,30 @@ def _grouped(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = pa.concat_arrays([b.column("w").flatten() for b in held]).dictionary_encode()
     fields = pa.concat_arrays([b.column("field") for b in held]).dictionary_encode()
     ids = pa.concat_arrays([b.column("id") for b in held])
-    doc = np.repeat(np.arange(len(many)), many)
-    pos = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    doc = np.repeat(np.arange(len(many), dtype=np.int32), many)
+    pos = np.arange(len(doc), dtype=np.int32) - np.repeat((np.cumsum(many) - many).astype(np.int32), many)
     order = pc.sort_indices(words.dictionary).to_numpy()
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    wide = len(fields.dictionary)
-    key = rank[words.indices.to_numpy()].astype(np.int64) * wide + fields.indices.to_numpy()[doc]
-    by = np.argsort(key, kind="stable")
-    key = key[by]
-    first = np.append(True, key[1:] != key[:-1])
-    within = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-    cuts = np.flatnonzero(within % BLOCK == 0)
+    wide, shift = len(fields.dictionary), len(doc).bit_length()
+    key = rank[words.indices.to_numpy()].astype(np.int64)
+    key *= wide
+    key += fields.indices.to_numpy()[doc]
+    key <<= shift
+    key |= np.arange(len(key), dtype=np.int32)
+    key.sort()  # by token and field, then in order
+    by = (key & ((1 << shift) - 1)).astype(np.int32)
+    key >>= shift
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    pieces = -(-np.diff(np.append(first, len(key))) // BLOCK)  # blocks of a list
+    cuts = np.repeat(first, pieces) + BLOCK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     for lo in range(0, len(cuts), 65536):  # a batch out
         some = cuts[lo : lo + 65536]
         end = cuts[lo + 65536] if lo + 65536 < len(cuts) else len(key)
         own, offsets = by[some[0] : end], pa.array(np.append(some, end) - some[0], pa.int32())
         yield pa.RecordBatch.from_arrays([
             words.dictionary.take(pa.array(order[key[some] // wide])), fields.dictionary.take(pa.array(key[some] % wide)),
-            pa.ListArray.from_arrays(offsets, ids.take(pa.array(doc[own]))), pa.ListArray.from_arrays(offsets, pa.array(pos[own], pa.int32())),
+            pa.ListArray.from_arrays(offsets, ids.take(pa.array(doc[own]))), pa.ListArray.from_arrays(offsets, pa.array(pos[own])),
         ], ["token", "field", "ids", "places"])
 
 
@@ -234,6 +299,11 @@ def _part(cuts: list[Column]) -> Column:
     return among(0, len(cuts))
 
 
+def _apart(stored: DataFrame) -> DataFrame:
+    """Blocks as postings (id, field, pos, token)."""
+    return stored.select("token", "field", F.inline(F.arrays_zip("ids", "places"))).select(F.col("ids").alias("id"), "field", F.col("places").alias("pos"), "token")
+
+
 @dataclass
 class _Layer:
     """Texts and postings of rows, and the ids that older layers no longer speak for."""
@@ -244,26 +314,35 @@ class _Layer:
 
 
 class TextIndex:
-    """An index over text fields of a relation. ``refresh`` takes a change of the relation; only its rows are tokenized and written."""
+    """An index over text fields of a relation. ``refresh`` takes a change of the relation; only its rows are tokenized and written.
+    dealt: blocks are dealt to files by token, which costs more than a few searches save."""
 
-    def __init__(self, content: Relation, ident: str, fields: dict[str, Column | str] | list[str]) -> None:
-        self.content, self.ident = content, ident
+    def __init__(self, content: Relation, ident: str, fields: dict[str, Column | str] | list[str], dealt: bool = True) -> None:
+        self.content, self.ident, self.dealt = content, ident, dealt
         self.fields = {f: quoted(f) for f in fields} if isinstance(fields, list) else {k: quoted(c) if isinstance(c, str) else c for k, c in fields.items()}
         texts = self._texts(content.df())
-        self.layers = [_Layer(texts, self._stored(self._post(texts)))]
+        self.layers = [_Layer(texts, self._indexed(texts))]
         self.searches: list[Search] = []
 
     def _texts(self, rows: DataFrame) -> DataFrame:
-        clean = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), f"[{BEGIN}{END}{ELLIPSIS}]", "")
+        def clean(c: Column) -> Column:
+            text = F.coalesce(c.cast("string"), F.lit(""))
+            marked = F.contains(text, F.lit(BEGIN)) | F.contains(text, F.lit(END)) | F.contains(text, F.lit(ELLIPSIS))  # so few texts are replaced
+            return F.when(marked, F.regexp_replace(text, f"[{BEGIN}{END}{ELLIPSIS}]", "")).otherwise(text)
+
         return rows.select(quoted(self.ident).alias("id"), *(clean(c).alias(f) for f, c in self.fields.items()))
 
     def _post(self, texts: DataFrame) -> DataFrame:
         """Blocks of postings."""
         _python_ready(texts.sparkSession)
         each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), quoted(f).alias("text")) for f in self.fields))).alias("x")
-        flat = texts.select("id", each).select("id", "x.field", F.regexp_extract_all(F.lower("x.text"), F.lit(TOKEN), F.lit(0)).alias("w"))
+        flat = texts.select("id", each).select("id", "x.field", "x.text")
         kinds = {"token": T.StringType(), "field": T.StringType(), "ids": T.ArrayType(texts.schema["id"].dataType), "places": T.ArrayType(T.IntegerType())}
-        return flat.mapInArrow(blocks, T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
+        return flat.mapInArrow(lambda batches: blocks(worded(batches)), T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
+
+    def _indexed(self, texts: DataFrame) -> DataFrame:
+        found = self._post(texts)
+        return self._stored(found) if self.dealt else _apart(staged(found, "postings"))
 
     @staticmethod
     def _stored(found: DataFrame) -> DataFrame:
@@ -276,7 +355,7 @@ class TextIndex:
             ranged = flat.repartitionById(parts, _part(ends(flat, parts))) if parts > 1 else flat
             out = staged(ranged.sortWithinPartitions("token", "first").drop("first", "n"), "postings")
             discard(flat.sparkSession, flat)
-        return out.select("token", "field", F.inline(F.arrays_zip("ids", "places"))).select(F.col("ids").alias("id"), "field", F.col("places").alias("pos"), "token")
+        return _apart(out)
 
     def _composed(self, which: str) -> DataFrame:
         out = getattr(self.layers[0], which)
@@ -302,10 +381,10 @@ class TextIndex:
         for x in some[1:]:
             ids = ids.unionByName(x.select(quoted(self.ident).alias("id")))
         fresh = staged(self._texts(added if added is not None else removed.limit(0)), "texts")
-        self.layers.append(_Layer(fresh, self._stored(self._post(fresh)), staged(ids.distinct(), "gone")))
+        self.layers.append(_Layer(fresh, self._indexed(fresh), staged(ids.distinct(), "gone")))
         if len(self.layers) > LAYERS:
             texts = staged(self.texts, "texts")
-            self.layers = [_Layer(texts, self._stored(self._post(texts)))]
+            self.layers = [_Layer(texts, self._indexed(texts))]
         for s, old in zip(self.searches, before):
             if old is not None:
                 s.changed(old)

@@ -244,7 +244,7 @@ def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(query: str, columns: tuple[str, ...] = ("doc_id",)) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = textindex.TextIndex(load(spark, sf_dir, "documents"), "doc_id", ["text"])
+        index = textindex.TextIndex(load(spark, sf_dir, "documents"), "doc_id", ["text"], dealt=False)
         if columns == ("doc_id",):
             return index.matching(textindex.parse(query)).withColumnRenamed("id", "doc_id")
         if columns == ("doc_id", "rank"):

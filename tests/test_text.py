@@ -3,7 +3,7 @@
 import pytest
 
 from relspan.operators import textindex as X
-from relspan.plans.relation import literal
+from relspan.plans.relation import Leaf, literal
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +97,51 @@ def test_near_is_dealt_by_key(index):
     """What the few files of a frequent token give is dealt to tasks before the join; results are in test_queries."""
     plan = index.matching(X.parse("princess NEAR/2 pea"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_COL") == 2
+
+
+def test_tokens_by_bytes():
+    """What array operations find in UTF-8 is what TOKEN finds, at any slice, also in bytes that are no UTF-8."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    near = [chr(c) for c in range(256)] + list("aAzZ09 ,") * 20
+    far = near + list("ÀÉßÿ×÷µªº²¼—“”…€ ⁥⁯⁰ⁱ₫İΣςЖ漢😀́‍�") * 3
+    for _ in range(200):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(rng.choice([near, far])) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(9))]
+        assert X.tokens_of(pa.array(["zé", *texts], pa.string()).slice(1)).to_pylist() == [X._tokens(t or "") for t in texts]
+    raw = [b"ab\xc3", b"\xa9cd", b"", b"\xa9", b"x\xe2\x80", b"\x93y", b"ok \xc3\x89", b"\xc3", b"", b"\xa9z", b"\xff", b"a\xe2\x82\xacb", b"\x80\xc3"]
+    at = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+    torn = pa.StringArray.from_buffers(len(raw), pa.py_buffer(at), pa.py_buffer(b"".join(raw)))
+    assert X.tokens_of(torn).to_pylist() == [X._tokens(r.decode("utf-8", "replace")) for r in raw]
+
+
+def test_index_of_few_searches_is_not_shuffled(spark, monkeypatch):
+    """The same answers as an index dealt by token, with nothing dealt, after changes too; the registered searches ask such an index."""
+    from relspan import registry, stateful
+
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    content = Leaf(frame([(k, f"Word{k % 7} common\x02 É{k % 3} " + "x " * k) for k in range(40)] + [(40, None), (41, "common")]), keys=[["id"]])
+    dealt = X.TextIndex(content, "id", ["text"])
+    monkeypatch.setattr(X, "CLUSTERED", 0)
+    clustered = X.TextIndex(content, "id", ["text"])
+
+    def stored(found):
+        raise AssertionError("dealt by token")
+
+    monkeypatch.setattr(X.TextIndex, "_stored", staticmethod(stored))
+    made = []
+    monkeypatch.setattr(X, "staged", lambda df, label, stage=X.staged: made.append(df) or stage(df, label))
+    plain = X.TextIndex(content, "id", ["text"], dealt=False)
+    assert len(made) == 1 and "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,common)" in plain.hits(X.Phrase(("common",)))._jdf.queryExecution().executedPlan().toString()
+    for query in ("common", "word1 NEAR/2 é1", '"common é2"', "word* NOT x", "x OR é0"):
+        got = [sorted(map(tuple, i.rank(X.parse(query)).collect())) for i in (plain, dealt, clustered)]
+        assert got[0] == got[1] == got[2] and got[0]
+    plain.refresh(frame([(1, "new common"), (50, "new")]), frame([(1, None), (2, None)]))
+    assert {r.id for r in plain.matching(X.parse("new")).collect()} == {1, 50}
+    assert {r.id for r in plain.matching(X.parse("common")).collect()} == {*range(40), 41} - {2}
+    for name, some in (("text_search_term", registry), ("text_rank", registry), ("text_search_not", registry), ("snippet", registry), ("text_refreshed", stateful), ("snippet_window", stateful)):
+        some.queries()[name](spark, "/root/testdata/sf0.001")
