@@ -11,6 +11,7 @@ compiles to semi-, anti- and inner joins on it: words side by side must all occu
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -500,21 +501,21 @@ def snippet(text: str, wanted: list[tuple[tuple[str, ...], bool]], window: int =
     """The WINDOW tokens with the most hits, hits between BEGIN and END, ELLIPSIS where text is left out."""
     import regex
 
-    spans = [(m.start(), m.end()) for m in regex.finditer(TOKEN, text)]
+    spans = [m.span() for m in regex.finditer(TOKEN, text)]
     tokens = [text[a:b].lower() for a, b in spans]
     marked: dict[int, int] = {}
     for want, prefix in wanted:
-        n = len(want)
-        for k in range(len(tokens) - n + 1):
-            if tuple(tokens[k : k + n - 1]) == want[:-1] and (tokens[k + n - 1].startswith(want[-1]) if prefix else tokens[k + n - 1] == want[-1]):
-                marked[k] = max(marked.get(k, 0), n)
+        n, last = len(want), want[-1]
+        for k in [k for k, t in enumerate(tokens) if t.startswith(last)] if prefix else [k for k, t in enumerate(tokens) if t == last]:
+            if k >= n - 1 and (n == 1 or tuple(tokens[k - n + 1 : k]) == want[:-1]):
+                marked[k - n + 1] = max(marked.get(k - n + 1, 0), n)
     if not spans:
         return text
     best, at = -1, 0
-    starts = sorted({0, *(max(0, k - window // 3) for k in marked)})
+    starts, places = sorted({0, *(max(0, k - window // 3) for k in marked)}), sorted(marked)
     for s in starts:
         s = max(0, min(s, len(tokens) - window))
-        n = sum(s <= k < s + window for k in marked)
+        n = bisect_left(places, s + window) - bisect_left(places, s)
         if n > best:
             best, at = n, s
     end = min(len(tokens), at + window)
