@@ -40,6 +40,8 @@ FILE = 32 << 20
 LOOKED_AT = 64
 #: Postings in a block at most, and tokens that a task groups to blocks at once.
 BLOCK, GROUPED = 4096, 4_000_000
+#: Of lists, differences are written: ids and places rise within a block, and a dictionary of them would not hold.
+DIFFERENCES = {"parquet.writer.version": "v2", "parquet.enable.dictionary#ids.list.element": "false", "parquet.enable.dictionary#places.list.element": "false"}
 #: Bytes of an Arrow batch of texts or their tokens; one longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Layers of changes after which the index is written anew.
@@ -343,7 +345,7 @@ class TextIndex:
 
     def _indexed(self, texts: DataFrame) -> DataFrame:
         found = self._post(texts)
-        return self._stored(found) if self.dealt else _apart(staged(found, "postings"))
+        return self._stored(found) if self.dealt else _apart(staged(found, "postings", **DIFFERENCES))
 
     @staticmethod
     def _stored(found: DataFrame) -> DataFrame:

@@ -42,13 +42,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and return a scan of it.
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder, with further options of the writer, and return a scan of it.
 
     Cuts the lineage: a lost executor costs a re-read of the files, not a re-run.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.options(**NO_CRC).parquet(path)
+    df.write.options(**NO_CRC, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -133,7 +133,7 @@ def test_index_of_few_searches_is_not_shuffled(spark, monkeypatch):
 
     monkeypatch.setattr(X.TextIndex, "_stored", staticmethod(stored))
     made = []
-    monkeypatch.setattr(X, "staged", lambda df, label, stage=X.staged: made.append(df) or stage(df, label))
+    monkeypatch.setattr(X, "staged", lambda df, label, stage=X.staged, **o: made.append(df) or stage(df, label, **o))
     plain = X.TextIndex(content, "id", ["text"], dealt=False)
     assert len(made) == 1 and "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(token,common)" in plain.hits(X.Phrase(("common",)))._jdf.queryExecution().executedPlan().toString()
@@ -167,3 +167,18 @@ def test_snippet_of_many_hits():
             assert got.text == " ".join(words[at : at + X.WINDOW]) and got.ellipsis_at_start == (at > 0) and got.ellipsis_at_end == (at + X.WINDOW < len(words))
             if n == 1:
                 assert len(got.matches) == sum(at <= k < at + X.WINDOW for k in hits)
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,2)", "date", "double"])
+def test_stored_lists_of_any_id(spark, kind):
+    """Lists are stored as differences, with no dictionary, whatever their type; null is an id, too."""
+    import pyarrow.parquet as pq
+
+    value = "date_add(DATE'2020-01-01', CAST(id AS int))" if kind == "date" else f"CAST(id * 7919 % 300 AS {kind})"
+    rows = spark.range(300).selectExpr(f"CASE WHEN id < 200 THEN {value} END AS id", "concat('common ', repeat('x ', CAST(id % 5 AS int))) AS text")
+    index = X.TextIndex(Leaf(rows), "id", ["text"], dealt=False)
+    meta = pq.ParquetFile(index.postings.inputFiles()[0].removeprefix("file://")).metadata.row_group(0)
+    assert not any("DICTIONARY" in e for k in range(meta.num_columns) if "list" in (c := meta.column(k)).path_in_schema for e in c.encodings)
+    want = [(r.id, len(r.text.split()) - 1) for r in rows.distinct().collect()]
+    ids = lambda token: sorted((r.id for r in index.hits(X.Phrase((token,))).collect()), key=repr)
+    assert ids("common") == sorted((i for i, _ in want), key=repr) and ids("x") == sorted((i for i, n in want for _ in range(n)), key=repr)
