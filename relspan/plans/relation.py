@@ -8,6 +8,7 @@ can make duplicates and no known key rules them out.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import time
 from collections.abc import Callable, Iterable, Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relspan.functions import values as V
-from relspan.functions.predicates import FALSE, TRUE, Attr, Or, Predicate, Types, as_predicate, combined, row_matches
+from relspan.functions.predicates import FALSE, TRUE, And, Attr, Compare, Or, Predicate, Types, as_predicate, combined, row_matches
 from relspan.sources.shipping import ship
 
 _POOL = ThreadPoolExecutor(4, "relspan")
@@ -28,6 +29,8 @@ _POOL = ThreadPoolExecutor(4, "relspan")
 ACTIVITY: list[tuple[str, float]] | None = None
 #: Of a join without keys: bytes times bytes from which its rows are dealt evenly, rows of a side that goes to all tasks, bytes that stand for no estimate.
 PRODUCT, SMALL, UNKNOWN = 1 << 34, 500_000, 1 << 60
+#: Of a join by order: pairs for which there is a task, such tasks at most, rows in a range of values, ranges at most.
+PAIRS, TASKS, RANGE, RANGES = 1 << 28, 10_000, 512, 1024
 Env = dict[int, DataFrame]  # a leaf's id() to the rows it stands for
 
 
@@ -75,6 +78,29 @@ def dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
+def in_order(left: DataFrame, right: DataFrame, a: str, b: str, up: bool) -> DataFrame | None:
+    """Of the product of two sides that aren't small, all pairs in which the left's number a is at most (``up``) or at least the right's b, and few
+    others; None where a product is planned as always. The values of the side that goes to all tasks are cut into ranges. A row of the other is
+    compared only with ranges that may hold values in order with its own. A task goes through one range after another, each with all of its rows: so few
+    rows wait to be passed on, and equal columns of the result lie near each other, which files store in few bytes."""
+    x, y = estimated(left), estimated(right)
+    if x * y < PRODUCT or max(x, y) >= UNKNOWN:
+        return None
+    for small, large, v, w in ((left, right, a, b), (right, left, b, a)) if x < y else ((right, left, b, a), (left, right, a, b)):
+        if (n := small.count()) <= SMALL:
+            k = min(RANGES, max(1, n // RANGE))
+            cuts = small.select(F.percentile_approx(quoted(v).cast("double"), [i / k for i in range(1, k)] or [0.5], 10_000)).first()[0] or []
+            cuts = F.array(*map(F.lit, sorted({c for c in cuts if math.isfinite(c)}))).cast("array<double>")
+            range_of = lambda c: F.size(F.filter(cuts, lambda x: x <= quoted(c).cast("double")))  # noqa: E731  # NULL is least: 0
+            parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(TASKS, n * large.count() // PAIRS))
+            first, last = (F.lit(0), range_of(w)) if (small is left) == up else (range_of(w), F.size(cuts))
+            asked = large.repartition(parts).select("*", F.explode(F.sequence(first, last, F.lit(1))).alias("__asked")).sortWithinPartitions("__asked")
+            # Spark drops a sort just below a join, but not below a generator
+            asked = asked.withColumn("__range", F.explode(F.array("__asked"))).drop("__asked")
+            return asked.join(F.broadcast(small.withColumn("__range", range_of(v))), "__range").drop("__range")
+    return None
+
+
 def natural(text: str) -> list[tuple[int, int, str]]:
     """A sort key by which 9 comes before 10."""
     return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.findall(r"[0-9]+|[^0-9]+", text)]
@@ -497,7 +523,26 @@ class Select(Relation):
         self.children, self.where, self.keys, self.types = (of,), where, of.keys, of.types
 
     def build(self, c: _Compiling) -> DataFrame:
-        return c(self.children[0]).where(self.where.holds(self.children[0].types))
+        of, order = self.children[0], self._order()
+        return (c(of) if order is None else of.build(c, order)).where(self.where.holds(of.types))
+
+    def _order(self) -> tuple[str, str, bool] | None:
+        """Of a product's pairs, an attribute of each side whose order (left at most right, or at least) the predicate demands."""
+        of, asked = self.children[0], [self.where]
+        if not isinstance(of, Equijoin) or of.matching:
+            return None
+        while asked:
+            p = asked.pop()
+            if isinstance(p, And):
+                asked += p.parts()
+            elif isinstance(p, Compare) and p.op in ("lt", "le", "gt", "ge") and isinstance(p.left, Attr) and isinstance(p.right, Attr):
+                (m, n), up = (p.left.name, p.right.name), p.op in ("lt", "le")
+                if m in of.children[1].types:
+                    m, n, up = n, m, not up
+                kinds = {V.kind(of.types[m]), V.kind(of.types[n])}
+                if m in of.children[0].types and n in of.children[1].types and kinds in ({1}, {2}):
+                    return m, n, up
+        return None
 
     def rebuilt(self, children: tuple[Relation, ...]) -> Relation:
         return Select(children[0], self.where)
@@ -548,7 +593,8 @@ class Equijoin(Relation):
         back = {b: a for a, b in matching.items()}
         self.keys = frozenset(keys | {frozenset(back.get(x, x) for x in k) for k in keys})
 
-    def build(self, c: _Compiling) -> DataFrame:
+    def build(self, c: _Compiling, order: tuple[str, str, bool] | None = None) -> DataFrame:
+        """With ``order``, see ``in_order``, of a product's pairs those in order and maybe others."""
         left, right = c(self.children[0]), self._right(c)
         pairs = [(a, b) for a, b in self.matching.items() if V.kind(self.types[a]) == V.kind(self.types[b])]
         if len(pairs) < len(self.matching):  # values of unlike kinds are equal only as NULLs
@@ -556,6 +602,8 @@ class Equijoin(Relation):
                 if (a, b) not in pairs:
                     left, right = left.where(quoted(a).isNull()), right.where(quoted(b).isNull())
         if not any(k <= set(m) for x, m in zip(self.children, (self.matching, self.matching.values())) for k in x.keys):
+            if order and (made := in_order(left, right, *order)) is not None:
+                return made
             left, right = dealt(left, right)
         return null_safe(left, right, pairs, "inner")
 
